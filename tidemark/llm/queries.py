@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, language_model, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import html_extraction, language_id, language_model, ngram_join, quality_rules, secret_scan, sentencepiece_codec, toxicity
 from .common import fold, table
 
 
@@ -44,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_toxicity": op5_toxicity,
         "op6_quality_rules": op6_quality_rules,
+        "op7_ngram_join": op7_ngram_join,
         "op8_secret_scan": op8_secret_scan,
         "op10_language_model": op10_language_model,
     }
