@@ -5,25 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, sentencepiece_codec
+from tidemark.llm import decontamination, language_id, ngram_join, secret_scan, sentencepiece_codec
 from tidemark.llm.common import fold, table, written
 from tidemark.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those rejected (no letter to tell by) go."""
+    """Documents whose language is identified, with the language put into lang; those without a letter to tell by go."""
     model = language_id.train(docs, fold(F.col("doc_id"), 4) != 2)
-    return language_id.annotated(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    found = language_id.annotated(docs, model).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that near copies connect, the one with the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of them and of the text they decode to."""
+    """Number of token ids of each document, with digests of the ids and of the text they decode to."""
     return sentencepiece_codec.digests(docs, tokenizer_path())
 
 
-STAGES = [("language_id", known_language), ("encoded", encoded)]
+STAGES = [
+    ("language_id", known_language),
+    ("ngram_join", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("secret_scan", without_secrets),
+    ("sentencepiece", encoded),
+]
 
-#: Trained and learned stages can't be put into SQL; tests compare with a brute-force version.
+#: A trained stage and a tokenizer can't be put into SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -418,11 +418,19 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked_classes(docs, id_col, text_col, link, ngram).select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 1_000_000) -> DataFrame:
     """The rows of docs that stay when one of each component does: the one with the smallest id. Columns are kept.
 
-    Rows without n-grams all stay. Of rows with equal id and text one stays.
+    Rows without n-grams and rows with a null id stay. Rows that repeat an id stay or go together, and of those with
+    the same text too one stays. The ids that go are broadcast where they are few, else joined by a shuffle.
     """
-    ids = components_of(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs[id_col] == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates([id_col])
+    found = components_of(docs, id_col, text_col).where("doc_id is not null")
+    ids = written(found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n")), "join-ids")
+    gone, twice = ids.where("stays = 0").select(F.col("doc_id").alias("_id")), ids.where("stays = 1 and n > 1").select(F.col("doc_id").alias("_id"))
+    n_gone, n_twice = gone.count(), twice.count()
+    few = lambda side, n: F.broadcast(side) if n <= most_ids else side
+    kept = docs.join(few(gone, n_gone), docs[id_col] == F.col("_id"), "left_anti")
+    if n_twice:
+        once = kept.join(few(twice, n_twice), kept[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(few(twice, n_twice), kept[id_col] == F.col("_id"), "left_anti").unionAll(once)
+    return kept
