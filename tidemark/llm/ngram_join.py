@@ -1,7 +1,8 @@
 """Jaccard self-join of texts on their word n-grams, by prefix trees.
 
 1. Texts with the same n-gram set are one class; only its id goes on.
-2. Sets are put in one global order (that of the hashes). If two sets are similar enough, long enough prefixes of them
+2. Sets are put in one global order: n-grams that are frequent somewhere last, by rising frequency, the others by hash.
+   Which ones count as frequent only decides how much work is saved: any order gives the same links. If two sets are similar enough, long enough prefixes of them
    share n-grams; how many at least follows from the sizes. Prefixes are dealt out by n-gram in packed blocks, and the
    classes that share fewer n-grams with any other than a link would need are set aside: they link with nothing.
 3. What is left falls into groups that share prefix n-grams. A group's sets are stored in a prefix tree (most frequent
@@ -53,6 +54,23 @@ def least_shared(n: int, link: tuple[int, int] = LINK) -> int:
     return wider(least_common(n, link))
 
 
+class Order:
+    """The global order: the frequent n-grams, given with the most frequent last, come after all others."""
+
+    def __init__(self, frequent: np.ndarray):
+        by_hash = np.argsort(frequent)
+        self.frequent, self.rank = frequent[by_hash], by_hash
+
+    def sorted(self, grams: np.ndarray) -> np.ndarray:
+        """A set that is sorted by hash, in the global order."""
+        if not len(self.frequent):
+            return grams
+        at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
+        hit = self.frequent[at] == grams
+        late = grams[hit]
+        return np.concatenate([grams[~hit], late[np.argsort(self.rank[at[hit]])]])
+
+
 def signature(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -69,7 +87,45 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _blocks(rows: DataFrame, n_buckets: int, link: tuple[int, int], ngram: int, flush_at: int = 500_000) -> DataFrame:
+def _described(rows: DataFrame, ngram: int, flush_at: int = 3_000_000, often: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, sig) of each row, and among them rows (gram, c) of n-grams that several classes of a part have."""
+    kind = rows.schema["doc_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("gram", pa.int64()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, seen, size = WordHashes(), [], set(), 0
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            grams, counts = grams[counts >= often], counts[counts >= often]
+            none = lambda t: pa.nulls(len(grams), t)
+            if len(grams):
+                yield pa.RecordBatch.from_arrays([none(schema[0].type), none(pa.int64()), none(pa.int64()), pa.array(grams.view(np.int64)), pa.array(counts)], schema=schema)
+
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = shingle_set(text, hashes, ngram)
+                sig = signature(grams) if len(grams) else None
+                out.append((doc_id, len(grams), sig, None, None))
+                if sig is not None and sig not in seen:
+                    seen.add(sig)
+                    held.append(grams)
+                    size += len(grams)
+                    if size > flush_at:
+                        yield from frequent()
+                        held, seen, size = [], set(), 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if held:
+            yield from frequent()
+
+    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_shingles long, sig long, gram long, c long")
+
+
+def _blocks(rows: DataFrame, n_buckets: int, link: tuple[int, int], ngram: int, order: Order, flush_at: int = 500_000) -> DataFrame:
     """(bucket, grams, sigs, shared, sig_counts): prefixes in packed blocks.
 
     Within a block, an n-gram of several classes is sent once, marked as shared; the classes that have it are counted on
@@ -84,8 +140,8 @@ def _blocks(rows: DataFrame, n_buckets: int, link: tuple[int, int], ngram: int,
             grams = np.concatenate(list(held.values()))
             sigs = np.repeat(np.fromiter(held.keys(), np.int64, len(held)).view(np.uint64) & np.uint64(MASK_SIG), [len(g) for g in held.values()])
             bucket = (grams % np.uint64(n_buckets)).astype(np.int32)
-            order = np.lexsort((grams, bucket))
-            grams, sigs, bucket = grams[order], sigs[order], bucket[order]
+            by = np.lexsort((grams, bucket))
+            grams, sigs, bucket = grams[by], sigs[by], bucket[by]
             first = np.append(True, grams[1:] != grams[:-1])
             run_of = np.cumsum(first) - 1
             many = np.bincount(run_of) > 1
@@ -106,7 +162,7 @@ def _blocks(rows: DataFrame, n_buckets: int, link: tuple[int, int], ngram: int,
             for text in batch.column(0).to_pylist():
                 grams = shingle_set(text, hashes, ngram)
                 if len(grams) and (sig := signature(grams)) not in held:
-                    held[sig] = grams[: prefix_length(len(grams), link)]
+                    held[sig] = order.sorted(grams)[: prefix_length(len(grams), link)]
                     size += len(held[sig])
                     if size > flush_at:
                         yield from flush()
@@ -286,7 +342,7 @@ def _grouped(rows: DataFrame, keys: list[str], link: tuple[int, int]) -> DataFra
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sigs, sets, out = None, [], [], []
+        key, sigs, sets, seen, out = None, [], [], set(), []
 
         def close() -> None:
             order = sorted(range(len(sigs)), key=sigs.__getitem__)
@@ -298,9 +354,11 @@ def _grouped(rows: DataFrame, keys: list[str], link: tuple[int, int]) -> DataFra
                 if row[:k] != key:
                     if sigs:
                         close()
-                    key, sigs, sets = row[:k], [], []
-                sigs.append(row[k])
-                sets.append(np.frombuffer(row[k + 1], np.uint64))
+                    key, sigs, sets, seen = row[:k], [], [], set()
+                if row[k] not in seen:  # rows that repeat an id may repeat a class
+                    seen.add(row[k])
+                    sigs.append(row[k])
+                    sets.append(np.frombuffer(row[k + 1], np.uint64))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
                 out = []
@@ -328,28 +386,21 @@ def _group_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(every), "b": pa.array(every[roots])})
 
 
-def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 1_500_000, most_ids: int = 1_000_000) -> DataFrame:
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 1_000_000, most_frequent: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) for each row; see components_of() for what the columns mean."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def describe():
-        hashes = WordHashes()
-
-        def one(row):
-            grams = shingle_set(row[1], hashes, ngram)
-            return row[0], len(grams), signature(grams) if len(grams) else None
-
-        return one
-
-    described = written(map_rows(rows, describe, f"doc_id {kind}, n_shingles long, sig long", 4096), "join-rows")
+    found = written(_described(rows, ngram), "join-rows")
+    described = found.where("n_shingles is not null").select("doc_id", "n_shingles", "sig")
+    counts = found.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "gram").limit(most_frequent).collect()
+    order = Order(np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64))
     classes = written(described.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "join-classes")
     n_grams = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = max(8, int(n_grams * 0.4 / 400_000))
 
     # Classes that share enough n-grams with others for a link.
-    met = _blocks(rows, n_buckets, link, ngram).groupBy("bucket").applyInArrow(_shared_counts, "sig48 long, shared long").groupBy("sig48").agg(F.sum("shared").alias("shared"))
+    met = _blocks(rows, n_buckets, link, ngram, order).groupBy("bucket").applyInArrow(_shared_counts, "sig48 long, shared long").groupBy("sig48").agg(F.sum("shared").alias("shared"))
     low48 = F.col("sig").bitwiseAND(F.lit(MASK_SIG))
     need_common = F.ceil(F.col("n") * link[0] / link[1])
     need = F.greatest(F.lit(1), F.floor(need_common * F.lit(WIDER) - 1e-9))
@@ -372,12 +423,11 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = map_rows(picked, sets, "sig long, n long, grams binary", 256)
     whole = written(whole.join(F.broadcast(left.select("sig")) if n_left <= most_ids else left.select("sig"), "sig", "left_semi"), "join-sets")
-    # Rows may repeat an id and a text: each class once.
     parts = max(4, int(n_left * 150 / 1_500_000))
 
     def prefixes():
         def one(row):
-            grams = np.frombuffer(row[1], np.uint64)
+            grams = order.sorted(np.frombuffer(row[1], np.uint64))
             grams = grams[: len(grams) - least_common(len(grams), link) + 1]
             at = grams % np.uint64(parts)
             return [(int(b), row[0], grams[at == b].tobytes()) for b in np.unique(at)]
@@ -386,13 +436,15 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     near = flat_map_rows(whole.select("sig", "grams"), prefixes, "bucket int, sig long, grams binary")
     groups = components(near.groupBy("bucket").applyInArrow(_group_edges, "a long, b long"))
-    grouped = written(whole.dropDuplicates(["sig"]).join(groups, F.col("sig") == F.col("v")).select("root", "sig", "n", "grams"), "join-groups")
-    sizes = grouped.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
-    sized = grouped.join(sizes, "root")
+    # Which group each class is in, and how large that is; the sets themselves move once, to their groups.
+    of_group = left.select("sig", "n").join(groups, F.col("sig") == F.col("v")).select("sig", "n", "root")
+    sizes = of_group.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
+    placed = written(of_group.join(sizes, "root").select("sig", "root", "total"), "join-groups")
+    sized = whole.join(F.broadcast(placed) if n_left <= most_ids else placed, "sig")
     small = _grouped(sized.where(F.col("total") <= most_in_group), ["root"], link)
     large = sized.where(F.col("total") > most_in_group)
     edges = small
-    if large.limit(1).count():
+    if placed.where(F.col("total") > most_in_group).limit(1).count():
         cuts = F.ceil(2.0 * F.col("total") / most_in_group).cast("int")
         cut = F.pmod(F.xxhash64("sig"), cuts).cast("int")
         pairs = large.withColumn("block", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
@@ -403,7 +455,6 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(names, "root").select("sig", "component_id")
     dropped(whole)
-    dropped(grouped)
     return described.join(of_class, "sig", "left").select("doc_id", "n_shingles", "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
