@@ -73,13 +73,13 @@ def trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     return o.select(
         F.concat(F.lit("e"), s("o_orderkey")).alias("entry_id"), F.concat(F.lit("o"), s("o_orderkey")).alias("item"), F.concat(F.lit("order-"), s("o_orderkey")).alias("name"),
-        F.concat(F.lit("/c"), s("o_custkey"), F.lit("/order-"), s("o_orderkey")).alias("path"), F.col("o_orderdate").alias("deleted_at"), F.concat(F.lit("b"), s("o_custkey")).alias("batch"),
+        F.concat(F.lit("/c"), s("o_custkey"), F.lit("/order-"), s("o_orderkey")).alias("path"), F.col("o_orderdate").alias("deleted_at"), F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("b"), s("o_custkey"))).alias("batch"),
         F.concat(F.lit("p"), (F.col("o_orderkey") % 5).cast("string")).alias("pass"), F.concat(F.lit("d"), (F.col("o_orderkey") % 3).cast("string")).alias("origin_drive"), (F.col("o_orderkey") % 7 == 0).alias("live"),
     )
 
 
 T_SQL = """SELECT 'e' || o_orderkey AS entry_id, 'o' || o_orderkey AS item, 'order-' || o_orderkey AS name, '/c' || o_custkey || '/order-' || o_orderkey AS path, o_orderdate AS deleted_at,
-'b' || o_custkey AS batch, 'p' || (o_orderkey % 5) AS pass, 'd' || (o_orderkey % 3) AS origin_drive, o_orderkey % 7 = 0 AS live FROM orders"""
+CASE WHEN o_orderkey % 11 <> 0 THEN 'b' || o_custkey END AS batch, 'p' || (o_orderkey % 5) AS pass, 'd' || (o_orderkey % 3) AS origin_drive, o_orderkey % 7 = 0 AS live FROM orders"""
 
 
 def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
