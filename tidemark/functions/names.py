@@ -27,7 +27,7 @@ def fold_key(name: Column) -> Column:
 
 def fold_bytes(name: Column) -> Column:
     """The folded name as four big-endian bytes for each character, in hex: sorts by code point."""
-    return F.hex(F.encode(fold_key(name), "UTF-32BE"))
+    return F.hex(F.encode(fold_key(name), "UTF-32"))
 
 
 def sync_key(path: Column, case_insensitive: bool = True) -> Column:
