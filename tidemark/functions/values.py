@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 NTZ = "timestamp_ntz"
 # Content types by ending.
 CONTENT_TYPES = {"html": "text/html", "htm": "text/html", "txt": "text/plain", "css": "text/css", "js": "text/javascript", "json": "application/json", "xml": "text/xml", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "zip": "application/zip", "com": "application/octet-stream"}
-TYPE_NAMES = {0: "unknown", 1: "file", 2: "dir", 3: "symlink", 4: "fifo", 5: "socket", 6: "device"}
+TYPE_NAMES = {0: "file", 1: "dir", 2: "symlink", 3: "fifo", 4: "char-device", 5: "block-device", 6: "socket"}
 FILETIME_EPOCH_S = 11644473600
 
 

@@ -261,7 +261,7 @@ def f32(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("names"), F.element_at(m, "user.k").alias("value"))
 
 
-@query("f33_type_names", "SELECT l_linenumber, CASE l_linenumber WHEN 1 THEN 'file' WHEN 2 THEN 'dir' WHEN 3 THEN 'symlink' WHEN 4 THEN 'fifo' WHEN 5 THEN 'socket' WHEN 6 THEN 'device' ELSE 'unknown' END AS name, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("f33_type_names", "SELECT l_linenumber, CASE l_linenumber WHEN 1 THEN 'dir' WHEN 2 THEN 'symlink' WHEN 3 THEN 'fifo' WHEN 4 THEN 'char-device' WHEN 5 THEN 'block-device' WHEN 6 THEN 'socket' ELSE 'unknown' END AS name, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def f33(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_linenumber", V.type_name(F.col("l_linenumber")).alias("name")).agg(F.count("*").alias("n"))
 
