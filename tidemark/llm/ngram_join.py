@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, dropped, flat_map_rows, map_rows, written
+from .common import WordHashes, dropped, flat_map_rows, map_rows, rows_of, written
 from .components import components
 from .shingles import shingle_set
 
@@ -87,7 +87,7 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _described(rows: DataFrame, ngram: int, flush_at: int = 3_000_000, often: int = 3) -> DataFrame:
+def _described(rows: DataFrame, ngram: int, flush_at: int = 2_000_000, often: int = 3) -> DataFrame:
     """(doc_id, n_shingles, sig) of each row, and among them rows (gram, c) of n-grams that several classes of a part have."""
     kind = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -106,7 +106,7 @@ def _described(rows: DataFrame, ngram: int, flush_at: int = 3_000_000, often: in
 
         for batch in batches:
             out = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text in rows_of(batch):
                 grams = shingle_set(text, hashes, ngram)
                 sig = signature(grams) if len(grams) else None
                 out.append((doc_id, len(grams), sig, None, None))
@@ -159,7 +159,7 @@ def _blocks(rows: DataFrame, n_buckets: int, link: tuple[int, int], ngram: int,
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 grams = shingle_set(text, hashes, ngram)
                 if len(grams) and (sig := signature(grams)) not in held:
                     held[sig] = order.sorted(grams)[: prefix_length(len(grams), link)]
@@ -173,8 +173,11 @@ def _blocks(rows: DataFrame, n_buckets: int, link: tuple[int, int], ngram: int,
     return rows.select("text").mapInArrow(run, "bucket int, grams binary, sigs binary, shared binary, counted binary, counts binary")
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """For one bucket: how many n-grams each class (48 bits of its signature) shares with another, block-wise counts included."""
+def _shared_counts(table: pa.Table, parts: int) -> pa.Table:
+    """For one bucket: how many n-grams each class (48 bits of its signature) shares with another, block-wise counts included.
+
+    Classes and counts leave packed, a row for each part of the classes, to be added up over the buckets by part.
+    """
     rows = table.to_pydict()
     grams = np.concatenate([_unpack(x, 5) for x in rows["grams"]] or [np.zeros(0, np.uint64)])
     sigs = np.concatenate([_unpack(x, 6) for x in rows["sigs"]] or [np.zeros(0, np.uint64)])
@@ -195,7 +198,18 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]] or [np.zeros(0, np.uint32)])
     every, where = np.unique(np.concatenate([found, counted]), return_inverse=True)
     total = np.bincount(where, np.concatenate([np.ones(len(found)), counts]), len(every)).astype(np.int64)
-    return pa.table({"sig48": pa.array(every.astype(np.int64)), "shared": pa.array(total)})
+    of = every % np.uint64(parts)
+    packed = [(p, every[of == p].astype("<u8").tobytes(), total[of == p].astype("<u4").tobytes()) for p in np.unique(of).tolist()]
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x[i] for x in packed], kinds[i]) for i in range(3)], names=["part", "sigs", "counts"])
+
+
+def _summed_counts(table: pa.Table) -> pa.Table:
+    """(sig48, shared) of one part of the classes, the buckets' counts added up."""
+    rows = table.to_pydict()
+    every, where = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in rows["sigs"]]), return_inverse=True)
+    total = np.bincount(where, np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]), len(every))
+    return pa.table({"sig48": pa.array(every.astype(np.int64)), "shared": pa.array(total.astype(np.int64))})
 
 
 class Forest:
@@ -350,7 +364,7 @@ def _grouped(rows: DataFrame, keys: list[str], link: tuple[int, int]) -> DataFra
             out.extend((sigs[order[i]], sigs[order[r]]) for i, r in enumerate(roots))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in rows_of(batch):
                 if row[:k] != key:
                     if sigs:
                         close()
@@ -386,7 +400,7 @@ def _group_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(every), "b": pa.array(every[roots])})
 
 
-def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 1_000_000, most_frequent: int = 100_000) -> DataFrame:
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 1_000_000, most_frequent: int = 300_000) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) for each row; see components_of() for what the columns mean."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -396,11 +410,13 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     top = counts.orderBy(F.desc("c"), "gram").limit(most_frequent).collect()
     order = Order(np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64))
     classes = written(described.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "join-classes")
-    n_grams = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_grams, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_buckets = max(8, int(n_grams * 0.4 / 400_000))
 
     # Classes that share enough n-grams with others for a link.
-    met = _blocks(rows, n_buckets, link, ngram, order).groupBy("bucket").applyInArrow(_shared_counts, "sig48 long, shared long").groupBy("sig48").agg(F.sum("shared").alias("shared"))
+    n_parts = max(12, -(-n_classes // 100_000))
+    counted = _blocks(rows, n_buckets, link, ngram, order).groupBy("bucket").applyInArrow(lambda t: _shared_counts(t, n_parts), "part int, sigs binary, counts binary")
+    met = counted.groupBy("part").applyInArrow(_summed_counts, "sig48 long, shared long")
     low48 = F.col("sig").bitwiseAND(F.lit(MASK_SIG))
     need_common = F.ceil(F.col("n") * link[0] / link[1])
     need = F.greatest(F.lit(1), F.floor(need_common * F.lit(WIDER) - 1e-9))
@@ -423,7 +439,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = map_rows(picked, sets, "sig long, n long, grams binary", 256)
     whole = written(whole.join(F.broadcast(left.select("sig")) if n_left <= most_ids else left.select("sig"), "sig", "left_semi"), "join-sets")
-    parts = max(4, int(n_left * 150 / 1_500_000))
+    parts = max(12, int(n_left * 150 / 1_500_000))
 
     def prefixes():
         def one(row):
