@@ -69,7 +69,7 @@ def sample_below(df: DataFrame, keep: int, total: int, *keys: Column) -> DataFra
 class WordHashes(dict):
     """A word's 64-bit hash, remembered for at most ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -84,6 +84,12 @@ def stable_hash(word: str, bits: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
 
+def rows_of(batch: pa.RecordBatch, at_once: int = 128) -> Iterator[tuple]:
+    """The rows of a batch as Python values, few at a time: a batch may hold many megabytes of text."""
+    for start in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(start, at_once).columns))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], schema: str, rows_out: int = 512) -> DataFrame:
     """Map each row through a function that ``make`` builds once in each task; results leave in small batches."""
     from pyspark.sql.types import StructType
@@ -94,7 +100,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], schema
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, held = make(), []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in rows_of(batch):
                 held.append(f(row))
                 if len(held) >= rows_out:
                     yield _batch(held, arrow)
@@ -115,7 +121,7 @@ def flat_map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], list[tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, held = make(), []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in rows_of(batch):
                 held.extend(f(row))
                 while len(held) >= rows_out:
                     yield _batch(held[:rows_out], arrow)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_map_rows, written
+from .common import flat_map_rows, rows_of, written
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,7 +41,7 @@ def count_words(rows: DataFrame, most: int = 300_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], schema=schema)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 counts.update(words_of(text))
                 if len(counts) > most:
                     yield from out()
@@ -98,7 +98,7 @@ def bigrams(rows: DataFrame, ids: Remembered | dict[bytes, int], size: int, end:
         total = np.zeros(size * size, np.int64)
         look = ids.__getitem__ if default is None else lambda w, g=ids.get: g(w, default)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for (text,) in rows_of(batch):
                 words = words_of(text)
                 s = np.empty(len(words) + 2, np.int64)
                 s[0] = s[-1] = end
