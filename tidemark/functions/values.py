@@ -90,3 +90,17 @@ def decode_posix_acl(data: bytes) -> list[tuple[int, int, int]] | None:
     if len(data) < 4 or (len(data) - 4) % 8 or struct.unpack_from("<I", data)[0] != 2:
         return None
     return [struct.unpack_from("<HHI", data, i) for i in range(4, len(data), 8)]
+
+
+def inode():
+    """A pandas function: xxHash64 with seed 0 of a text, as a signed number."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("long")
+    def f(keys: pd.Series) -> pd.Series:
+        import xxhash
+
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return keys.map(lambda k: None if k is None else signed(xxhash.xxh64_intdigest(k)))
+
+    return f

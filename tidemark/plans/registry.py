@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "w01_as_of_pick"
 
 #: Modules of this package that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES = ("q_temporal", "q_tree", "q_dedupe", "q_sync", "q_catalog", "q_functions", "q_changes")
+MODULES = ("q_temporal", "q_tree", "q_dedupe", "q_sync", "q_catalog", "q_functions", "q_changes", "q_sources")
 
 
 def _modules():
