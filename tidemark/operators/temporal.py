@@ -6,6 +6,7 @@ other times for single versions. The effective date is the declared one, else th
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +97,8 @@ def not_states(dated: DataFrame) -> DataFrame:
         seqs, effs = rows["seq"].tolist(), rows["eff"].astype("int64").tolist()
         shadowed, late = settled(effs)
         out = [(seqs[i], "shadowed") for i in sorted(shadowed)] + [(seqs[i], "late") for i in sorted(late)]
-        import pandas as pd
-
-        return pd.DataFrame({"key": [rows["key"].iloc[0]] * len(out), "seq": [s for s, _ in out], "state": [k for _, k in out]})
+        made = {"key": [rows["key"].iloc[0]] * len(out), "seq": [s for s, _ in out], "state": [k for _, k in out]}
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in made.items()})
 
     live = dated.where("not deleted").select("key", "seq", "eff")
     kind = live.schema["key"].dataType.simpleString()
