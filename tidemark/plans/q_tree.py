@@ -160,9 +160,11 @@ def p03(spark, sf):
 
 @query("o01_item_sort", f"SELECT id, size, row_number() OVER (ORDER BY size DESC, lower(id), id) AS by_size, row_number() OVER (ORDER BY modified DESC, lower(id), id) AS by_modified FROM ({I_SQL}) WHERE substr(id, 1, 3) = 'o12'")
 def o01(spark, sf):
+    from tidemark.operators.dedupe import ranked
+
     rows = items(spark, sf).where(F.substring("id", 1, 3) == "o12")
-    rows = T.numbered(rows, F.desc("size"), F.lower("id"), F.col("id"), name="by_size")
-    return T.numbered(rows, F.desc("modified"), F.lower("id"), F.col("id"), name="by_modified").select("id", "size", "by_size", "by_modified")
+    rows = ranked(rows, [F.desc("size"), F.lower("id").asc(), F.asc("id")], "by_size")
+    return ranked(rows, [F.desc("modified"), F.lower("id").asc(), F.asc("id")], "by_modified").select("id", "size", "by_size", "by_modified")
 
 
 @query("o02_exact_order", f"SELECT parent, string_agg(name, ',' ORDER BY name) AS names FROM ({E_SQL}) WHERE type = 'dir' GROUP BY parent")
