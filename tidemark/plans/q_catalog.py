@@ -30,10 +30,10 @@ def p04(spark, sf):
     return X.listed(trash(spark, sf), live_items(spark, sf), prefix="/c11", pass_="p2").select("entry_id", "item")
 
 
-@query("p05_trash_scope", f"SELECT entry_id, CASE WHEN starts_with(path, '/c2/') THEN substr(path, 4) END AS path, starts_with(path, '/c2/') AS visible FROM ({T_SQL}) WHERE entry_id LIKE 'e1%'")
+@query("p05_trash_scope", f"SELECT entry_id, CASE WHEN starts_with(path, '/c2/') THEN substr(path, 4) END AS path, starts_with(path, '/c2/') AS visible FROM ({T_SQL})")
 def p05(spark, sf):
     inside = F.col("path").startswith("/c2/")
-    return trash(spark, sf).where(F.col("entry_id").startswith("e1")).select("entry_id", F.when(inside, F.expr("substr(path, 4)")).alias("path"), inside.alias("visible"))
+    return trash(spark, sf).select("entry_id", F.when(inside, F.expr("substr(path, 4)")).alias("path"), inside.alias("visible"))
 
 
 @query("p06_name_scope", "SELECT page_id, url = 'https:/' OR starts_with(url, 'https:/' || '/') OR starts_with('https:/', url || '/') AS visible FROM pages")
@@ -65,8 +65,8 @@ def m05(spark, sf):
     return X.restored(t, "b11", t.where(F.substring("item", 2, 20).cast("long") % 2 == 0).select("path"))
 
 
-_ORIGINS = "SELECT 'd' || (l_partkey % 3) AS drive, l_partkey AS id, 'i' || l_orderkey AS item, l_linenumber > 3 AS alias, l_returnflag <> 'R' AS live FROM lineitem WHERE l_orderkey % 5 = 0"
-_OTRASH = "SELECT 'd' || (l_partkey % 3) AS drive, l_partkey AS id, 'e' || l_orderkey AS entry_id, l_shipdate AS deleted_at FROM lineitem WHERE l_orderkey % 5 = 1"
+_ORIGINS = "SELECT 'd' || (l_partkey % 3) AS drive, l_partkey AS id, 'i' || l_orderkey AS item, l_linenumber > 3 AS alias, l_returnflag <> 'R' AS live FROM lineitem WHERE l_linenumber <= 5"
+_OTRASH = "SELECT 'd' || (l_partkey % 3) AS drive, l_partkey AS id, 'e' || l_orderkey AS entry_id, l_shipdate AS deleted_at FROM lineitem WHERE l_linenumber > 5"
 
 
 @query("j15_origin_lookup", f"""WITH w AS (SELECT 'd' || (p_partkey % 3) AS drive, p_partkey AS id FROM part), l AS (SELECT drive, id, arg_min(item, (alias, item)) AS item FROM ({_ORIGINS}) WHERE live GROUP BY 1, 2),
@@ -76,8 +76,8 @@ def j15(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     s = lambda c: F.col(c).cast("string")
     drive = lambda c: F.concat(F.lit("d"), (F.col(c) % 3).cast("string")).alias("drive")
-    origins = li.where("l_orderkey % 5 = 0").select(drive("l_partkey"), F.col("l_partkey").alias("id"), F.concat(F.lit("i"), s("l_orderkey")).alias("item"), (F.col("l_linenumber") > 3).alias("alias"), (F.col("l_returnflag") != "R").alias("live"))
-    gone = li.where("l_orderkey % 5 = 1").select(drive("l_partkey"), F.col("l_partkey").alias("id"), F.concat(F.lit("e"), s("l_orderkey")).alias("entry_id"), F.col("l_shipdate").alias("deleted_at"))
+    origins = li.where("l_linenumber <= 5").select(drive("l_partkey"), F.col("l_partkey").alias("id"), F.concat(F.lit("i"), s("l_orderkey")).alias("item"), (F.col("l_linenumber") > 3).alias("alias"), (F.col("l_returnflag") != "R").alias("live"))
+    gone = li.where("l_linenumber > 5").select(drive("l_partkey"), F.col("l_partkey").alias("id"), F.concat(F.lit("e"), s("l_orderkey")).alias("entry_id"), F.col("l_shipdate").alias("deleted_at"))
     return X.by_origin(p.select(drive("p_partkey"), F.col("p_partkey").alias("id")), origins, gone)
 
 
@@ -98,7 +98,7 @@ def m13(spark, sf):
 
 @query("a17_alias_promotion", f"SELECT drive, id, arg_min(item, (NOT live, item)) AS item, count(*) AS aliases FROM ({_ORIGINS}) WHERE alias GROUP BY drive, id")
 def a17(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 5 = 0 and l_linenumber > 3")
+    li = table(spark, sf, "lineitem").where("l_linenumber <= 5 and l_linenumber > 3")
     rows = li.select(F.concat(F.lit("d"), (F.col("l_partkey") % 3).cast("string")).alias("drive"), F.col("l_partkey").alias("id"), F.concat(F.lit("i"), F.col("l_orderkey").cast("string")).alias("item"), (F.col("l_returnflag") == "R").alias("dead"))
     return rows.groupBy("drive", "id").agg(F.min_by("item", F.struct("dead", "item")).alias("item"), F.count("*").alias("aliases"))
 
@@ -189,12 +189,12 @@ def a08(spark, sf):
 _UNREACHED = f"{WALK_SQL} SELECT 'o' || o_orderkey || '.metadata' AS key FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT id FROM w) OR o_orderkey % 37 = 0"
 
 
-@query("j18_unreachable", f"{WALK_SQL}, k AS (SELECT 'o' || l_orderkey || CASE WHEN l_linenumber % 2 = 0 THEN '.metadata' ELSE '' END AS key FROM lineitem WHERE l_linenumber <= 2) SELECT DISTINCT key FROM k WHERE replace(key, '.metadata', '') || 'x' NOT IN (SELECT id || 'x' FROM w WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 0)")
+@query("j18_unreachable", f"{WALK_SQL}, k AS (SELECT 'o' || l_orderkey || CASE WHEN l_linenumber % 2 = 0 THEN '.metadata' ELSE '' END AS key FROM lineitem) SELECT DISTINCT key FROM k WHERE replace(key, '.metadata', '') || 'x' NOT IN (SELECT id || 'x' FROM w WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 0)")
 def j18(spark, sf):
     from tidemark.functions.names import base_key
 
     key = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".metadata").otherwise(""))
-    keys = table(spark, sf, "lineitem").where("l_linenumber <= 2").select(key.alias("key")).distinct().withColumn("id", base_key(F.col("key")))
+    keys = table(spark, sf, "lineitem").select(key.alias("key")).distinct().withColumn("id", base_key(F.col("key")))
     reached = walked(spark, sf).where(F.substring("id", 2, 20).cast("long") % 3 != 0).select("id")
     return keys.join(reached, "id", "left_anti").select("key")
 

@@ -32,29 +32,29 @@ def s09(spark, sf):
     return versions(spark, sf).where(F.col("last_modified") <= ts("2024-01-10 00:00:00")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("s13_block_codec", "SELECT l_orderkey AS block, count(*) AS entries, min(l_linenumber || ':' || l_partkey) AS first FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey")
+@query("s13_block_codec", "SELECT l_orderkey AS block, count(*) AS entries, min(l_linenumber || ':' || l_partkey) AS first FROM lineitem GROUP BY l_orderkey")
 def s13(spark, sf):
     """Directory blocks encoded and decoded again, their entries exploded."""
     s = lambda c: F.col(c).cast("string")
     e = F.struct(s("l_linenumber").alias("name"), s("l_partkey").alias("uuid"), F.lit(1).cast("long").alias("type"))
-    b = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.collect_list(e).alias("entries"))
+    b = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(e).alias("entries"))
     b = b.select("l_orderkey", records.encoder("block")(F.struct("entries", F.lit(1).cast("long").alias("layout"))).alias("body"))
     rows = b.select("l_orderkey", F.explode(records.decoder("block")(F.col("body"))["entries"]).alias("e"))
     return rows.groupBy(F.col("l_orderkey").alias("block")).agg(F.count("*").alias("entries"), F.min(F.concat_ws(":", "e.name", "e.uuid")).alias("first"))
 
 
-@query("s15_dates_codec", "SELECT user_id AS key, count(*) AS n, max(date_trunc('second', ts)) AS latest FROM events WHERE event_id % 7 = 0 GROUP BY user_id")
+@query("s15_dates_codec", "SELECT user_id AS key, count(*) AS n, max(date_trunc('second', ts)) AS latest FROM events GROUP BY user_id")
 def s15(spark, sf):
     e = F.struct(F.col("event_id").cast("string").alias("version_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"))
-    d = table(spark, sf, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_list(e).alias("dates"))
+    d = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(e).alias("dates"))
     d = d.select("user_id", records.encoder("dates")(F.struct("dates", F.lit(1).cast("long").alias("layout"))).alias("body"))
     rows = d.select("user_id", F.explode(records.decoder("dates")(F.col("body"))["dates"]).alias("d"))
     return rows.groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"), F.max("d.at").cast(NTZ).alias("latest"))
 
 
-@query("s16_trash_codec", "SELECT 'e' || o_orderkey AS entry_id, '/c' || o_custkey || '/order-' || o_orderkey AS path, o_orderkey AS size FROM orders WHERE o_orderkey % 4 = 0")
+@query("s16_trash_codec", "SELECT 'e' || o_orderkey AS entry_id, '/c' || o_custkey || '/order-' || o_orderkey AS path, o_orderkey AS size FROM orders")
 def s16(spark, sf):
-    t = trash(spark, sf).where(F.substring("entry_id", 2, 20).cast("long") % 4 == 0)
+    t = trash(spark, sf)
     body = records.encoder("trash")(F.struct("entry_id", "path", F.substring("entry_id", 2, 20).cast("long").alias("size"), F.lit(1).cast("long").alias("layout")))
     return t.select(records.decoder("trash")(body).alias("r")).select("r.entry_id", "r.path", "r.size")
 
@@ -254,9 +254,9 @@ def m20(spark, sf):
     return table(spark, sf, "events").select("event_id", F.size(F.when(F.col("event_id") % 2 == 0, M.edited(two, drop)).otherwise(two)).alias("n"))
 
 
-@query("m21_app_objects", f"SELECT key, count(*) AS versions, max(seq) AS newest FROM ({V_SQL}) WHERE key % 10 = 1 AND NOT deleted GROUP BY key")
+@query("m21_app_objects", f"SELECT key, count(*) AS versions, max(seq) AS newest FROM ({V_SQL}) WHERE NOT deleted GROUP BY key")
 def m21(spark, sf):
-    return versions(spark, sf).where("key % 10 = 1 and not deleted").groupBy("key").agg(F.count("*").alias("versions"), F.max("seq").alias("newest"))
+    return versions(spark, sf).where("not deleted").groupBy("key").agg(F.count("*").alias("versions"), F.max("seq").alias("newest"))
 
 
 @query("m22_current_after_late", f"SELECT key, arg_max(seq, (eff, seq)) AS seq FROM ({EFF_SQL}) GROUP BY key")

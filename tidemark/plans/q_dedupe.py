@@ -75,13 +75,13 @@ def j20(spark, sf):
 
 
 @query("j04_decorated_versions", f"""SELECT e.event_id, s.sha, coalesce(r.size, CAST(floor(e.value) AS BIGINT)) AS size FROM events e
-LEFT JOIN (SELECT 'e' || doc_id AS etag, 'sha-' || doc_id AS sha FROM documents WHERE doc_id < 30) s ON s.etag = 'e' || (e.event_id % 50)
-LEFT JOIN (SELECT 'e' || doc_id AS etag, n_chars AS size FROM documents WHERE doc_id % 13 = 5 AND doc_id < 50) r ON r.etag = 'e' || (e.event_id % 50)""")
+LEFT JOIN (SELECT 'e' || (doc_id % 50) AS etag, 'sha-' || max(doc_id) AS sha FROM documents WHERE doc_id % 50 < 30 GROUP BY 1) s ON s.etag = 'e' || (e.event_id % 50)
+LEFT JOIN (SELECT 'e' || (doc_id % 50) AS etag, max(n_chars) AS size FROM documents WHERE doc_id % 13 = 5 AND doc_id % 50 < 20 GROUP BY 1) r ON r.etag = 'e' || (e.event_id % 50)""")
 def j04(spark, sf):
     d = table(spark, sf, "documents")
-    etag = F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("etag")
-    sums = d.where("doc_id < 30").select(etag, F.concat(F.lit("sha-"), F.col("doc_id").cast("string")).alias("sha"))
-    stubs = d.where("doc_id % 13 = 5 and doc_id < 50").select(etag, F.col("n_chars").alias("r_size"))
+    etag = F.concat(F.lit("e"), (F.col("doc_id") % 50).cast("string")).alias("etag")
+    sums = d.where("doc_id % 50 < 30").groupBy(etag).agg(F.concat(F.lit("sha-"), F.max("doc_id").cast("string")).alias("sha"))
+    stubs = d.where("doc_id % 13 = 5 and doc_id % 50 < 20").groupBy(etag).agg(F.max("n_chars").alias("r_size"))
     e = table(spark, sf, "events").select("event_id", F.floor("value").cast("long").alias("size"), F.concat(F.lit("e"), (F.col("event_id") % 50).cast("string")).alias("etag"))
     return e.join(sums, "etag", "left").join(stubs, "etag", "left").select("event_id", "sha", F.coalesce("r_size", "size").alias("size"))
 

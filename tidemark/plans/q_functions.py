@@ -282,10 +282,10 @@ def a07(spark, sf):
 
 @query("j22_inherited_acl", f"""{WALK_SQL}, own AS (SELECT id, path, depth, CASE WHEN id IN ('r1', 'n5', 'n7') OR (type = 'dir' AND CAST(substr(id, 2) AS BIGINT) % 17 = 0) THEN 'sd-' || id END AS sd FROM w),
 a AS (SELECT o.id, arg_max(p.sd, p.depth) AS sd, arg_max(p.path, p.depth) AS source FROM own o JOIN own p ON p.sd IS NOT NULL AND (o.path = p.path OR starts_with(o.path, p.path || '/')) GROUP BY o.id)
-SELECT own.id, a.sd, a.source FROM own LEFT JOIN a ON own.id = a.id WHERE own.depth <= 3""")
+SELECT own.id, a.sd, a.source FROM own LEFT JOIN a ON own.id = a.id""")
 def j22(spark, sf):
     """The nearest descriptor at or above each item: paths' prefixes joined on equality, then the deepest kept."""
-    w = walked(spark, sf, 3)
+    w = walked(spark, sf)
     named = F.col("id").isin("r1", "n5", "n7") | ((F.col("type") == "dir") & (F.substring("id", 2, 20).cast("long") % 17 == 0))
     own = w.where(named).select(F.col("path").alias("source"), F.concat(F.lit("sd-"), "id").alias("sd"), F.col("depth").alias("_d"))
     parts = F.split("path", "/")

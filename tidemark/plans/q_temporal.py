@@ -55,9 +55,9 @@ def s04(spark, sf):
     return versions(spark, sf).where("key = 3").orderBy(F.desc("seq")).limit(5).select("key", "seq")
 
 
-@query("s05_versions_since", f"SELECT key, seq, last_modified FROM ({V_SQL}) WHERE key < 50 AND NOT deleted AND last_modified >= TIMESTAMP '{AT}'")
+@query("s05_versions_since", f"SELECT key, seq, last_modified FROM ({V_SQL}) WHERE NOT deleted AND last_modified >= TIMESTAMP '{AT}'")
 def s05(spark, sf):
-    return versions(spark, sf).where((F.col("key") < 50) & ~F.col("deleted") & (F.col("last_modified") >= F.lit(AT).cast(NTZ))).select("key", "seq", "last_modified")
+    return versions(spark, sf).where(~F.col("deleted") & (F.col("last_modified") >= F.lit(AT).cast(NTZ))).select("key", "seq", "last_modified")
 
 
 @query("s06_live_keys", f"SELECT key, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM ({V_SQL})) WHERE rn = 1 AND NOT deleted")
