@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, sample_below, stable_hash
 
-BITS = 18
+BITS = 30
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -36,12 +36,19 @@ def word_ids(text: str | None, ids: _Ids) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Sorted hashes of the words with a weight, their weights, and the offset."""
+
+    known: np.ndarray
     w: np.ndarray
     b: float
     prior: float
 
     def score(self, ids: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.w[ids].sum(dtype=np.float64) + self.b, -30, 30))))
+        z = self.b
+        if len(self.known) and len(ids):
+            at = np.minimum(np.searchsorted(self.known, ids), len(self.known) - 1)
+            z += float(self.w[at[self.known[at] == ids]].sum())
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def _rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,20 +62,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     Words have a weight if ``least`` texts hold them and the share of toxic texts with the word is ``sigmas`` standard
     errors above that of unlabelled ones; more words would only let the classifier learn single texts by heart.
     """
-    size = 1 << BITS
-    w, b = np.zeros(size, np.float32), float(np.log(prior / (1 - prior)))
+    b = float(np.log(prior / (1 - prior)))
+    none = np.zeros(0, np.int32)
     if not positive or not unlabelled:
-        return Model(w, b if positive else -30.0, prior)
-    in_p, in_u = np.zeros(size), np.zeros(size)
-    for seen, sets in ((in_p, positive), (in_u, unlabelled)):
-        for ids in sets:
-            seen[ids] += 1
+        return Model(none, np.zeros(0), b if positive else -30.0, prior)
+    words, of = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
+    split = sum(map(len, positive))
+    in_p, in_u = np.bincount(of[:split], minlength=len(words)), np.bincount(of[split:], minlength=len(words))
     both = (in_p + in_u) / (len(positive) + len(unlabelled))
     error = np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
-    known = np.flatnonzero((in_p + in_u >= least) & (in_p / len(positive) - in_u / len(unlabelled) > sigmas * error))
-    place = np.full(size, -1, np.int64)
-    place[known] = np.arange(len(known))
-    inside = lambda sets: [place[s][place[s] >= 0] for s in sets]
+    known = words[(in_p + in_u >= least) & (in_p / len(positive) - in_u / len(unlabelled) > sigmas * error)]
+
+    def inside(sets: list[np.ndarray]) -> list[np.ndarray]:
+        at = [np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0)) for s in sets]
+        return [a[known[a] == s] if len(known) else a[:0] for a, s in zip(at, sets)]
+
     (pr, pc), (ur, uc) = _rows(inside(positive)), _rows(inside(unlabelled))
     n_p, n_u = len(positive), len(unlabelled)
     v = np.zeros(len(known) + 1)
@@ -90,19 +98,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         grad[-1] += dp.sum() + du.sum()
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         v = v - rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-    w[known] = best[:-1]
-    return Model(w, float(best[-1]), prior)
+    return Model(known, best[:-1], float(best[-1]), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = 2500, unlabelled: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = 3000, unlabelled: int = 12000, lean: float = 1.08, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on bounded samples: about ``positives`` toxic rows, and about ``unlabelled`` of all rows, whatever their label.
 
+    The prior leans upwards a little (``lean``): where it is set too low, texts with one telling word stay undecided.
+
     The second sample has toxic texts in their natural share, as the risk estimator supposes. ``usable`` is a condition on a column doc_id. The class prior is the share of toxic rows among usable labelled ones.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(usable).where("doc_id is not null and y is not null")
     n_all, n_pos = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("int")), F.lit(0))).first()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(usable).where("doc_id is not null and text is not null")
-    prior = min(0.5, max(1e-3, n_pos / n_all)) if n_all else 0.01
+    prior = min(0.5, max(1e-3, lean * n_pos / n_all)) if n_all else 0.01
     toxic = sample_below(marks.where("y = 1"), positives, n_pos, F.col("doc_id"), F.lit(5)).select("doc_id").distinct()
     ids = sorted(r[0] for r in toxic.collect())  # bounded by ``positives``
     total = rows.count()
