@@ -58,6 +58,14 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = brute(docs, items)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
     assert 0 < len(want) < len(docs) - 10
+    odd = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 AS lang_pred", "'s' AS secret_spans", "2 AS _id", "3 AS _text", "4 AS score", "5 AS sig", "6 AS component_id", "7 AS `a.b`")
+    columns, before = odd.columns, odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, str(tmp_path))
+        assert odd.columns == columns
+    rows = odd.collect()
+    assert rows and all((r.lang_pred, r.secret_spans, r["_id"], r["_text"], r.score, r.sig, r.component_id, r["a.b"]) == (1, "s", 2, 3, 4, 5, 6, 7) for r in rows)
+    assert sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).collect())) == want and before.count() == len(docs)
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, str(tmp_path))
