@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, language_id, ngram_join, secret_scan, sentencepiece_codec
@@ -10,11 +10,16 @@ from tidemark.llm.common import fold, table, written
 from tidemark.llm.queries import tokenizer_path
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified, with the language put into lang; those without a letter to tell by go."""
     model = language_id.train(docs, fold(F.col("doc_id"), 4) != 2)
-    found = language_id.annotated(docs, model).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language_id.annotated(docs, model, lang_out="_stage_lang", score_out="_stage_score").where("_stage_lang <> 'und'")
+    return found.withColumn("lang", F.col("_stage_lang")).select(*own_columns(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars follows the text."""
-    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*own_columns(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

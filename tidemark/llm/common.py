@@ -69,7 +69,7 @@ def sample_below(df: DataFrame, keep: int, total: int, *keys: Column) -> DataFra
 class WordHashes(dict):
     """A word's 64-bit hash, remembered for at most ``most`` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 
@@ -90,11 +90,23 @@ def rows_of(batch: pa.RecordBatch, at_once: int = 128) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.slice(start, at_once).columns))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on batches: texts are long, and thousands of them at once cost each task tens of MB.
+
+    Arrow batches, else of up to 64 MB outside the heap, and the Parquet reader's vectors, else of 4,096 rows.
+    """
+    for key, most in (("execution.arrow.maxBytesPerBatch", 4 << 20), ("execution.arrow.maxRecordsPerBatch", 2000), ("parquet.columnarReaderBatchSize", 256)):
+        now = int(str(spark.conf.get(f"spark.sql.{key}")).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.{key}", str(most))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple]], schema: str, rows_out: int = 512) -> DataFrame:
     """Map each row through a function that ``make`` builds once in each task; results leave in small batches."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +128,7 @@ def flat_map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], list[tuple
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

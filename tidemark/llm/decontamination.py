@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from .common import WordHashes, flat_map_rows
+from .common import WordHashes, flat_map_rows, small_batches
 from .shingles import ngrams, words_of
 
 N = 5
@@ -136,10 +136,10 @@ def search(docs: DataFrame, items: DataFrame, least: tuple[int, int] = LEAST, n:
 def _holder(index: Index):
     """A function on text columns: whether the text contains one of the index's items."""
 
-    @pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
+    @arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
         hashes = WordHashes()
-        return pd.Series([bool(index.found_in(t, hashes)) for t in texts], dtype=bool)
+        return pa.array([bool(index.found_in(t.as_py(), hashes)) for t in texts], pa.bool_())
 
     return holds
 
@@ -149,6 +149,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Rows are judged by their own text in place, so nothing is joined back.
     """
+    small_batches(docs.sparkSession)
     own = items.select("item_id", "text").where("text is not null")
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-size // most_items_bytes))

@@ -6,11 +6,11 @@ import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, sample_below
+from .common import map_rows, sample_below, small_batches
 
 # Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -164,11 +164,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def annotated(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
     """The rows of docs, all columns, with the predicted language and its score as two more; cases as for predict()."""
-    from pyspark.sql.pandas.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf("struct<lang string, score double>")
-    def f(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+    @arrow_udf("struct<lang string, score double>")
+    def f(texts: pa.Array) -> pa.Array:
+        found = [model.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])
 
+    small_batches(docs.sparkSession)
     both = docs.withColumn("_lang_of_text", f(F.col(text_col)))
     return both.withColumn(lang_out, F.col("_lang_of_text.lang")).withColumn(score_out, F.col("_lang_of_text.score")).drop("_lang_of_text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_map_rows, rows_of, written
+from .common import flat_map_rows, rows_of, small_batches, written
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -179,7 +179,7 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     a token for its end, so null and empty texts have one token. Null ids and repeated rows stay, each scored alone;
     other columns are not read; an empty table gives an empty result; with nothing to learn from, all words are unknown.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     learned = rows.where(F.coalesce(trains, F.lit(False)))

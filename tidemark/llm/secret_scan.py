@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The forms. Runs are matched whole, so a lower bound in the pattern drops just the matches that fall short.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -96,15 +98,11 @@ def _found(df: DataFrame, name: str, pattern: str, rank: int) -> DataFrame:
     return df.withColumn(name, F.when(F.size(f"_m_{name}") > 0, _starts(gaps, F.col(f"_m_{name}"), rank)).otherwise(none))
 
 
-def spans(docs: DataFrame, threshold: float = 12.0, text_col: str = "text") -> DataFrame:
-    """docs with one more column, secret_spans: array of (start, rank, end) by start and rank; rank is the place in KINDS.
-
-    start and end are code points, end exclusive. Null and empty texts have none. Matches of one kind never overlap;
-    the models' spans are those that no fixed form overlaps. No other column is read, none is altered.
-    """
+def _scanned(docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
+    """(_row, _spans): each row whole, as a struct, so that no column of its own meets one of the scan's; and its spans."""
+    small_batches(docs.sparkSession)
     table = F.array(*[F.lit(x) for x in train(docs.sparkSession)])
-    own = docs.columns
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     df = _found(df, "_assign", ASSIGN, 0)
     secret = F.transform("_m__assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)))
     df = df.withColumn("_assign", F.transform(F.filter(F.arrays_zip(F.col("_assign").alias("s"), secret.alias("n")), lambda x: x["n"] >= LEAST_SECRET), lambda x: x["s"]))
@@ -117,7 +115,16 @@ def spans(docs: DataFrame, threshold: float = 12.0, text_col: str = "text") -> D
         lambda x: ~F.exists("_base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])) & (log_ratio(x["m"], table) >= threshold),
     )
     df = df.withColumn("_markov", F.when(F.size("_markov") > 0, F.transform(judged, lambda x: x["s"])).otherwise(F.col("_markov")))
-    return df.select(*[F.col(f"`{c}`") for c in own], F.array_sort(F.concat("_base", "_markov")).alias("secret_spans"))
+    return df.select("_row", F.array_sort(F.concat("_base", "_markov")).alias("_spans"))
+
+
+def spans(docs: DataFrame, threshold: float = 12.0, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+    """docs with one more column, named by ``out``: array of (start, rank, end) by start and rank; rank is the place in KINDS.
+
+    start and end are code points, end exclusive. Null and empty texts have none. Matches of one kind never overlap;
+    the models' spans are those that no fixed form overlaps. Other columns, of whatever name, are kept as they are.
+    """
+    return _scanned(docs, threshold, text_col).select("_row.*", F.col("_spans").alias(out))
 
 
 def as_text(found: Column) -> Column:
@@ -139,15 +146,15 @@ def report(docs: DataFrame, threshold: float = 12.0, id_col: str = "doc_id", tex
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 12.0, text_col: str = "text") -> DataFrame:
     """docs with each span of a secret replaced by mark in the text; overlapping spans become one; null texts stay null."""
-    df = spans(docs, threshold, text_col)
-    text = F.col(text_col)
+    df = _scanned(docs, threshold, text_col)
+    text = F.col(f"_row.`{text_col}`")
     put = F.aggregate(
-        "secret_spans",
+        "_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    changed = F.when(F.size("secret_spans") > 0, put).otherwise(text)
-    return df.withColumn(text_col, changed).drop("secret_spans")
+    changed = F.when(F.size("_spans") > 0, put).otherwise(text)
+    return df.select(*[changed.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
