@@ -95,8 +95,9 @@ def test_prefix_bound_holds():
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 1000 for i in range(1000, 1100)) and got[5000] == 5000
+    for most in (300_000, 0):
+        got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), most_in_task=most).collect()))
+        assert all(got[i] == 0 for i in range(41)) and all(got[i] == 1000 for i in range(1000, 1100)) and got[5000] == 5000
 
 
 def test_one_of_each_and_empty(spark):

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, dropped, flat_map_rows, map_rows, rows_of, written
-from .components import components
+from .common import WordHashes, dropped, flat_map_rows, map_rows, rows_of, small_batches, written
+from .components import Forest, components
 from .shingles import shingle_set
 
 N = 5
@@ -212,24 +212,6 @@ def _summed_counts(table: pa.Table) -> pa.Table:
     return pa.table({"sig48": pa.array(every.astype(np.int64)), "shared": pa.array(total.astype(np.int64))})
 
 
-class Forest:
-    """Union-find over 0..n-1; a root is the least member of its set."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 class PrefixTree:
     """Sets as paths of n-gram ranks, with one-way stretches in one node."""
 
@@ -400,9 +382,9 @@ def _group_edges(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(every), "b": pa.array(every[roots])})
 
 
-def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 1_000_000, most_frequent: int = 300_000) -> DataFrame:
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 500_000, most_frequent: int = 300_000) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) for each row; see components_of() for what the columns mean."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = written(_described(rows, ngram), "join-rows")
     described = found.where("n_shingles is not null").select("doc_id", "n_shingles", "sig")
@@ -411,11 +393,14 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = Order(np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64))
     classes = written(described.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "join-classes")
     n_grams, n_classes = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_buckets = max(8, int(n_grams * 0.4 / 400_000))
+    # A bucket holds 400,000 prefix n-grams, on very large inputs up to ten times as many, and a block some for each bucket.
+    prefix_grams = n_grams * 0.4
+    n_buckets = max(8, int(prefix_grams / min(4_000_000, max(400_000, prefix_grams / 20_000))))
+    block = min(4_000_000, max(500_000, 64 * n_buckets))
 
     # Classes that share enough n-grams with others for a link.
     n_parts = max(12, -(-n_classes // 100_000))
-    counted = _blocks(rows, n_buckets, link, ngram, order).groupBy("bucket").applyInArrow(lambda t: _shared_counts(t, n_parts), "part int, sigs binary, counts binary")
+    counted = _blocks(rows, n_buckets, link, ngram, order, block).groupBy("bucket").applyInArrow(lambda t: _shared_counts(t, n_parts), "part int, sigs binary, counts binary")
     met = counted.groupBy("part").applyInArrow(_summed_counts, "sig48 long, shared long")
     low48 = F.col("sig").bitwiseAND(F.lit(MASK_SIG))
     need_common = F.ceil(F.col("n") * link[0] / link[1])
@@ -423,10 +408,11 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = classes.join(met, low48 == F.col("sig48")).where(F.col("shared") >= need).select("sig", "least", "n")
     left = written(left, "join-left")
     n_left = left.count()
+    few = lambda df: F.broadcast(df) if n_left <= most_ids else df  # noqa: E731  for tables of at most a row for each class left
 
     # Their whole sets. Rows are found by id; by broadcast only where the ids are few.
     ids = left.select(F.col("least").alias("doc_id")).distinct()
-    picked = rows.join(F.broadcast(ids) if n_left <= most_ids else ids, "doc_id", "left_semi")
+    picked = rows.join(few(ids), "doc_id", "left_semi")
 
     def sets():
         hashes = WordHashes()
@@ -438,7 +424,7 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return one
 
     whole = map_rows(picked, sets, "sig long, n long, grams binary", 256)
-    whole = written(whole.join(F.broadcast(left.select("sig")) if n_left <= most_ids else left.select("sig"), "sig", "left_semi"), "join-sets")
+    whole = written(whole.join(few(left.select("sig")), "sig", "left_semi"), "join-sets")
     parts = max(12, int(n_left * 150 / 1_500_000))
 
     def prefixes():
@@ -451,12 +437,17 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return one
 
     near = flat_map_rows(whole.select("sig", "grams"), prefixes, "bucket int, sig long, grams binary")
-    groups = components(near.groupBy("bucket").applyInArrow(_group_edges, "a long, b long"))
+    # Each bucket links a class to a root of its own, at most as many as it has prefix n-grams. Most buckets agree; only
+    # where they don't are there links between roots left to follow.
+    stars = near.groupBy("bucket").applyInArrow(_group_edges, "a long, b long").groupBy("a").agg(F.min("b").alias("r"), F.collect_set("b").alias("bs"))
+    stars = written(stars, "join-stars")
+    between = components(stars.select(F.explode("bs").alias("a"), F.col("r").alias("b")).where("a <> b"))
+    groups = stars.select("a", "r").join(few(between), F.col("r") == F.col("v"), "left").select(F.col("a").alias("v"), F.coalesce("root", "r").alias("root"))
     # Which group each class is in, and how large that is; the sets themselves move once, to their groups.
-    of_group = left.select("sig", "n").join(groups, F.col("sig") == F.col("v")).select("sig", "n", "root")
+    of_group = groups.join(few(left.select("sig", "n")), F.col("sig") == F.col("v")).select("sig", "n", "root")
     sizes = of_group.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
-    placed = written(of_group.join(sizes, "root").select("sig", "root", "total"), "join-groups")
-    sized = whole.join(F.broadcast(placed) if n_left <= most_ids else placed, "sig")
+    placed = written(of_group.join(few(sizes), "root").select("sig", "root", "total"), "join-groups")
+    sized = whole.join(few(placed), "sig")
     small = _grouped(sized.where(F.col("total") <= most_in_group), ["root"], link)
     large = sized.where(F.col("total") > most_in_group)
     edges = small
@@ -496,8 +487,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone, twice = ids.where("stays = 0").select(F.col("doc_id").alias("_id")), ids.where("stays = 1 and n > 1").select(F.col("doc_id").alias("_id"))
     n_gone, n_twice = gone.count(), twice.count()
     few = lambda side, n: F.broadcast(side) if n <= most_ids else side
-    kept = docs.join(few(gone, n_gone), docs[id_col] == F.col("_id"), "left_anti")
+    kept = docs.join(few(gone, n_gone), docs[id_col] == gone["_id"], "left_anti")
     if n_twice:
-        once = kept.join(few(twice, n_twice), kept[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
-        kept = kept.join(few(twice, n_twice), kept[id_col] == F.col("_id"), "left_anti").unionAll(once)
+        once = kept.join(few(twice, n_twice), kept[id_col] == twice["_id"], "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(few(twice, n_twice), kept[id_col] == twice["_id"], "left_anti").unionAll(once)
     return kept
