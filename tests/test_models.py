@@ -68,6 +68,9 @@ def test_late_add_and_remove_change_only_their_span(spark):
     for d in range(20):
         assert got[d] == before[d] | set(range(10, 30))
     assert sorted(map(str, T.fill_in(added, edit).collect())) == sorted(map(str, added.collect()))  # played again: nothing
+    late = edit.withColumn("seq", F.lit(1).cast("long"))
+    assert all(r.holds for r in T.settle_proof(spans, added, late).collect())
+    assert not all(r.holds for r in T.settle_proof(spans, spans, late).collect())
     cut = T.cut_out(spans, edit).collect()
     for d in range(20):
         own = {t for a, b, i in model[d] if i == "i0" for t in range(a, b)}
@@ -187,3 +190,12 @@ def test_part_size_and_moments(spark):
     assert [r.p for r in df.collect()] == [8 << 20, 8 << 20, 16 << 20, 5 << 30]
     df = spark.createDataFrame([("2024-02-28",), ("2024-02-28 10:11",), ("no",)], "t string").select(V.as_of_moment(F.col("t")).alias("m"))
     assert [r.m for r in df.collect()] == [datetime.datetime(2024, 2, 28, 23, 59, 59, 999999), datetime.datetime(2024, 2, 28, 10, 11), None]
+
+
+def test_commands_are_registered():
+    from tidemark import commands
+    from tidemark.plans import registry
+
+    assert set(commands.COMMANDS.values()) <= set(registry.queries())
+    with pytest.raises(KeyError):
+        commands.command("fs fly")

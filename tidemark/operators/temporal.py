@@ -204,3 +204,36 @@ def folder_states(spans: DataFrame) -> DataFrame:
     states = steps.select("dir", F.explode(F.aggregate("steps", zero, step, lambda acc: acc["out"])).alias("s")).select("dir", "s.*")
     w = Window.partitionBy("dir").orderBy("at")
     return states.withColumn("_was", F.lag("digest").over(w)).where("_was is null or _was <> digest").drop("_was")
+
+
+def settle_proof(before: DataFrame, after: DataFrame, additions: DataFrame) -> DataFrame:
+    """(dir, states, holds): whether every state after a settle is the one before with the covering additions replayed.
+
+    before and after are lifetimes, additions (dir, name, item, at, until, seq). An addition takes a name that is free at
+    that moment; of several the first in order of (at, seq). Each folder is an ordered fold of its own, so one folder has
+    to fit a task. The last state is the present one: it holds all that is open and, where none covers it, nothing else.
+    """
+
+    def held(rows, t):
+        return {r.name: r.item for r in rows if r.from_at <= t and (r.to_at is None or r.to_at > t)}
+
+    def prove(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        clean = pdf.astype(object).where(pdf.notna(), None)
+        part = {side: list(rows.itertuples(index=False)) for side, rows in clean.groupby("side")}
+        old, new, adds = (part.get(k, []) for k in (0, 1, 2))
+        adds.sort(key=lambda r: (r.from_at, r.seq))
+        moments = sorted({t for r in [*old, *new, *adds] for t in (r.from_at, r.to_at) if t is not None})
+        holds = True
+        for t in moments:
+            want = held(old, t)
+            for a in adds:
+                if a.from_at <= t < a.to_at:
+                    want.setdefault(a.name, a.item)
+            holds = holds and held(new, t) == want
+        return pd.DataFrame({"dir": [key[0]], "states": [len(moments)], "holds": [holds]})
+
+    side = lambda df, n, f, t, seq: df.select("dir", "name", "item", F.col(f).alias("from_at"), F.col(t).alias("to_at"), F.lit(n).alias("side"), seq.alias("seq"))
+    zero = F.lit(0).cast("long")
+    rows = side(before, 0, "from_at", "to_at", zero).unionAll(side(after, 1, "from_at", "to_at", zero)).unionAll(side(additions, 2, "at", "until", F.col("seq")))
+    kind = rows.schema["dir"].dataType.simpleString()
+    return rows.groupBy("dir").applyInPandas(prove, f"dir {kind}, states long, holds boolean")

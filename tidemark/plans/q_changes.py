@@ -14,6 +14,7 @@ from tidemark.sources import records
 from tidemark.sources.adapters import C_SQL, E_SQL, EFF_SQL, K_SQL, V_SQL, contents, dates, entries, locks, table, trash, versions
 from tidemark.streaming import feed
 
+from . import q_temporal
 from .catalog import Catalog
 from .q_tree import WALK_SQL, walked
 
@@ -264,17 +265,18 @@ def m22(spark, sf):
     return T.newest(T.effective(versions(spark, sf), dates(spark, sf)), ["key"], [F.col("eff"), F.col("seq")], ["key", "seq"])
 
 
-@query("w15_settle_proof", f"SELECT DISTINCT key AS folder, true AS holds FROM ({V_SQL})")
+_MARKS = f"""WITH l AS ({q_temporal.ORACLE['w08_lifetimes']}), n AS ({q_temporal.ORACLE['w11_late_add']}),
+m AS (SELECT dir, from_at AS t FROM l UNION SELECT dir, to_at FROM l WHERE to_at IS NOT NULL UNION SELECT dir, from_at FROM n UNION SELECT dir, to_at FROM n WHERE to_at IS NOT NULL
+UNION SELECT dir, TIMESTAMP '2024-01-08 00:00:00' FROM l WHERE dir % 3 = 0 UNION SELECT dir, TIMESTAMP '2024-01-16 00:00:00' FROM l WHERE dir % 3 = 0)"""
+
+
+@query("w15_settle_proof", f"{_MARKS} SELECT dir AS folder, count(*) AS states, true AS holds FROM m GROUP BY dir")
 def w15(spark, sf):
-    """Each folder's states rebuilt from the first one and the changes, and held against the states read: no difference may be left."""
-    from .q_temporal import changes
-
-    spans = T.lifetimes(changes(spark, sf))
-    present = T.newest(changes(spark, sf), ["dir", "name"], [F.col("at"), F.col("seq")], ["dir", "name", "item", "present"]).where("present")
-    rebuilt = spans.where("to_at is null").select("dir", "name", "item")
-    wrong = present.select("dir", "name", "item").exceptAll(rebuilt).unionAll(rebuilt.exceptAll(present.select("dir", "name", "item"))).select(F.col("dir").alias("folder"), F.lit(True).alias("wrong")).distinct()
-    folders = versions(spark, sf).select(F.col("key").alias("folder")).distinct()
-    return folders.join(wrong, "folder", "left").select("folder", F.col("wrong").isNull().alias("holds"))
+    """The late additions of w11 proved: each state of each folder rebuilt from the one before and the changes replayed."""
+    before = q_temporal.QUERIES["w08_lifetimes"](spark, sf)
+    late = before.where("dir % 3 = 0").select("dir", "name").distinct()
+    late = late.select("dir", "name", F.lit("late").alias("item"), ts("2024-01-08 00:00:00").alias("at"), ts("2024-01-16 00:00:00").alias("until"), F.lit(1).cast("long").alias("seq"))
+    return T.settle_proof(before, T.fill_in(before, late), late).select(F.col("dir").alias("folder"), "states", "holds")
 
 
 @query("w16_settled_states", f"""SELECT key AS folder, count(*) AS states FROM (SELECT DISTINCT key, eff FROM ({EFF_SQL})) GROUP BY key""")

@@ -45,8 +45,8 @@ def s21(spark, sf):
 @query("s22_folder_listing")
 def s22(spark, sf):
     """A folder as entries: path, size and second of change; the files' bytes aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf}/region.parquet*")
-    name = F.regexp_extract("path", "([^/]+)$", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf)
+    name = F.regexp_extract("path", "([^/]+(?:/part-[^/]*)?)$", 1)
     return files.where(~name.startswith("._")).select(name.alias("path"), F.lit(False).alias("dir"), F.col("length").alias("size"), F.date_trunc("second", "modificationTime").cast("timestamp_ntz").alias("mtime"))
 
 
