@@ -64,3 +64,13 @@ def test_nothing_to_learn_from(spark):
     out = sorted(M.score(df, F.lit(False)).collect())
     assert [r.n_known for r in out] == [0, 0] and [r.n_tokens for r in out] == [3, 1] and out[0].train_tokens == 0
     assert M.score(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_words_beyond_the_first_are_exchanged_too(spark):
+    rng = random.Random(7)
+    a, b = [f"a{i}xyz" for i in range(40)], [f"b{i}xyz" for i in range(40)]  # endings tell nothing
+    rows = [(i, " ".join(f"{rng.choice(a)} {rng.choice(b)}" for _ in range(8))) for i in range(200)]
+    probe = [(1000, "a31xyz b37xyz a39xyz b33xyz"), (1001, "a31xyz a39xyz b37xyz b33xyz")]
+    got = M.score(spark.createDataFrame(rows + probe, "doc_id long, text string"), F.col("doc_id") < 1000, clustered=4, classes=2)
+    fits, scrambled = (r.score for r in sorted(got.where("doc_id >= 1000").collect()))
+    assert fits > scrambled + 1

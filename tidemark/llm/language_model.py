@@ -1,10 +1,11 @@
 """Class-based n-gram language model: Brown classes found by exchange clustering.
 
 A word's chance is that of its class after the class before, times that of the word within its class. Every training
-document is counted. The classes of the most frequent words are found by exchanging words between classes while that
-raises the likelihood of the corpus's class bigrams; every other word takes the class that words with its ending most
-often have. Only those bounded tables are held in memory; the counts of rarer words stay in a distributed table and
-meet the scored texts in a join, after being summed up within each text.
+document is counted. Every word seen twice or more gets its class by exchange: words move between classes while that
+raises the likelihood of the corpus's class bigrams. The most frequent words are exchanged one by one in memory and
+start the classes; then all words are, over distributed bigram counts, many at a time. Words seen once or never take the
+class that words with their ending most often have. Classes grow in number with the cube root of the vocabulary. Held in
+memory are a table of classes by classes and the most frequent words; all else meets the texts in joins.
 """
 
 from __future__ import annotations
@@ -12,14 +13,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_map_rows, rows_of, small_batches, written
+from .common import dropped, flat_map_rows, rows_of, small_batches, written
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,52 +51,17 @@ def count_words(rows: DataFrame, most: int = 300_000) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-@dataclass
-class Classes:
-    """Class of each clustered word, of word endings, and of all else; the end of a text has the last class."""
-
-    of_word: dict[bytes, int]
-    of_ending: dict[bytes, int]
-    other: int
-    end: int
-
-    def of(self, word: bytes) -> int:
-        c = self.of_word.get(word)
-        if c is None:
-            c = self.of_ending.get(ending(word), self.other)
-        return c
-
-
-class Remembered(dict):
-    """The classes of words met, at most ``most`` of them at a time."""
-
-    def __init__(self, classes: Classes, most: int = 300_000):
-        super().__init__()
-        self.classes, self.most = classes, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        c = self[word] = self.classes.of(word)
-        return c
-
-
-def ending(word: bytes) -> bytes:
-    """What a rare word is classed by: its last three bytes and whether it has bytes beyond ASCII."""
-    return word[-3:] + (b"" if word.isascii() else b"\xff")
-
-
-def bigrams(rows: DataFrame, ids: Remembered | dict[bytes, int], size: int, end: int, default: int | None) -> np.ndarray:
+def bigrams(rows: DataFrame, ids: dict[bytes, int], size: int, end: int, default: int) -> np.ndarray:
     """Counts of neighbouring ids over all rows, as a size x size table; every text starts after ``end`` and ends with it.
 
-    default is the id of words that aren't in ids (None: ids gives all). Each task sums up its own table and sends its
+    default is the id of words that aren't in ids. Each task sums up its own table and sends its
     non-empty rows; those are added up by row before the driver gets the one bounded table.
     """
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        look = ids.__getitem__ if default is None else lambda w, g=ids.get: g(w, default)
+        look = lambda w, g=ids.get: g(w, default)
         for batch in batches:
             for (text,) in rows_of(batch):
                 words = words_of(text)
@@ -120,7 +85,7 @@ def bigrams(rows: DataFrame, ids: Remembered | dict[bytes, int], size: int, end:
     return out
 
 
-def exchange(counts: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
     """Class of each word, from counts of word bigrams; the last row and column, the text's end, keep a class of their own.
 
     Starts from words dealt out by frequency, and moves one word at a time to the class that raises the sum of
@@ -136,7 +101,7 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
     to_class[:], from_class[:] = counts @ member, counts.T @ member
     table = member.T @ to_class
     xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0.0)
-    for _ in range(rounds):
+    while True:
         moved = 0
         for w in range(n):
             old, both = of[w], counts[w, w]
@@ -167,8 +132,111 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
                 from_class[:, old] -= counts[w]
                 from_class[:, new] += counts[w]
         if not moved:
-            break
-    return of
+            return of
+
+
+def ending(word: Column) -> Column:
+    """What a word seen once or never is classed by: its last three bytes and whether it has bytes beyond ASCII."""
+    return F.concat(F.substring(word, -3, 3), F.when(word.cast("string").rlike(r"[^\x00-\x7F]"), F.lit(b"\xff")).otherwise(F.lit(b"")))
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(a, b, n): how often the word hashed to b comes after that hashed to a; every text starts after 0 and ends with it."""
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    s = rows.select(F.concat(F.array(F.lit(0).cast("long")), F.transform(words, lambda w: F.xxhash64(w)), F.array(F.lit(0).cast("long"))).alias("s"))
+    pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b"))
+    return s.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0.0)
+
+
+def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most for each of some words, each moved alone; its own if none does.
+
+    right and left: words x classes, counts of the classes after and before each word. table: classes x classes, with
+    the words where they are. A word's pairs with itself are counted with its old class.
+    """
+    k, i = len(table), np.arange(len(old))
+    row, col = table.sum(1), table.sum(0)
+    out, into = right.sum(1), left.sum(1)
+    gain = np.zeros((len(old), k))
+    for own, other, t in ((right, left, table.T), (left, right, table)):
+        w, d = np.nonzero(own)
+        n = own[w, d]
+        cells = t[d]  # what each class has with d, the word's own pairs taken out
+        cells[np.arange(len(w)), old[w]] -= n
+        same = d == old[w]
+        cells[same] -= other[w[same]]
+        cells = np.maximum(cells, 0)
+        part = _xlogx(cells + n[:, None]) - _xlogx(cells)
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        if len(starts):
+            gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
+    for total, n in ((row, out), (col, into)):
+        rest = np.repeat(total[None, :], len(old), 0)
+        rest[i, old] -= n
+        gain -= _xlogx(rest + n[:, None]) - _xlogx(rest)
+    gain[old < k - 1, k - 1] = -np.inf  # the last class is the text's end alone
+    new = np.argmax(np.round(gain, 6), 1)
+    return np.where(gain[i, new] > gain[i, old] + 1e-6, new, old)
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+def exchange_all(pairs: DataFrame, start: DataFrame, k: int, other: int, least: float = 0.01) -> DataFrame:
+    """(h, class) of all words of start, exchanged between classes until a round gains under ``least`` of all gain so far.
+
+    start: (h, class), with 0 in class k - 1. Words that aren't in it have the class ``other`` throughout. In each
+    round, every word's best class is sought given the last round's classes; after the first, half of the words move,
+    by turns, so that neighbours don't change places for ever. A round that lowers the likelihood is undone.
+    """
+    spark, now, kept, first, last, still = pairs.sparkSession, start, start, None, None, 0
+    turn = 0
+    while True:
+        known = now.select(F.col("h").alias("_h"), F.col("class").alias("_c"))
+        of = F.coalesce("_c", F.lit(other)).alias("d")
+        before = pairs.join(known, F.col("a") == F.col("_h"), "left").groupBy(F.col("b").alias("h"), of).agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
+        after = pairs.join(known, F.col("b") == F.col("_h"), "left").groupBy(F.col("a").alias("h"), of).agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
+        met = before.unionAll(after).groupBy("h").agg(F.collect_list(F.struct("side", "d", "n")).alias("met"))
+        met = written(met.join(now, "h", "left").select("h", "class", "met"), "lm-met")
+        steps = met.select(F.coalesce("class", F.lit(other)).alias("c"), F.inline("met")).where("side = 1").groupBy("d", "c").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros((k, k))
+        if steps.num_rows:
+            table[steps["d"].to_numpy(), steps["c"].to_numpy()] = steps["n"].to_numpy()
+        value = likelihood(table)
+        first = value if first is None else first
+        if last is not None:
+            if value < last:
+                return kept
+            still = still + 1 if value - last < least * max(value - first, 1e-9) else 0
+            if still == 2:  # both halves have had their turn
+                return now
+        if last is not None and turn > 1:
+            dropped(kept)
+        last, kept = value, now
+
+        def run(batches: Iterator[pa.RecordBatch], table=table, turn=turn) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    h, old, lists = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2)
+                    w = np.repeat(np.arange(len(old)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    side, d, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                    vectors = np.zeros((2, len(old), k))
+                    np.add.at(vectors, (side, w, d), n)
+                    new = better(table, old, vectors[0], vectors[1])
+                    ids = h.to_numpy(zero_copy_only=False)
+                    moves = (ids != 0) & ((turn == 0) | ((ids & 1) == turn % 2))
+                    yield pa.RecordBatch.from_arrays([h, pa.array(np.where(moves, new, old), pa.int32())], names=["h", "class"])
+
+        now = written(met.where("class is not null").mapInArrow(run, "h long, class int"), "lm-classes")
+        dropped(met)
+        turn += 1
 
 
 def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int = 48, frequent: int = 60_000, smooth: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,88 +246,108 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     log10 probability; score the class model's, perplexity 10 to the power of -score / n_tokens. Every text ends with
     a token for its end, so null and empty texts have one token. Null ids and repeated rows stay, each scored alone;
     other columns are not read; an empty table gives an empty result; with nothing to learn from, all words are unknown.
+    ``classes`` and ``clustered`` are the least numbers of classes and of words that start them: both grow with the
+    vocabulary. ``frequent`` words are looked up in memory, the others in joins, to the same result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    learned = rows.where(F.coalesce(trains, F.lit(False)))
+    chosen = F.coalesce(trains, F.lit(False))
+    learned = rows.where(chosen)
     vocabulary = written(count_words(learned), "lm-words")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, repeated = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") > 1)).first()
     ends = learned.count()
     n_all, v_all = total + ends, distinct + (ends > 0)
-    top = [(bytes(r[0]), r[1]) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()]
-
-    m = min(clustered, len(top))
-    places = {w: i for i, (w, _) in enumerate(top[:m])}
-    # Words that aren't clustered stand between the clustered ones as one more word, so that pairs don't close up over them.
-    pairs = bigrams(learned, places, m + 2, m + 1, m)
-    of = exchange(pairs, classes)
-    k = int(of.max()) + 1
-    of_word = {w: int(of[i]) for i, (w, _) in enumerate(top[:m])}
-    endings: dict[bytes, Counter[int]] = {}
-    for w, c in top[:m]:
-        endings.setdefault(ending(w), Counter())[of_word[w]] += c
-    best = lambda counter: min(counter, key=lambda c: (-counter[c], c))
-    clusters = Classes(of_word, {e: best(c) for e, c in endings.items()}, int(of[m]), k - 1)
-    steps = bigrams(learned, Remembered(clusters), k, k - 1, None)
-
-    into = steps.sum(0)  # tokens of each class
-    log_step = np.log10((steps + smooth) / (steps.sum(1, keepdims=True) + smooth * k))
+
+    classes = max(classes, round(repeated ** (1 / 3)))
+    seeds = [bytes(r[0]) for r in vocabulary.orderBy(F.desc("c"), "word").limit(max(clustered, 4 * classes)).collect()]
+    m = len(seeds)
+    # Words that don't start the classes stand between those that do as one more word, so that pairs don't close up over them.
+    of = exchange(bigrams(learned, {w: i for i, w in enumerate(seeds)}, m + 2, m + 1, m), classes)
+    k, other = int(of.max()) + 1, int(of[m])
+    started = docs.sparkSession.createDataFrame([(bytearray(w), int(of[i])) for i, w in enumerate(seeds)], "word binary, class int")
+    words = vocabulary.where("c > 1").join(started, "word", "left").select(F.xxhash64("word").alias("h"), F.coalesce("class", F.lit(other)).alias("class"))
+    end = docs.sparkSession.range(1).select(F.col("id").alias("h"), F.lit(k - 1).alias("class"))
+    found = words.unionAll(end) if repeated == 0 else exchange_all(written(neighbours(learned), "lm-pairs"), written(words.unionAll(end), "lm-classes"), k, other)
+    # The classes of all words: their own, or for words seen once that of their ending.
+    own_class = vocabulary.withColumn("h", F.xxhash64("word")).join(found, "h", "left").select("word", "c", F.when(F.col("c") > 1, F.col("class")).alias("class"))
+    own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own")
+    by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
+    by_ending = written(by_ending, "lm-endings")
+    lexicon = own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class"))
+    lexicon = written(lexicon, "lm-lexicon")
+
     types = np.ones(k)  # distinct words of each class; one more for those not met
-    for w, _ in top:
-        types[clusters.of(w)] += 1
-    # Rare words are classed by their endings too: their types are counted where the vocabulary lies.
-    rare_types = flat_map_rows(vocabulary.select("word"), lambda: lambda row: [(clusters.of(bytes(row[0])),)], "class int").groupBy("class").count().collect()
-    for r in rare_types:
-        types[r["class"]] = r["count"] + 1
-    log_class = -np.log10(into + smooth * types)  # a word's chance in its class is (c + smooth) times this
+    for r in lexicon.groupBy("class").count().collect():
+        types[r["class"]] += r["count"]
+    top = {bytes(r[0]): (r[1], r[2]) for r in lexicon.orderBy(F.desc("c"), "word").limit(frequent).collect()}
+    cut = min((c for c, _ in top.values()), default=0) if len(top) >= frequent else 0
     unigram = -math.log10(n_all + 0.1 * (v_all + 1))
-    known_c = {w: c for w, c in top}
-    cut = min(known_c.values(), default=0) if len(top) >= frequent else 0
 
     def make():
-        ids = Remembered(clusters)
-        counts = known_c
-        logs_base = {w: math.log10(c + 0.1) for w, c in counts.items()}
-        logs_model = {w: math.log10(c + smooth) for w, c in counts.items()}
+        logs = {w: (i, math.log10(c + 0.1), math.log10(c + smooth)) for w, (c, i) in top.items()}
         end_base = math.log10(ends + 0.1) + unigram
 
         def one(row):
-            key, doc_id, text = row
+            key, doc_id, learns, text = row
             words = words_of(text)
-            n = len(words)
-            s = np.empty(n + 2, np.int64)
-            s[0] = s[-1] = k - 1
-            s[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, n)
-            steps_sum = float(log_step[s[:-1], s[1:]].sum())
-            inside = float(log_class[s[1:-1]].sum())
-            base, model, known, rare = end_base + n * unigram, steps_sum + inside, int(ends > 0), []
-            for w, f in Counter(words).items():
-                if w in counts:
-                    base += f * logs_base[w]
-                    model += f * logs_model[w]
-                    known += f
+            s = np.full(len(words) + 2, k - 1, np.int16)
+            base, model, known, rare = end_base + len(words) * unigram, 0.0, int(ends > 0), []
+            for i, w in enumerate(words, 1):
+                if (x := logs.get(w)) is not None:
+                    s[i] = x[0]
+                    base += x[1]
+                    model += x[2]
+                    known += 1
                 else:
-                    rare.append((w, f))
-            # The first row of a text has its own sums; the others its rare words, whose counts are still to come.
-            return [(key, doc_id, None, n + 1, known, base, model)] + [(key, None, w, f, 0, 0.0, 0.0) for w, f in rare]
+                    rare.append((w, i))
+            # The first row of a text has its own classes and sums; the others its rare words, whose classes and counts are still to come.
+            return [(key, doc_id, learns, None, s.tobytes(), 0, known, base, model)] + [(key, None, None, w, None, i, 0, 0.0, 0.0) for w, i in rare]
 
         return one
 
-    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    parts = written(flat_map_rows(keyed, make, f"key long, doc_id {kind}, word binary, n long, known long, base double, model double"), "lm-parts")
-    own = parts.where("word is null").select("key", "doc_id", F.col("n").alias("n_tokens"), "known", "base", "model")
-    rare_words = vocabulary.where(F.col("c") <= cut) if cut else vocabulary.limit(0)
-    rare = parts.where("word is not null").select("key", "word", "n").join(rare_words, "word", "left")
+    keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", chosen.alias("learns"), "text")
+    parts = written(flat_map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, word binary, s binary, at int, known long, base double, model double"), "lm-parts")
+    own = parts.where("word is null").select("key", "doc_id", "learns", "s", "known", "base", "model")
+    rare_words = lexicon.where(F.col("c") <= cut) if cut else lexicon.limit(0)
+    rare = parts.where("word is not null").select("key", "at", "word").join(rare_words, "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.groupBy("key").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("n") * F.log10(c + 0.1)).alias("r_base"),
-        F.sum(F.col("n") * F.log10(c + smooth)).alias("r_model"),
-    )
-    both = own.join(rare, "key", "left")
-    score_ = F.col("model") + F.coalesce("r_model", F.lit(0.0))
-    return both.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"), score_.alias("score"), F.pow(F.lit(10.0), -score_ / F.col("n_tokens")).alias("perplexity"),
+        F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 0.1)).alias("r_base"), F.sum(F.log10(c + smooth)).alias("r_model"),
+        F.collect_list(F.struct("at", F.coalesce("class", "e_class", F.lit(other)).alias("class"))).alias("r_classes"),
     )
+    sums = [(F.col(x) + F.coalesce(f"r_{x}", F.lit(0))).alias(x) for x in ("known", "base", "model")]
+    both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed")
+
+    def classed(s: bytes, at: list[int] | None, to: list[int] | None) -> np.ndarray:
+        out = np.frombuffer(s, np.int16).astype(np.int64)
+        if at:
+            out[at] = to
+        return out
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for row in rows_of(batch):
+                x = classed(*row)
+                np.add.at(n, x[:-1] * k + x[1:], 1)
+        f = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(f // k, pa.int32()), pa.array(f % k, pa.int32()), pa.array(n[f], pa.int64())], names=["a", "b", "n"])
+
+    got = both.where("learns").select("s", "at", "to").mapInArrow(counting, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    steps = np.zeros((k, k))
+    if got.num_rows:
+        steps[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
+    log_step = np.log10((steps + smooth) / (steps.sum(1, keepdims=True) + smooth * k))
+    log_class = -np.log10(steps.sum(0) + smooth * types)  # a word's chance in its class is (c + smooth) times this
+
+    def scored():
+        def one(row):
+            doc_id, s, at, to, known, base, model = row
+            x = classed(s, at, to)
+            model += float(log_step[x[:-1], x[1:]].sum()) + float(log_class[x[1:-1]].sum())
+            return [(doc_id, len(x) - 1, known, n_all, base, model, 10 ** (-model / (len(x) - 1)))]
+
+        return one
+
+    return flat_map_rows(both.select("doc_id", "s", "at", "to", "known", "base", "model"), scored, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
