@@ -98,6 +98,12 @@ def f04(spark, sf):
     return table(spark, sf, "documents").select("doc_id", N.fold_bytes(F.substring("text", 1, 12)).alias("folded"))
 
 
+@query("f04_fold_key_whole", "SELECT doc_id, CASE WHEN text = '' THEN '' ELSE array_to_string([lpad(upper(to_hex(unicode(CASE WHEN c = 'ß' THEN c WHEN length(upper(c)) = 1 THEN upper(c) ELSE c END))), 8, '0') FOR c IN string_split(text, '')], '') END AS folded FROM documents")
+def f04_whole(spark, sf):
+    """f04_fold_key() over whole texts."""
+    return table(spark, sf, "documents").select("doc_id", N.fold_bytes(F.col("text")).alias("folded"))
+
+
 @query("o03_folded_order", "SELECT lang, string_agg(s, ',' ORDER BY upper(s), s) AS sources FROM (SELECT DISTINCT lang, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS s FROM documents) GROUP BY lang")
 def o03(spark, sf):
     d = table(spark, sf, "documents").select("lang", F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("s")).distinct()
