@@ -22,3 +22,26 @@ def test_whole_texts_are_folded(spark):
     want = [(d, None if t is None else t.translate(fold).encode("utf-32-be").hex().upper()) for d, t in texts]
     assert max(len(w or "") for _, w in want) > 8 * 12
     assert sorted(rows(spark, "f04_fold_key_whole")) == sorted(want)
+
+
+def test_blocks_of_all_roots_are_reached(spark):
+    links = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id").collect():
+        if r.event_id > r.user_id:
+            links.setdefault(r.user_id, set()).add(r.event_id)
+    want = set()
+    for root in links:
+        todo = list(links[root])
+        while todo:
+            if (root, b := todo.pop()) not in want:
+                want.add((root, b))
+                todo += links.get(b, ())
+    got = rows(spark, "t15_block_closure_whole")
+    assert sorted(got) == sorted(want) and len({r for r, _ in got}) > 5
+
+
+def test_pages_hold_entries_of_all_depths(spark):
+    page = rows(spark, "t02_list_page_whole")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey = 5").count()
+    assert len(page) == 40 and [p for _, _, p in page] == list(range(1, 41))
+    assert orders > 0 and all(i.startswith("o") for i, _, _ in page[: min(orders, 40)])
