@@ -5,7 +5,8 @@ import os
 import pytest
 
 from tidemark.functions import names as N
-from tidemark.plans import registry
+from tidemark.plans import q_catalog, registry
+from tidemark.sources.adapters import locks
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -45,3 +46,15 @@ def test_pages_hold_entries_of_all_depths(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey = 5").count()
     assert len(page) == 40 and [p for _, _, p in page] == list(range(1, 41))
     assert orders > 0 and all(i.startswith("o") for i, _, _ in page[: min(orders, 40)])
+
+
+def test_every_claim_is_tested_as_a_write(spark):
+    sf = SF.replace("0.001", "0.01")  # the smallest tables have about one claim for a file
+    files = {}
+    for c in locks(spark, sf).collect():
+        files.setdefault(c.file, []).append(c)
+    holds = lambda c: not c.escalation_only and c.expires_at_ms > q_catalog.NOW_MS
+    want = [(w.file, w.id) for cs in files.values() for w in cs if any(holds(c) and c.holder != w.holder and c.start < w.end and w.start < c.end for c in cs)]
+    assert any(i % 5 for _, i in want)
+    got = registry.queries()["j17_write_conflicts_whole"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -243,6 +243,14 @@ def j17(spark, sf):
     return G.blocked_writes(writes(spark, sf), locks(spark, sf), NOW_MS)
 
 
+@query("j17_write_conflicts_whole", f"""SELECT file, id FROM ({K_SQL}) w WHERE EXISTS (SELECT 1 FROM ({K_SQL}) c
+WHERE c.file = w.file AND c.holder <> w.holder AND NOT c.escalation_only AND c.expires_at_ms > {NOW_MS} AND c.start < w."end" AND w.start < c."end")""")
+def j17_whole(spark, sf):
+    """j17_write_conflicts() with every claim as a write."""
+    claims = locks(spark, sf)
+    return G.blocked_writes(claims.select("file", "id", "holder", "start", "end"), claims, NOW_MS)
+
+
 @query("p11_lock_expiry", f"SELECT id FROM ({K_SQL}) WHERE {NOW_MS} >= expires_at_ms")
 def p11(spark, sf):
     return locks(spark, sf).where(F.lit(NOW_MS) >= F.col("expires_at_ms")).select("id")
