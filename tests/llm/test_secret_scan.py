@@ -48,3 +48,11 @@ def test_models_part_random_strings_from_identifiers(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token = \"0123456789abcdef0123\" end", 9), (2, "clean", 5), (3, None, 0), (4, "deadbeefdeadbeef", 1)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in sorted(S.redacted(df).collect())] == [(1, 'é [SECRET]" end', 9), (2, "clean", 5), (3, None, 0), (4, "[SECRET]", 1)]
+
+
+def test_short_tokens_and_those_without_digits_are_judged_too(spark):
+    random_ones = ["xK9QmZ7vRtWbYc1N", "QmZkVvRtWbYcXnKdPfHsJgLqTrWe", "Zx8Qp2Lk9Vb4"]
+    plain = ["laaiauxoiaux", "oneuxaiviauxeux", "Laeneuxeuxeux", "Aiauxelleeux", "createTableFromSource", "MAX_TABLE_COUNT", "2024-05-06-12", "012345678901", "------------", "export/const"]
+    df = spark.createDataFrame(list(enumerate(random_ones + plain)), "doc_id long, text string")
+    got = [r.n_markov for r in sorted(S.report(df).collect())]
+    assert got == [1] * len(random_ones) + [0] * len(plain)

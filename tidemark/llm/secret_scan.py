@@ -1,6 +1,6 @@
 """Secrets in text, with DataFrame functions only.
 
-Fixed forms are found by regular expressions. Beyond them, long tokens are compared under two first-order Markov models
+Fixed forms are found by regular expressions. Beyond them, tokens of 12 characters or more are compared under two first-order Markov models
 of characters, one of random strings and one of ordinary identifiers, both trained from labelled samples; a token whose
 log-likelihood ratio speaks for the random strings is reported too.
 """
@@ -18,8 +18,10 @@ from .common import small_batches
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Tokens that the models judge: long, with a letter and a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models judge: all of LEAST_SECRET characters or more with a letter (numbers, dates and rules have none).
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}"
+#: Letters in lower case, the first perhaps not: the shape of words, which are far more common than secrets of that shape.
+WORD_SHAPE = r"\A[A-Za-z][a-z]+\z"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_SECRET = 12
 
@@ -75,6 +77,15 @@ def log_ratio(token: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y)
 
 
+def least_ratio(token: Column, threshold: float) -> Column:
+    """The log ratio from which a token is reported: threshold from 20 characters on, more for shorter ones and for words.
+
+    Short tokens are many and their ratio rests on few transitions.
+    """
+    short = F.greatest(F.lit(0), F.lit(20) - F.length(token)) * 1.6
+    return F.lit(threshold) + short + F.when(token.rlike(WORD_SHAPE), 8.0).otherwise(0.0)
+
+
 def _starts(gaps: Column, matches: Column, rank: int) -> Column:
     """Spans of the matches, from the texts before each of them; lengths are in code points."""
     pieces = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
@@ -112,7 +123,7 @@ def _scanned(docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
     df = _found(df, "_markov", TOKEN, 3)
     judged = F.filter(
         F.arrays_zip(F.col("_markov").alias("s"), F.col("_m__markov").alias("m")),
-        lambda x: ~F.exists("_base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])) & (log_ratio(x["m"], table) >= threshold),
+        lambda x: ~F.exists("_base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])) & (log_ratio(x["m"], table) >= least_ratio(x["m"], threshold)),
     )
     df = df.withColumn("_markov", F.when(F.size("_markov") > 0, F.transform(judged, lambda x: x["s"])).otherwise(F.col("_markov")))
     return df.select("_row", F.array_sort(F.concat("_base", "_markov")).alias("_spans"))
