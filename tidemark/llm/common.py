@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 _OWN_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, str] = {}
+#: Spark's setting that shuffle files of a query go once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; an own folder only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; an own folder only where that is unset and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -30,21 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files that led to it go as soon as it is there, rather than when the driver next collects its garbage.
+    """
+    spark, name = df.sparkSession, f"{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _WRITTEN[name] = path
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written(), once nothing reads it any more."""
+    """Delete the files of a table made by written(), once nothing reads it any more; other tables are left alone."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for folder in folders:
-        if folder.startswith(shared_dir(spark).split("://")[0]):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in {file.rsplit("/", 2)[-2] for file in df.inputFiles()}:
+        if (folder := _WRITTEN.pop(name, None)) is not None:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 

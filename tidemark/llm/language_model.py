@@ -1,11 +1,12 @@
 """Class-based n-gram language model: Brown classes found by exchange clustering.
 
 A word's chance is that of its class after the class before, times that of the word within its class. Every training
-document is counted. Every word seen twice or more gets its class by exchange: words move between classes while that
-raises the likelihood of the corpus's class bigrams. The most frequent words are exchanged one by one in memory and
-start the classes; then all words are, over distributed bigram counts, many at a time. Words seen once or never take the
-class that words with their ending most often have. Classes grow in number with the cube root of the vocabulary. Held in
-memory are a table of classes by classes and the most frequent words; all else meets the texts in joins.
+document is counted. Words move between classes while that raises the likelihood of the corpus's class bigrams: the most
+frequent ones start the classes, exchanged one by one in memory; then all frequent words (MOST_IDS at most) are exchanged
+over distributed bigram counts, many at a time, until a round gains next to nothing; then every other word that is seen
+twice or more joins the class that raises the likelihood most, as words enter the window of Brown's algorithm. Words seen
+once or never take the class that words with their ending most often have. Classes grow in number with the cube root of
+the vocabulary. Held in memory are tables of classes by classes and the frequent words; all else meets the texts in joins.
 """
 
 from __future__ import annotations
@@ -51,35 +52,125 @@ def count_words(rows: DataFrame, most: int = 300_000) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def bigrams(rows: DataFrame, ids: dict[bytes, int], size: int, end: int, default: int) -> np.ndarray:
-    """Counts of neighbouring ids over all rows, as a size x size table; every text starts after ``end`` and ends with it.
+#: Ids of words are 16-bit numbers, so that two neighbours are one 32-bit key.
+MOST_IDS = 65_000
+_PACKED = "bucket int, keys binary, counts binary"
 
-    default is the id of words that aren't in ids. Each task sums up its own table and sends its
-    non-empty rows; those are added up by row before the driver gets the one bounded table.
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts."""
+    every, where = np.unique(np.concatenate([*keys, np.zeros(0, np.uint32)]), return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, where, np.concatenate([*counts, np.zeros(0, np.int64)]))
+    return every, total
+
+
+class _Sums:
+    """Counts by key, added up whenever many have come: holds the distinct keys and at most as many again."""
+
+    def __init__(self, least: int = 2_000_000):
+        self.keys, self.counts, self.held, self.due, self.least = [], [], 0, least, least
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+        if self.held > self.due:
+            keys, counts = self.result()
+            self.keys, self.counts, self.held, self.due = [keys], [counts], len(keys), 2 * len(keys) + self.least
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(self.keys, self.counts)
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, keys, counts), the keys and counts of each bucket packed."""
+    order = np.argsort(bucket, kind="stable")
+    keys, counts, ends = keys[order], counts[order], np.cumsum(np.bincount(bucket, minlength=n))
+    out = [(i, keys[a:b].tobytes(), counts[a:b].tobytes()) for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())) if b > a]
+    for i in range(0, len(out), 256):
+        b, x, y = zip(*out[i : i + 256])
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["bucket", "keys", "counts"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for keys, counts in rows_of(batch, 16):
+            yield np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64)
+
+
+def neighbours(sequences: DataFrame, rest: int, end: int, first_rest: int, tokens: int, flush_at: int = 4_000_000) -> DataFrame:
+    """(words int, right binary, right_n binary, left binary, left_n binary): of words, the words after and before them, with counts.
+
+    sequences: one binary column of 16-bit ids, the text's end at both ends; ids from first_rest on count as rest.
+    Pairs are added up in each task, then by pair (however frequent, a pair comes once from each flush), and only then
+    dealt to the words on either side, which have at most MOST_IDS different neighbours each. Keys are 65,536 times the
+    word, plus the neighbour; a row holds whole words.
     """
-    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+    n = int(min(4096, max(64, tokens // 1_500_000)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            yield from _dealt(keys, counts, ((keys * np.uint32(2654435761)) >> np.uint32(8)).astype(np.int64) % n, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
-        look = lambda w, g=ids.get: g(w, default)
         for batch in batches:
-            for (text,) in rows_of(batch):
-                words = words_of(text)
-                s = np.empty(len(words) + 2, np.int64)
-                s[0] = s[-1] = end
-                s[1:-1] = np.fromiter(map(look, words), np.int64, len(words))
-                pairs = s[:-1] * size + s[1:]
-                if len(pairs) > size * size:
-                    total += np.bincount(pairs, minlength=size * size)
-                else:
-                    np.add.at(total, pairs, 1)
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 50_000):
-            f = found[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(f // size, pa.int32()), pa.array(f % size, pa.int32()), pa.array(total[f], pa.int64())], schema=schema)
-
-    got = rows.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((size, size))
+            for (s,) in rows_of(batch):
+                ids = np.frombuffer(s, np.uint16).astype(np.uint32)
+                ids[(ids >= first_rest) & (ids != end)] = rest
+                held.append(ids[:-1] << np.uint32(16) | ids[1:])
+                size += len(ids)
+                if size > flush_at:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for keys, counts in _read(batches):
+            sums.add(keys, counts)
+        keys, counts = sums.result()
+        a, b = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
+        # The side is the last bit of the bucket: the words after a, the words before b.
+        yield from _dealt(keys, counts, (a % n * 2).astype(np.int64), 2 * n)
+        yield from _dealt(b << np.uint32(16) | a, counts, (b % n * 2 + 1).astype(np.int64), 2 * n)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = (_Sums(), _Sums())
+        for batch in batches:
+            for bucket, keys, counts in rows_of(batch, 16):
+                sides[bucket & 1].add(np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64))
+        (rk, rc), (lk, lc) = (s.result() for s in sides)
+        words = np.unique(np.concatenate([rk, lk]) >> np.uint32(16))
+        ends = np.searchsorted(rk, (words.astype(np.uint64) + 1) << np.uint64(16)) + np.searchsorted(lk, (words.astype(np.uint64) + 1) << np.uint64(16))
+        for part in np.split(words, np.flatnonzero(np.diff(ends // 300_000)) + 1) if len(words) else []:
+            low, high = int(part[0]) << 16, (int(part[-1]) + 1) << 16
+            r, l = (slice(*np.searchsorted(k.astype(np.uint64), [low, high])) for k in (rk, lk))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(part)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (rk[r], rc[r], lk[l], lc[l]))],
+                names=["words", "right", "right_n", "left", "left_n"],
+            )
+
+    pairs = sequences.mapInArrow(count, _PACKED).repartition("bucket").select("keys", "counts").mapInArrow(deal, _PACKED)
+    own = (F.col("bucket") / 2).cast("int")
+    return pairs.repartition(own).mapInArrow(gather, "words int, right binary, right_n binary, left binary, left_n binary")
+
+
+def steps_between(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    """k x k table of how often a word of each class comes after one of each, under the classes ``of`` of all ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for keys, counts in _read(batches):
+            np.add.at(total, of[keys >> np.uint32(16)].astype(np.int64) * k + of[keys & np.uint32(0xFFFF)], counts)
+        f = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(f // k, pa.int32()), pa.array(f % k, pa.int32()), pa.array(total[f], pa.int64())], names=["a", "b", "n"])
+
+    got = pairs.select("right", "right_n").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((k, k))
     if got.num_rows:
         out[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -140,21 +231,14 @@ def ending(word: Column) -> Column:
     return F.concat(F.substring(word, -3, 3), F.when(word.cast("string").rlike(r"[^\x00-\x7F]"), F.lit(b"\xff")).otherwise(F.lit(b"")))
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """(a, b, n): how often the word hashed to b comes after that hashed to a; every text starts after 0 and ends with it."""
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    s = rows.select(F.concat(F.array(F.lit(0).cast("long")), F.transform(words, lambda w: F.xxhash64(w)), F.array(F.lit(0).cast("long"))).alias("s"))
-    pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b"))
-    return s.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0.0)
 
 
 def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The class that raises the likelihood most for each of some words, each moved alone; its own if none does.
+    """The class that raises the likelihood most for each of some words, each moved alone; its own if none does better.
+
+    The last class but one holds the words that have no class yet: these always move.
 
     right and left: words x classes, counts of the classes after and before each word. table: classes x classes, with
     the words where they are. A word's pairs with itself are counted with its old class.
@@ -179,66 +263,85 @@ def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarr
         rest = np.repeat(total[None, :], len(old), 0)
         rest[i, old] -= n
         gain -= _xlogx(rest + n[:, None]) - _xlogx(rest)
-    gain[old < k - 1, k - 1] = -np.inf  # the last class is the text's end alone
-    new = np.argmax(np.round(gain, 6), 1)
-    return np.where(gain[i, new] > gain[i, old] + 1e-6, new, old)
+    gain = np.round(gain, 6)
+    new = np.argmax(gain[:, : k - 2], 1)  # the last two classes are of the words that have none yet, and of the text's end
+    return np.where((gain[i, new] > gain[i, old] + 1e-6) | (old == k - 2), new, old)
 
 
 def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-def exchange_all(pairs: DataFrame, start: DataFrame, k: int, other: int, least: float = 0.01) -> DataFrame:
-    """(h, class) of all words of start, exchanged between classes until a round gains under ``least`` of all gain so far.
+def exchange_all(pairs: DataFrame, of: np.ndarray, k: int, least: float = 0.01) -> np.ndarray:
+    """Classes of all ids, exchanged until a round for each half of the words gains under ``least`` of all gain so far.
 
-    start: (h, class), with 0 in class k - 1. Words that aren't in it have the class ``other`` throughout. In each
-    round, every word's best class is sought given the last round's classes; after the first, half of the words move,
-    by turns, so that neighbours don't change places for ever. A round that lowers the likelihood is undone.
+    In each round, every word's best class is sought given the last round's classes; after the first, half of the words
+    move, by turns, so that neighbours don't change places for ever. A round that lowers the likelihood is undone.
     """
-    spark, now, kept, first, last, still = pairs.sparkSession, start, start, None, None, 0
-    turn = 0
+    first = last = None
+    turn = still = 0
     while True:
-        known = now.select(F.col("h").alias("_h"), F.col("class").alias("_c"))
-        of = F.coalesce("_c", F.lit(other)).alias("d")
-        before = pairs.join(known, F.col("a") == F.col("_h"), "left").groupBy(F.col("b").alias("h"), of).agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
-        after = pairs.join(known, F.col("b") == F.col("_h"), "left").groupBy(F.col("a").alias("h"), of).agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
-        met = before.unionAll(after).groupBy("h").agg(F.collect_list(F.struct("side", "d", "n")).alias("met"))
-        met = written(met.join(now, "h", "left").select("h", "class", "met"), "lm-met")
-        steps = met.select(F.coalesce("class", F.lit(other)).alias("c"), F.inline("met")).where("side = 1").groupBy("d", "c").agg(F.sum("n").alias("n")).toArrow()
-        table = np.zeros((k, k))
-        if steps.num_rows:
-            table[steps["d"].to_numpy(), steps["c"].to_numpy()] = steps["n"].to_numpy()
+        table = steps_between(pairs, of, k)
         value = likelihood(table)
         first = value if first is None else first
         if last is not None:
             if value < last:
-                return kept
+                return kept  # noqa: F821
             still = still + 1 if value - last < least * max(value - first, 1e-9) else 0
             if still == 2:  # both halves have had their turn
-                return now
-        if last is not None and turn > 1:
-            dropped(kept)
-        last, kept = value, now
-
-        def run(batches: Iterator[pa.RecordBatch], table=table, turn=turn) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
-                    h, old, lists = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2)
-                    w = np.repeat(np.arange(len(old)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                    side, d, n = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
-                    vectors = np.zeros((2, len(old), k))
-                    np.add.at(vectors, (side, w, d), n)
-                    new = better(table, old, vectors[0], vectors[1])
-                    ids = h.to_numpy(zero_copy_only=False)
-                    moves = (ids != 0) & ((turn == 0) | ((ids & 1) == turn % 2))
-                    yield pa.RecordBatch.from_arrays([h, pa.array(np.where(moves, new, old), pa.int32())], names=["h", "class"])
-
-        now = written(met.where("class is not null").mapInArrow(run, "h long, class int"), "lm-classes")
-        dropped(met)
+                return of
+        last, kept = value, of
+
+        def run(batches: Iterator[pa.RecordBatch], table=table, turn=turn, of=of) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in rows_of(batch, 1):
+                    right, right_n, left, left_n = (np.frombuffer(x, kind) for x, kind in zip(row, (np.uint32, np.int64) * 2))
+                    words = np.unique(np.concatenate([right, left]) >> np.uint32(16)).astype(np.int64)
+                    words = words[(of[words] < k - 2) & ((turn == 0) | ((words & 1) == turn % 2))]
+                    for at in range(0, len(words), 200):
+                        some = words[at : at + 200]
+                        place = np.full(1 << 16, -1, np.int64)
+                        place[some] = np.arange(len(some))
+                        vectors = []
+                        for keys, n in ((right, right_n), (left, left_n)):
+                            low, high = np.searchsorted(keys, [int(some[0]) << 16, min((int(some[-1]) + 1) << 16, (1 << 32) - 1)])
+                            part, n = keys[low:high], n[low:high]
+                            at_word = place[part >> np.uint32(16)]
+                            own = at_word >= 0
+                            cell = at_word[own] * k + of[part[own] & np.uint32(0xFFFF)]
+                            vectors.append(np.bincount(cell, n[own], len(some) * k).reshape(len(some), k))
+                        new = better(table, of[some].astype(np.int64), *vectors)
+                        moved = new != of[some]
+                        yield pa.RecordBatch.from_arrays([pa.array(some[moved], pa.int32()), pa.array(new[moved], pa.int32())], names=["id", "class"])
+
+        moves = pairs.select("right", "right_n", "left", "left_n").mapInArrow(run, "id int, class int").toArrow()
+        of = of.copy()
+        of[moves["id"].to_numpy()] = moves["class"].to_numpy()
         turn += 1
 
 
+def inserted(contexts: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, class): each word that is seen twice or more joins the class that raises the likelihood most.
+
+    contexts: (word, ctx), a row for the class before (k + class) and one for the class after (class) each occurrence.
+    """
+    k = len(table)
+    met = contexts.groupBy("word", "ctx").agg(F.count("*").alias("n")).groupBy("word").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
+                vectors = np.zeros((batch.num_rows, 2 * k))
+                w = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                np.add.at(vectors, (w, batch.column(1).flatten().to_numpy(zero_copy_only=False)), batch.column(2).flatten().to_numpy(zero_copy_only=False))
+                often = np.flatnonzero(vectors[:, :k].sum(1) > 1)
+                new = better(table, np.full(len(often), k - 2), vectors[often, :k], vectors[often, k:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(often)), pa.array(new, pa.int32())], names=["word", "class"])
+
+    return met.mapInArrow(run, "word binary, class int")
+
+
 def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int = 48, frequent: int = 60_000, smooth: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row.
 
@@ -247,9 +350,12 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     a token for its end, so null and empty texts have one token. Null ids and repeated rows stay, each scored alone;
     other columns are not read; an empty table gives an empty result; with nothing to learn from, all words are unknown.
     ``classes`` and ``clustered`` are the least numbers of classes and of words that start them: both grow with the
-    vocabulary. ``frequent`` words are looked up in memory, the others in joins, to the same result.
+    vocabulary. ``frequent`` words (at most MOST_IDS) are exchanged until nothing moves any more and are looked up in
+    memory; all other words that are seen twice or more join the classes in one step, distributed, by the same measure.
+    Words of equal count rank by their bytes, and classes of equal gain by number.
     """
     small_batches(docs.sparkSession)
+    spark, frequent = docs.sparkSession, min(frequent, MOST_IDS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     chosen = F.coalesce(trains, F.lit(False))
@@ -258,40 +364,20 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     total, distinct, repeated = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") > 1)).first()
     ends = learned.count()
     n_all, v_all = total + ends, distinct + (ends > 0)
-
-    classes = max(classes, round(repeated ** (1 / 3)))
-    seeds = [bytes(r[0]) for r in vocabulary.orderBy(F.desc("c"), "word").limit(max(clustered, 4 * classes)).collect()]
-    m = len(seeds)
-    # Words that don't start the classes stand between those that do as one more word, so that pairs don't close up over them.
-    of = exchange(bigrams(learned, {w: i for i, w in enumerate(seeds)}, m + 2, m + 1, m), classes)
-    k, other = int(of.max()) + 1, int(of[m])
-    started = docs.sparkSession.createDataFrame([(bytearray(w), int(of[i])) for i, w in enumerate(seeds)], "word binary, class int")
-    words = vocabulary.where("c > 1").join(started, "word", "left").select(F.xxhash64("word").alias("h"), F.coalesce("class", F.lit(other)).alias("class"))
-    end = docs.sparkSession.range(1).select(F.col("id").alias("h"), F.lit(k - 1).alias("class"))
-    found = words.unionAll(end) if repeated == 0 else exchange_all(written(neighbours(learned), "lm-pairs"), written(words.unionAll(end), "lm-classes"), k, other)
-    # The classes of all words: their own, or for words seen once that of their ending.
-    own_class = vocabulary.withColumn("h", F.xxhash64("word")).join(found, "h", "left").select("word", "c", F.when(F.col("c") > 1, F.col("class")).alias("class"))
-    own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own")
-    by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
-    by_ending = written(by_ending, "lm-endings")
-    lexicon = own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class"))
-    lexicon = written(lexicon, "lm-lexicon")
-
-    types = np.ones(k)  # distinct words of each class; one more for those not met
-    for r in lexicon.groupBy("class").count().collect():
-        types[r["class"]] += r["count"]
-    top = {bytes(r[0]): (r[1], r[2]) for r in lexicon.orderBy(F.desc("c"), "word").limit(frequent).collect()}
-    cut = min((c for c, _ in top.values()), default=0) if len(top) >= frequent else 0
     unigram = -math.log10(n_all + 0.1 * (v_all + 1))
 
+    top = [(bytes(r[0]), r[1]) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    cut = top[-1][1] if len(top) >= frequent else 0
+    rest, end = len(top), len(top) + 1
+
     def make():
-        logs = {w: (i, math.log10(c + 0.1), math.log10(c + smooth)) for w, (c, i) in top.items()}
+        logs = {w: (i, math.log10(c + 0.1), math.log10(c + smooth)) for i, (w, c) in enumerate(top)}
         end_base = math.log10(ends + 0.1) + unigram
 
         def one(row):
             key, doc_id, learns, text = row
             words = words_of(text)
-            s = np.full(len(words) + 2, k - 1, np.int16)
+            s = np.full(len(words) + 2, end, np.uint16)
             base, model, known, rare = end_base + len(words) * unigram, 0.0, int(ends > 0), []
             for i, w in enumerate(words, 1):
                 if (x := logs.get(w)) is not None:
@@ -300,17 +386,60 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
                     model += x[2]
                     known += 1
                 else:
+                    s[i] = rest
                     rare.append((w, i))
-            # The first row of a text has its own classes and sums; the others its rare words, whose classes and counts are still to come.
-            return [(key, doc_id, learns, None, s.tobytes(), 0, known, base, model)] + [(key, None, None, w, None, i, 0, 0.0, 0.0) for w, i in rare]
+            # The first row of a text has its ids and sums; the others its rare words, whose classes and counts are still to come.
+            return [(key, doc_id, learns, None, s.tobytes(), 0, 0, 0, known, base, model)] + [(key, None, learns, w, None, i, int(s[i - 1]), int(s[i + 1]), 0, 0.0, 0.0) for w, i in rare]
 
         return one
 
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", chosen.alias("learns"), "text")
-    parts = written(flat_map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, word binary, s binary, at int, known long, base double, model double"), "lm-parts")
+    parts = written(flat_map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, word binary, s binary, at int, before int, after int, known long, base double, model double"), "lm-parts")
+
+    # Classes of the frequent words: the most frequent start them, then all are exchanged.
+    n_exchanged = sum(c > 1 for _, c in top)
+    classes = max(classes, round(repeated ** (1 / 3)))
+    pairs = written(neighbours(parts.where("word is null and learns").select("s"), rest, end, n_exchanged, n_all), "lm-pairs")
+    m = min(n_exchanged, max(clustered, 4 * classes))
+    # Words that don't start the classes stand between those that do as one more word, so that pairs don't close up over them.
+    fewer = np.full(1 << 16, m, np.int64)
+    fewer[:m], fewer[end] = np.arange(m), m + 1
+    started = exchange(steps_between(pairs, fewer, m + 2), classes)
+    k = int(started[: m + 1].max()) + 3
+    of = np.full(1 << 16, started[m], np.int32)
+    of[:m] = started[:m]
+    of[n_exchanged:end], of[end] = k - 2, k - 1
+    if n_exchanged:
+        of = exchange_all(pairs, of, k)
+    table = steps_between(pairs, of, k)
+    dropped(pairs)
+
+    def in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, after = (of[batch.column(i).to_numpy(zero_copy_only=False)] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0)] * 2), pa.array(np.concatenate([before + k, after]), pa.int32())], names=["word", "ctx"])
+
+    rare = parts.where("word is not null")
+    joined = inserted(rare.where("learns").select("word", "before", "after").mapInArrow(in_context, "word binary, ctx int"), table)
+    exchanged = spark.createDataFrame([(bytearray(w), int(of[i])) for i, (w, _) in enumerate(top[:n_exchanged])], "word binary, class int")
+    # The classes of all words: their own, or for words seen once that of their ending.
+    own_class = vocabulary.join(exchanged.unionAll(joined), "word", "left").withColumn("ending", ending(F.col("word")))
+    own_class = written(own_class, "lm-own")
+    by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
+    by_ending = written(by_ending, "lm-endings")
+    other = int(np.argmax(np.bincount(of[:n_exchanged], minlength=k)[: k - 2])) if n_exchanged else 0
+    lexicon = written(own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class")), "lm-lexicon")
+
+    types = np.ones(k)  # distinct words of each class; one more for those not met
+    for r in lexicon.groupBy("class").count().collect():
+        types[r["class"]] += r["count"]
+    class_of = of.copy()
+    if n_exchanged < len(top):
+        class_of[:rest] = [r[0] for r in lexicon.orderBy(F.desc("c"), "word").limit(frequent).select("class").collect()]
+
     own = parts.where("word is null").select("key", "doc_id", "learns", "s", "known", "base", "model")
     rare_words = lexicon.where(F.col("c") <= cut) if cut else lexicon.limit(0)
-    rare = parts.where("word is not null").select("key", "at", "word").join(rare_words, "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
+    rare = rare.select("key", "at", "word").join(rare_words, "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.groupBy("key").agg(
         F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 0.1)).alias("r_base"), F.sum(F.log10(c + smooth)).alias("r_model"),
@@ -318,9 +447,10 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     )
     sums = [(F.col(x) + F.coalesce(f"r_{x}", F.lit(0))).alias(x) for x in ("known", "base", "model")]
     both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed")
+    dropped(parts)
 
     def classed(s: bytes, at: list[int] | None, to: list[int] | None) -> np.ndarray:
-        out = np.frombuffer(s, np.int16).astype(np.int64)
+        out = class_of[np.frombuffer(s, np.uint16)].astype(np.int64)
         if at:
             out[at] = to
         return out
