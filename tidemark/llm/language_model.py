@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, flat_map_rows, rows_of, small_batches, written
+from .common import dropped, map_rows, rows_of, small_batches, written
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,19 +58,11 @@ MOST_IDS = 65_000
 _PACKED = "bucket int, keys binary, counts binary"
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with the sums of their counts."""
-    every, where = np.unique(np.concatenate([*keys, np.zeros(0, np.uint32)]), return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, where, np.concatenate([*counts, np.zeros(0, np.int64)]))
-    return every, total
-
-
 class _Sums:
     """Counts by key, added up whenever many have come: holds the distinct keys and at most as many again."""
 
-    def __init__(self, least: int = 2_000_000):
-        self.keys, self.counts, self.held, self.due, self.least = [], [], 0, least, least
+    def __init__(self, kind: type = np.uint32, least: int = 2_000_000):
+        self.keys, self.counts, self.held, self.due, self.least = [np.zeros(0, kind)], [np.zeros(0, np.int64)], 0, least, least
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
@@ -80,7 +73,12 @@ class _Sums:
             self.keys, self.counts, self.held, self.due = [keys], [counts], len(keys), 2 * len(keys) + self.least
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        return _summed(self.keys, self.counts)
+        """Distinct keys, sorted, with the sums of their counts."""
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -93,13 +91,13 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, n: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["bucket", "keys", "counts"])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _read(batches: Iterator[pa.RecordBatch], kind: type = np.uint32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for keys, counts in rows_of(batch, 16):
-            yield np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64)
+            yield np.frombuffer(keys, kind), np.frombuffer(counts, np.int64)
 
 
-def neighbours(sequences: DataFrame, rest: int, end: int, first_rest: int, tokens: int, flush_at: int = 4_000_000) -> DataFrame:
+def neighbours(sequences: DataFrame, rest: int, end: int, first_rest: int, tokens: int, flush_at: int = 2_000_000) -> DataFrame:
     """(words int, right binary, right_n binary, left binary, left_n binary): of words, the words after and before them, with counts.
 
     sequences: one binary column of 16-bit ids, the text's end at both ends; ids from first_rest on count as rest.
@@ -298,8 +296,8 @@ def exchange_all(pairs: DataFrame, of: np.ndarray, k: int, least: float = 0.01)
                     right, right_n, left, left_n = (np.frombuffer(x, kind) for x, kind in zip(row, (np.uint32, np.int64) * 2))
                     words = np.unique(np.concatenate([right, left]) >> np.uint32(16)).astype(np.int64)
                     words = words[(of[words] < k - 2) & ((turn == 0) | ((words & 1) == turn % 2))]
-                    for at in range(0, len(words), 200):
-                        some = words[at : at + 200]
+                    for at in range(0, len(words), 100):
+                        some = words[at : at + 100]
                         place = np.full(1 << 16, -1, np.int64)
                         place[some] = np.arange(len(some))
                         vectors = []
@@ -320,29 +318,69 @@ def exchange_all(pairs: DataFrame, of: np.ndarray, k: int, least: float = 0.01)
         turn += 1
 
 
-def inserted(contexts: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, class): each word that is seen twice or more joins the class that raises the likelihood most.
+def _hash48(word: bytes) -> int:
+    """The upper 48 bits of Spark's 64-bit hash. Words that share them, one pair in 2^48, share a class."""
+    return xxhash.xxh64_intdigest(word, 42) >> 16
+
 
-    contexts: (word, ctx), a row for the class before (k + class) and one for the class after (class) each occurrence.
+def inserted(texts: DataFrame, of: np.ndarray, table: np.ndarray, tokens: int, flush_at: int = 1_000_000) -> DataFrame:
+    """(h, class): each word of the column words that is seen twice or more joins the class that raises the likelihood most.
+
+    texts: (s, words, at), the ids of a text, its words without an id of their own, and their places. What comes before
+    and after a word is added up in each task, then by word: at most a number for each class and side.
     """
-    k = len(table)
-    met = contexts.groupBy("word", "ctx").agg(F.count("*").alias("n")).groupBy("word").agg(F.collect_list("ctx").alias("ctx"), F.collect_list("n").alias("n"))
+    k, n = len(table), int(min(65536, max(64, tokens // 1_000_000)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 200):
-                batch = whole.slice(start, 200)
-                vectors = np.zeros((batch.num_rows, 2 * k))
-                w = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                np.add.at(vectors, (w, batch.column(1).flatten().to_numpy(zero_copy_only=False)), batch.column(2).flatten().to_numpy(zero_copy_only=False))
-                often = np.flatnonzero(vectors[:, :k].sum(1) > 1)
-                new = better(table, np.full(len(often), k - 2), vectors[often, :k], vectors[often, k:])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(often)), pa.array(new, pa.int32())], names=["word", "class"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    return met.mapInArrow(run, "word binary, class int")
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            yield from _dealt(keys, counts, ((keys >> np.uint64(16)) % np.uint64(n)).astype(np.int64), n)
 
+        for batch in batches:
+            for s, words, at in rows_of(batch):
+                classes, at = of[np.frombuffer(s, np.uint16)].astype(np.uint64), np.array(at)
+                h = np.fromiter(map(_hash48, words), np.uint64, len(words)) << np.uint64(16)
+                held += [h | (classes[at - 1] + np.uint64(k)), h | classes[at + 1]]
+                size += 2 * len(words)
+                if size > flush_at:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
-def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int = 48, frequent: int = 60_000, smooth: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(np.uint64, 1_000_000)
+        for keys, counts in _read(batches, np.uint64):
+            sums.add(keys, counts)
+        keys, counts = sums.result()
+        words, first = np.unique(keys >> np.uint64(16), return_index=True)
+        first = np.append(first, len(keys))
+        for i in range(0, len(words), 100):
+            some = words[i : i + 100]
+            low, high = first[i], first[i + len(some)]
+            w = np.repeat(np.arange(len(some)), np.diff(first[i : i + len(some) + 1]))
+            cell = w * (2 * k) + (keys[low:high] & np.uint64(0xFFFF)).astype(np.int64)
+            vectors = np.bincount(cell, counts[low:high], len(some) * 2 * k).reshape(len(some), 2 * k)
+            often = np.flatnonzero(vectors[:, :k].sum(1) > 1)
+            new = better(table, np.full(len(often), k - 2), vectors[often, :k], vectors[often, k:])
+            yield pa.RecordBatch.from_arrays([pa.array(some[often].astype(np.int64)), pa.array(new, pa.int32())], names=["h", "class"])
+
+    sent = texts.select("s", "words", "at").mapInArrow(send, _PACKED)
+    return sent.repartition("bucket").select("keys", "counts").mapInArrow(place, "h long, class int")
+
+
+def _lists(batch: pa.RecordBatch, *places: int) -> Iterator[list[np.ndarray]]:
+    """Of each row the lists in some columns, null ones as empty."""
+    lengths = batch.column(places[0]).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    flat = [batch.column(p).flatten().to_numpy(zero_copy_only=False) for p in places]
+    for a, b in zip((ends - lengths).tolist(), ends.tolist()):
+        yield [x[a:b] for x in flat]
+
+
+def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int = 48, frequent: int = 60_000, smooth: float = 0.1, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row.
 
     ``trains`` is a condition on a column doc_id: the rows learned from. base_score is the smoothed unigram model's
@@ -377,29 +415,29 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
         def one(row):
             key, doc_id, learns, text = row
             words = words_of(text)
-            s = np.full(len(words) + 2, end, np.uint16)
-            base, model, known, rare = end_base + len(words) * unigram, 0.0, int(ends > 0), []
+            s = np.full(len(words) + 2, rest, np.uint16)
+            s[0] = s[-1] = end
+            base, model, rare, at = end_base + len(words) * unigram, 0.0, [], []
             for i, w in enumerate(words, 1):
                 if (x := logs.get(w)) is not None:
                     s[i] = x[0]
                     base += x[1]
                     model += x[2]
-                    known += 1
                 else:
-                    s[i] = rest
-                    rare.append((w, i))
-            # The first row of a text has its ids and sums; the others its rare words, whose classes and counts are still to come.
-            return [(key, doc_id, learns, None, s.tobytes(), 0, 0, 0, known, base, model)] + [(key, None, learns, w, None, i, int(s[i - 1]), int(s[i + 1]), 0, 0.0, 0.0) for w, i in rare]
+                    rare.append(w)
+                    at.append(i)
+            # The counts and classes of the rare words are still to come.
+            return key, doc_id, learns, s.tobytes(), int(ends > 0) + len(words) - len(rare), base, model, rare, at
 
         return one
 
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", chosen.alias("learns"), "text")
-    parts = written(flat_map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, word binary, s binary, at int, before int, after int, known long, base double, model double"), "lm-parts")
+    parts = written(map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, s binary, known long, base double, model double, words array<binary>, at array<int>", 128), "lm-parts")
 
     # Classes of the frequent words: the most frequent start them, then all are exchanged.
     n_exchanged = sum(c > 1 for _, c in top)
     classes = max(classes, round(repeated ** (1 / 3)))
-    pairs = written(neighbours(parts.where("word is null and learns").select("s"), rest, end, n_exchanged, n_all), "lm-pairs")
+    pairs = written(neighbours(parts.where("learns").select("s"), rest, end, n_exchanged, n_all), "lm-pairs")
     m = min(n_exchanged, max(clustered, 4 * classes))
     # Words that don't start the classes stand between those that do as one more word, so that pairs don't close up over them.
     fewer = np.full(1 << 16, m, np.int64)
@@ -414,19 +452,16 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     table = steps_between(pairs, of, k)
     dropped(pairs)
 
-    def in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, after = (of[batch.column(i).to_numpy(zero_copy_only=False)] for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0)] * 2), pa.array(np.concatenate([before + k, after]), pa.int32())], names=["word", "ctx"])
-
-    rare = parts.where("word is not null")
-    joined = inserted(rare.where("learns").select("word", "before", "after").mapInArrow(in_context, "word binary, ctx int"), table)
-    exchanged = spark.createDataFrame([(bytearray(w), int(of[i])) for i, (w, _) in enumerate(top[:n_exchanged])], "word binary, class int")
+    n_rare = n_all - ends - sum(c for _, c in top)
+    joined = inserted(parts.where(F.col("learns") & (F.size("words") > 0)), of, table, n_rare)
+    exchanged = spark.createDataFrame([(_hash48(w), int(of[i])) for i, (w, _) in enumerate(top[:n_exchanged])], "h long, class int")
+    found = exchanged.unionAll(joined).groupBy("h").agg(F.min("class").alias("class"))
     # The classes of all words: their own, or for words seen once that of their ending.
-    own_class = vocabulary.join(exchanged.unionAll(joined), "word", "left").withColumn("ending", ending(F.col("word")))
-    own_class = written(own_class, "lm-own")
+    own_class = vocabulary.withColumn("h", F.shiftrightunsigned(F.xxhash64("word"), 16)).join(found, "h", "left").select("word", "c", F.when(F.col("c") > 1, F.col("class")).alias("class"))
+    own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own")
     by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
     by_ending = written(by_ending, "lm-endings")
+    by_ending = F.broadcast(by_ending) if by_ending.count() <= most_broadcast else by_ending
     other = int(np.argmax(np.bincount(of[:n_exchanged], minlength=k)[: k - 2])) if n_exchanged else 0
     lexicon = written(own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class")), "lm-lexicon")
 
@@ -437,9 +472,10 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     if n_exchanged < len(top):
         class_of[:rest] = [r[0] for r in lexicon.orderBy(F.desc("c"), "word").limit(frequent).select("class").collect()]
 
-    own = parts.where("word is null").select("key", "doc_id", "learns", "s", "known", "base", "model")
+    own = parts.select("key", "doc_id", "learns", "s", "known", "base", "model")
     rare_words = lexicon.where(F.col("c") <= cut) if cut else lexicon.limit(0)
-    rare = rare.select("key", "at", "word").join(rare_words, "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
+    rare = parts.select("key", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("at").alias("at"))))
+    rare = rare.join(rare_words, "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.groupBy("key").agg(
         F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 0.1)).alias("r_base"), F.sum(F.log10(c + smooth)).alias("r_model"),
@@ -449,17 +485,17 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed")
     dropped(parts)
 
-    def classed(s: bytes, at: list[int] | None, to: list[int] | None) -> np.ndarray:
-        out = class_of[np.frombuffer(s, np.uint16)].astype(np.int64)
-        if at:
-            out[at] = to
-        return out
+    def classed(batch: pa.RecordBatch, s: int, at: int, to: int) -> Iterator[np.ndarray]:
+        """The classes of each text of a batch, from columns with its ids, and the places and classes of its rare words."""
+        for ids, (where, classes) in zip(batch.column(s), _lists(batch, at, to)):
+            out = class_of[np.frombuffer(ids.as_py(), np.uint16)].astype(np.int64)
+            out[where] = classes
+            yield out
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(k * k, np.int64)
         for batch in batches:
-            for row in rows_of(batch):
-                x = classed(*row)
+            for x in classed(batch, 0, 1, 2):
                 np.add.at(n, x[:-1] * k + x[1:], 1)
         f = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(f // k, pa.int32()), pa.array(f % k, pa.int32()), pa.array(n[f], pa.int64())], names=["a", "b", "n"])
@@ -471,13 +507,17 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     log_step = np.log10((steps + smooth) / (steps.sum(1, keepdims=True) + smooth * k))
     log_class = -np.log10(steps.sum(0) + smooth * types)  # a word's chance in its class is (c + smooth) times this
 
-    def scored():
-        def one(row):
-            doc_id, s, at, to, known, base, model = row
-            x = classed(s, at, to)
-            model += float(log_step[x[:-1], x[1:]].sum()) + float(log_class[x[1:-1]].sum())
-            return [(doc_id, len(x) - 1, known, n_all, base, model, 10 ** (-model / (len(x) - 1)))]
-
-        return one
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, extra = [], []
+            for x in classed(batch, 1, 2, 3):
+                n.append(len(x) - 1)
+                extra.append(float(log_step[x[:-1], x[1:]].sum()) + float(log_class[x[1:-1]].sum()))
+            n, model = np.array(n, np.int64), batch.column(6).to_numpy(zero_copy_only=False) + np.array(extra)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), batch.column(4), pa.array(np.full(len(n), n_all)), batch.column(5), pa.array(model), pa.array(10 ** (-model / n))],
+                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
+            )
 
-    return flat_map_rows(both.select("doc_id", "s", "at", "to", "known", "base", "model"), scored, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    out = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return both.select("doc_id", "s", "at", "to", "known", "base", "model").mapInArrow(scored, out)
