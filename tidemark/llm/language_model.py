@@ -29,6 +29,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class _Ids(dict):
+    """Words to ids; what isn't there has one id of its own."""
+
+    def __init__(self, ids: dict[bytes, int], rest: int):
+        super().__init__(ids)
+        self.rest = rest
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rest
+
+
 def count_words(rows: DataFrame, most: int = 300_000) -> DataFrame:
     """(word binary, c) over all rows: summed in each task first (in parts of ``most`` words), then by word."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -144,7 +155,7 @@ def neighbours(sequences: DataFrame, rest: int, end: int, first_rest: int, token
         (rk, rc), (lk, lc) = (s.result() for s in sides)
         words = np.unique(np.concatenate([rk, lk]) >> np.uint32(16))
         ends = np.searchsorted(rk, (words.astype(np.uint64) + 1) << np.uint64(16)) + np.searchsorted(lk, (words.astype(np.uint64) + 1) << np.uint64(16))
-        for part in np.split(words, np.flatnonzero(np.diff(ends // 300_000)) + 1) if len(words) else []:
+        for part in np.split(words, np.flatnonzero(np.diff(ends // 100_000)) + 1) if len(words) else []:
             low, high = int(part[0]) << 16, (int(part[-1]) + 1) << 16
             r, l = (slice(*np.searchsorted(k.astype(np.uint64), [low, high])) for k in (rk, lk))
             yield pa.RecordBatch.from_arrays(
@@ -242,25 +253,29 @@ def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarr
     the words where they are. A word's pairs with itself are counted with its old class.
     """
     k, i = len(table), np.arange(len(old))
-    row, col = table.sum(1), table.sum(0)
-    out, into = right.sum(1), left.sum(1)
+    row, col, known = table.sum(1), table.sum(0), _xlogx(table)
     gain = np.zeros((len(old), k))
-    for own, other, t in ((right, left, table.T), (left, right, table)):
+    for own, other, t, before in ((right, left, table.T, known.T), (left, right, table, known)):
         w, d = np.nonzero(own)
         n = own[w, d]
-        cells = t[d]  # what each class has with d, the word's own pairs taken out
-        cells[np.arange(len(w)), old[w]] -= n
-        same = d == old[w]
+        cells, part = t[d], before[d]  # what each class has with d, the word's own pairs to be taken out
+        rows = np.arange(len(w))
+        cells[rows, old[w]] -= n
+        same = np.flatnonzero(d == old[w])
         cells[same] -= other[w[same]]
-        cells = np.maximum(cells, 0)
-        part = _xlogx(cells + n[:, None]) - _xlogx(cells)
+        np.maximum(cells, 0, out=cells)
+        part[rows, old[w]] = _xlogx(cells[rows, old[w]])
+        part[same] = _xlogx(cells[same])
+        cells += n[:, None]  # at least n, so that the logarithm is defined
+        part = cells * np.log(cells) - part
         starts = np.flatnonzero(np.diff(w, prepend=-1))
         if len(starts):
             gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
-    for total, n in ((row, out), (col, into)):
-        rest = np.repeat(total[None, :], len(old), 0)
+    for total, n in ((row, right.sum(1)), (col, left.sum(1))):
+        rest, part = np.repeat(total[None, :], len(old), 0), np.repeat(_xlogx(total)[None, :], len(old), 0)
         rest[i, old] -= n
-        gain -= _xlogx(rest + n[:, None]) - _xlogx(rest)
+        part[i, old] = _xlogx(rest[i, old])
+        gain -= _xlogx(rest + n[:, None]) - part
     gain = np.round(gain, 6)
     new = np.argmax(gain[:, : k - 2], 1)  # the last two classes are of the words that have none yet, and of the text's end
     return np.where((gain[i, new] > gain[i, old] + 1e-6) | (old == k - 2), new, old)
@@ -409,25 +424,19 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     rest, end = len(top), len(top) + 1
 
     def make():
-        logs = {w: (i, math.log10(c + 0.1), math.log10(c + smooth)) for i, (w, c) in enumerate(top)}
-        end_base = math.log10(ends + 0.1) + unigram
+        ids, end_base = _Ids({w: i for i, (w, _) in enumerate(top)}, rest), math.log10(ends + 0.1) + unigram
+        counts = np.array([c for _, c in top], float)
+        base_log, model_log = (np.append(np.log10(counts + x), 0.0) for x in (0.1, smooth))
 
         def one(row):
             key, doc_id, learns, text = row
             words = words_of(text)
-            s = np.full(len(words) + 2, rest, np.uint16)
-            s[0] = s[-1] = end
-            base, model, rare, at = end_base + len(words) * unigram, 0.0, [], []
-            for i, w in enumerate(words, 1):
-                if (x := logs.get(w)) is not None:
-                    s[i] = x[0]
-                    base += x[1]
-                    model += x[2]
-                else:
-                    rare.append(w)
-                    at.append(i)
+            own = np.fromiter(map(ids.__getitem__, words), np.uint16, len(words))
+            at = np.flatnonzero(own == rest)
+            rare = [words[i] for i in at.tolist()]
+            s = np.concatenate([[end], own, [end]]).astype(np.uint16)
             # The counts and classes of the rare words are still to come.
-            return key, doc_id, learns, s.tobytes(), int(ends > 0) + len(words) - len(rare), base, model, rare, at
+            return key, doc_id, learns, s.tobytes(), int(ends > 0) + len(words) - len(rare), end_base + len(words) * unigram + float(base_log[own].sum()), float(model_log[own].sum()), rare, at + 1
 
         return one
 
@@ -459,11 +468,13 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     # The classes of all words: their own, or for words seen once that of their ending.
     own_class = vocabulary.withColumn("h", F.shiftrightunsigned(F.xxhash64("word"), 16)).join(found, "h", "left").select("word", "c", F.when(F.col("c") > 1, F.col("class")).alias("class"))
     own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own")
+    dropped(vocabulary)
     by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
     by_ending = written(by_ending, "lm-endings")
     by_ending = F.broadcast(by_ending) if by_ending.count() <= most_broadcast else by_ending
     other = int(np.argmax(np.bincount(of[:n_exchanged], minlength=k)[: k - 2])) if n_exchanged else 0
     lexicon = written(own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class")), "lm-lexicon")
+    dropped(own_class)
 
     types = np.ones(k)  # distinct words of each class; one more for those not met
     for r in lexicon.groupBy("class").count().collect():
@@ -475,7 +486,7 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     own = parts.select("key", "doc_id", "learns", "s", "known", "base", "model")
     rare_words = lexicon.where(F.col("c") <= cut) if cut else lexicon.limit(0)
     rare = parts.select("key", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("at").alias("at"))))
-    rare = rare.join(rare_words, "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
+    rare = rare.join(rare_words.hint("shuffle_hash"), "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.groupBy("key").agg(
         F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 0.1)).alias("r_base"), F.sum(F.log10(c + smooth)).alias("r_model"),
