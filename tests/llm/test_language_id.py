@@ -36,3 +36,16 @@ def test_no_labels_and_one_language(spark):
     assert {r.lang_pred for r in L.predict(df, L.train(df, F.lit(True))).collect()} == {"und"}
     one = spark.createDataFrame([(1, "abc", "xx"), (2, "abd", "xx")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in L.predict(one, L.train(one, F.lit(True))).collect()} == {"xx"}
+
+
+def test_every_language_is_learned_and_ids_may_be_text(spark):
+    """More languages than any fixed number of classes that a frequency cut would keep: each has characters of its own."""
+    langs = [f"x{i:02d}" for i in range(80)]
+    own = {lang: [chr(0x4E00 + 40 * i + j) for j in range(8)] for i, lang in enumerate(langs)}
+    rng = random.Random(3)
+    made = [(f"{lang}-{n}", "".join(rng.choice(own[lang]) for _ in range(40)), lang) for i, lang in enumerate(langs) for n in range(4 + i % 3)]
+    df = spark.createDataFrame(made, "doc_id string, text string, lang string")
+    model = L.train(df, F.lit(True))
+    assert sorted(x for members in model.families.values() for x in members) == langs
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in made) > 0.97 * len(made)

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import string
+import time
 
 from tidemark.llm import secret_scan as S
 
@@ -56,3 +59,48 @@ def test_short_tokens_and_those_without_digits_are_judged_too(spark):
     df = spark.createDataFrame(list(enumerate(random_ones + plain)), "doc_id long, text string")
     got = [r.n_markov for r in sorted(S.report(df).collect())]
     assert got == [1] * len(random_ones) + [0] * len(plain)
+
+
+def random_token(rng):
+    alphabet = string.ascii_letters + string.digits
+    return "".join(rng.choice(alphabet) for _ in range(rng.randint(16, 44)))
+
+
+def test_models_equal_brute_force_and_find_planted_tokens(spark):
+    """Recall on random tokens, precision on identifiers, and the spans and ratios against plain Python."""
+    rng = random.Random(8)
+    planted = [random_token(rng) for _ in range(300)]
+    ordinary = ["_".join(rng.choice(S.WORDS) for _ in range(3)) for _ in range(300)] + ["".join(rng.choice(S.WORDS).capitalize() for _ in range(4)) for _ in range(300)]
+    rows = [(i, f"é {t} end {t[:11]}") for i, t in enumerate(planted + ordinary)]
+    got = {r.doc_id: r for r in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    table = S.train(spark)
+    token, word = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}"), re.compile(r"\A[A-Za-z][a-z]+\Z")
+    for i, text in rows:
+        _, base = brute(text)
+        taken = [tuple(map(int, s.split(":")[1:])) for s in base.split(",") if s]
+        spans = []
+        for m in token.finditer(text):
+            ratio = math.fsum(table[128 * ord(a) + ord(b)] for a, b in zip(m[0], m[0][1:]))
+            least = 12 + max(0, 20 - len(m[0])) * 1.6 + (8 if word.match(m[0]) else 0)
+            if abs(ratio - least) < 1e-6 or any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            if ratio > least:
+                spans.append(f"markov:{m.start()}:{m.end()}")
+        assert [s for s in got[i].spans.split(",") if s.startswith("markov")] == spans
+    found = lambda ids: sum(got[i].n_markov + got[i].n_access + got[i].n_hex > 0 for i in ids)
+    assert found(range(300)) > 0.95 * 300
+    assert found(range(300, 900)) < 0.02 * 600
+
+
+def test_long_rows_take_linear_time(spark):
+    rng = random.Random(9)
+    texts = ["-" * 1_000_000, "x " + "abcdefghijkl-" * 60_000, " ".join(random_token(rng) for _ in range(20_000)), "token=" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    out = sorted(S.report(df).collect())
+    assert time.time() - began < 60
+    assert out[0].spans == "" and out[2].n_markov > 18_000
+    spans = [s.split(":") for s in out[2].spans.split(",")]
+    assert all(texts[2][int(a) : int(b)].isalnum() and int(b) - int(a) >= 16 for _, a, b in spans[:50] + spans[-50:])
+    red = S.redacted(df.where("doc_id = 2")).first()
+    assert red.text.count("[SECRET]") == sum(1 for i in range(len(spans)) if i == 0 or int(spans[i][1]) >= max(int(b) for _, _, b in spans[max(0, i - 3) : i]))

@@ -43,3 +43,34 @@ def test_defined_cases(spark):
     out = T.score(df, model).collect()
     assert len(out) == 5 and all(0 <= r.score < 0.7 and r.predicted == 0 for r in out)
     assert T.score(df.limit(0), T.train(df.limit(0), lb.limit(0), F.lit(True))).collect() == []
+
+
+def test_ids_may_be_text(spark):
+    docs, labels = rows(400)
+    df = spark.createDataFrame([(f"d{i}", t) for i, t, _ in docs], "doc_id string, text string")
+    lb = spark.createDataFrame([(f"d{i}", y) for i, y in labels], "doc_id string, toxic int")
+    assert T.score(df, T.train(df, lb, F.lit(True))).count() == 400
+
+
+def test_risk_and_its_slope_against_brute_force():
+    """Training must end no higher than any small step away from it, by a risk computed text by text."""
+    rng = np.random.default_rng(4)
+    positive = [np.unique(rng.integers(0, 12, 6)).astype(np.int32) for _ in range(60)]
+    unlabelled = [np.unique(rng.integers(4, 30, 6)).astype(np.int32) for _ in range(240)]
+    prior = 0.2
+    model = T.fit(positive, unlabelled, prior, rounds=3000, rate=0.02, decay=1e-2, sigmas=0.0)
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+
+    def risk(w, b):
+        g = lambda ids: b + sum(x for h, x in zip(model.known, w) if h in ids)
+        p, u = [g(set(s.tolist())) for s in positive], [g(set(s.tolist())) for s in unlabelled]
+        rest = np.mean([loss(-z) for z in u]) - prior * np.mean([loss(-z) for z in p])
+        return prior * np.mean([loss(z) for z in p]) + max(0.0, rest) + 1e-2 * (float(w @ w) + b * b)
+
+    best = risk(model.w, model.b)
+    for i in range(len(model.w)):
+        for d in (0.05, -0.05):
+            w = model.w.copy()
+            w[i] += d
+            assert risk(w, model.b) > best - 2e-4
+    assert min(risk(model.w, model.b + 0.05), risk(model.w, model.b - 0.05)) > best - 2e-4

@@ -63,4 +63,6 @@ def components(edges: DataFrame, most_rounds: int = 60, most_in_task: int = 300_
         if (n, total) == mark:
             break
         mark = (n, total)
+    else:
+        raise RuntimeError(f"components haven't settled after {most_rounds} rounds")
     return now.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("root"))

@@ -120,7 +120,7 @@ def search(docs: DataFrame, items: DataFrame, least: tuple[int, int] = LEAST, n:
     result = spark.createDataFrame([], schema)
     for block in range(blocks):
         part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else own
-        index = Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), least, n)
+        index = Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, str(x[0]), x[1])), least, n)
         if not index.ids:
             continue
 

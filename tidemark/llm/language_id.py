@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, sample_below, small_batches
+from .common import map_rows, small_batches
 
 # Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -87,24 +87,22 @@ class Model:
         return lang, min(1.0, max(0.0, p))
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, rounds: int = 150) -> Plane:
-    """Linear SVM with squared hinge loss by accelerated gradient; classes weigh the same whatever their sizes."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    v, vb, step, t = w.copy(), b, 1.0 / (2 * cost * 2 + 1), 1.0
+def svms(x: np.ndarray, y: np.ndarray, cost: float = 50.0, rounds: int = 150) -> list[Plane]:
+    """A linear SVM for each column of y (1 or -1) with squared hinge loss, by accelerated gradient; classes weigh the same whatever their sizes."""
+    weight = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(0), 1), 0.5 / np.maximum((y < 0).sum(0), 1)).astype(np.float32)
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    v, vb, step, t = w.copy(), b.copy(), 1.0 / (2 * cost * 2 + 1), 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v + vb)) * weight
-        gw, gb = v - 2 * cost * (x.T @ (slack * y)), -2 * cost * float((slack * y).sum())
-        w2, b2 = v - step * gw, vb - step * gb
+        slack = np.maximum(0, 1 - y * (x @ v + vb)) * weight * y
+        w2, b2 = v - step * (v - 2 * cost * (x.T @ slack)), vb + step * 2 * cost * slack.sum(0)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    margins = y * (x @ w + b)
-    slope = 1.0
+    margins, slope = y * (x @ w + b), np.ones(y.shape[1])
     for _ in range(50):  # chances from margins, with one parameter
         p = 1 / (1 + np.exp(-np.clip(slope * margins, -30, 30)))
-        slope = min(8.0, max(1.0, slope + 0.5 * float((weight * margins * (1 - p)).sum() - 0.01 * slope)))
-    return Plane(w.astype(np.float32), float(b), slope)
+        slope = np.clip(slope + 0.5 * ((weight * margins * (1 - p)).sum(0) - 0.01 * slope), 1.0, 8.0)
+    return [Plane(w[:, i].astype(np.float32), float(b[i]), float(slope[i])) for i in range(y.shape[1])]
 
 
 def fit(texts: list[tuple[str, np.ndarray]]) -> Model:
@@ -119,34 +117,29 @@ def fit(texts: list[tuple[str, np.ndarray]]) -> Model:
     x = np.stack([f for _, f in texts])
     y = np.array([lang for lang, _ in texts])
     if len(families) > 1:
-        for name, members in families.items():
-            model.family_planes[name] = svm(x, np.where(np.isin(y, members), 1, -1).astype(np.float32))
+        sides = np.stack([np.where(np.isin(y, members), 1, -1) for members in families.values()], 1).astype(np.float32)
+        model.family_planes = dict(zip(families, svms(x, sides)))
     for members in families.values():
         for a, b in itertools.combinations(members, 2):
             of = (y == a) | (y == b)
-            model.pairs[a, b] = svm(x[of], np.where(y[of] == a, 1, -1).astype(np.float32))
+            model.pairs[a, b] = svms(x[of], np.where(y[of] == a, 1, -1).astype(np.float32)[:, None])[0]
     return model
 
 
-def train(docs: DataFrame, usable: Column, per_lang: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample: about per_lang rows of each language (at most 64 languages, the most frequent ones).
+def train(docs: DataFrame, usable: Column, per_lang: int = 400, most_rows: int = 12_000, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on a bounded sample: about per_lang rows of each language, of every language there is.
 
-    Rows are those where ``usable`` holds, language and text are not null and the text has a letter.
+    Where that would be more than most_rows in all, fewer of each, but about ``least``. Rows are those where ``usable``
+    holds, language, text and id are not null and the text has a letter. Ids may be of any type.
     """
     rows = docs.where(usable).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    chosen = None
-    for lang, n in counts.items():
-        part = sample_below(rows.where(F.col("lang") == lang), per_lang, n, F.col("doc_id"), F.lit(2))
-        chosen = part if chosen is None else chosen.unionAll(part)
-    if chosen is None:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return Model({})
-    if len(counts) > 1:  # one scan rather than one for each language
-        share = F.lit(0)
-        for lang, n in counts.items():
-            share = F.when(F.col("lang") == lang, F.lit(min(2**32, int(2**32 * per_lang / n)))).otherwise(share)
-        chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2**32)) < share)
-    made = map_rows(chosen, lambda: lambda row: (row[2], row[0], features(row[1]).astype(np.float16).tobytes() if has_letter(row[1]) else None), "lang string, doc_id long, x binary", 64)
+    each = max(least, min(per_lang, most_rows // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(2**32, int(2**32 * each / n))) for lang, n in sorted(counts.items())], "_lang string, _share long")
+    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2**32)) < F.col("_share"))
+    made = map_rows(chosen.select(F.col("doc_id").cast("string"), "text", "lang"), lambda: lambda row: (row[2], row[0], features(row[1]).astype(np.float16).tobytes() if has_letter(row[1]) else None), "lang string, doc_id string, x binary", 64)
     found = sorted((r["lang"], r["doc_id"], bytes(r["x"])) for r in made.where("x is not null").collect())
     return fit([(lang, np.frombuffer(x, np.float16).astype(np.float32)) for lang, _, x in found])
 

@@ -86,19 +86,35 @@ def least_ratio(token: Column, threshold: float) -> Column:
     return F.lit(threshold) + short + F.when(token.rlike(WORD_SHAPE), 8.0).otherwise(0.0)
 
 
-def _starts(gaps: Column, matches: Column, rank: int) -> Column:
-    """Spans of the matches, from the texts before each of them; lengths are in code points."""
+def _starts(gaps: Column, matches: Column, rank: int, block: int = 256) -> Column:
+    """Spans of the matches, from the texts before each of them; lengths are in code points.
+
+    Lengths are added up in blocks, and the blocks' own lengths after that, so that no step copies a long array.
+    """
     pieces = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
     zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_ARRAY})").alias("out"))
-    return F.aggregate(
-        pieces,
-        zero,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + p["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + p["g"] + p["m"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def within(some: Column) -> Column:
+        return F.aggregate(
+            some,
+            zero,
+            lambda acc, p: F.struct(
+                (acc["at"] + p["g"] + p["m"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + p["g"] + p["m"]).alias("end")))).alias("out"),
+            ),
+        )
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / block).cast("int")), lambda i: within(F.slice(pieces, i * block + 1, block)))
+    moved = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["end"] + by).alias("end")))
+
+    def offsets(parts: Column) -> Column:
+        """How much text comes before each block."""
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        step = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+    whole = lambda parts: F.flatten(F.zip_with(parts, offsets(parts), lambda b, by: moved(b["out"], by)))
+    return F.when(F.size(matches) <= block, within(pieces)["out"]).otherwise(whole(blocks))
 
 
 def _found(df: DataFrame, name: str, pattern: str, rank: int) -> DataFrame:
@@ -112,7 +128,7 @@ def _found(df: DataFrame, name: str, pattern: str, rank: int) -> DataFrame:
 def _scanned(docs: DataFrame, threshold: float, text_col: str) -> DataFrame:
     """(_row, _spans): each row whole, as a struct, so that no column of its own meets one of the scan's; and its spans."""
     small_batches(docs.sparkSession)
-    table = F.array(*[F.lit(x) for x in train(docs.sparkSession)])
+    table = F.split(F.lit(",".join(map(repr, train(docs.sparkSession)))), ",").cast("array<double>")  # one literal, once folded
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     df = _found(df, "_assign", ASSIGN, 0)
     secret = F.transform("_m__assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)))
@@ -159,13 +175,17 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 12.0, t
     """docs with each span of a secret replaced by mark in the text; overlapping spans become one; null texts stay null."""
     df = _scanned(docs, threshold, text_col)
     text = F.col(f"_row.`{text_col}`")
-    put = F.aggregate(
+    one = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    # Spans that overlap made one, from which the texts between them follow.
+    merged = F.aggregate(
         "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
+        F.struct(F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("done"), F.struct(F.lit(-1).alias("start"), F.lit(0).alias("end")).alias("last")),
+        lambda acc, s: F.when(s["start"] < acc["last"]["end"], F.struct(acc["done"].alias("done"), F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], s["end"]).alias("end")).alias("last"))).otherwise(
+            F.struct(F.concat(acc["done"], F.array(acc["last"])).alias("done"), one(s).alias("last"))
         ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+        lambda acc: F.concat(acc["done"], F.array(acc["last"])),
     )
-    changed = F.when(F.size("_spans") > 0, put).otherwise(text)
+    pieces = lambda m: F.zip_with(m, F.slice(m, 2, F.size(m)), lambda a, b: F.substring(text, a["end"] + 1, F.coalesce(b["start"] - a["end"], F.length(text))))
+    changed = F.when(F.size("_spans") > 0, F.array_join(pieces(F.col("_merged")), mark)).otherwise(text)
+    df = df.withColumn("_merged", merged)
     return df.select(*[changed.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = 3
         held = _Ids()
         return lambda row: (row[0], row[2], row[3], word_ids(row[1], held).tobytes())
 
-    made = sorted((r["doc_id"], r["pos"], r["drawn"], bytes(r["x"])) for r in map_rows(rest, make, "doc_id long, pos boolean, drawn boolean, x binary", 64).collect())
+    rest = rest.withColumn("doc_id", F.col("doc_id").cast("string"))  # ids of any type, here only to put the rows in order
+    made = sorted((r["doc_id"], r["pos"], r["drawn"], bytes(r["x"])) for r in map_rows(rest, make, "doc_id string, pos boolean, drawn boolean, x binary", 64).collect())
     arrays = [(pos, u, np.frombuffer(x, np.int32)) for _, pos, u, x in made]
     return fit([x for pos, _, x in arrays if pos], [x for _, u, x in arrays if u], prior)
 
