@@ -61,6 +61,28 @@ def test_components_equal_brute_force(spark):
     assert sorted((tuple(r) for r in J.components_of(df).collect()), key=str) == want
     small = J.linked_classes(df, most_in_group=300, most_ids=0)
     assert sorted((tuple(r) for r in small.select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
+    by_prefix = J.linked_classes(df, most_in_group=300, most_ids=0, most_blocks=1)
+    assert sorted((tuple(r) for r in by_prefix.select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
+
+
+def test_one_group_over_many_blocks(spark):
+    """A chain of texts, each linked with its neighbours only: every link matters, and they all share words."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len({c for _, _, c in want}) == 1
+    for blocks in (16, 1):
+        got = J.linked_classes(df, most_in_group=500, most_blocks=blocks).select("doc_id", "n_shingles", "component_id")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_a_text_without_an_id_joins_two_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(words[:60])), (None, " ".join(words[6:66])), (3, " ".join(words[12:72]))]
+    want = brute(rows)
+    assert {c for _, _, c in want} == {3} and brute([rows[0], rows[2]])[0][2] != brute([rows[0], rows[2]])[1][2]
+    assert sorted((tuple(r) for r in J.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
 
 
 def test_tree_equals_all_pairs():

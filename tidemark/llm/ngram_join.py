@@ -8,7 +8,8 @@
 3. What is left falls into groups that share prefix n-grams. A group's sets are stored in a prefix tree (most frequent
    n-gram first, so that similar sets share paths), and each query set walks it once: overlaps are counted once for
    each shared path, and subtrees whose remaining lengths can't bring the overlap needed are pruned.
-4. Groups above a size are cut into blocks, and each pair of blocks has a tree of its own: exact for groups of any size.
+4. Groups above a size are cut into blocks, and each pair of blocks has a tree of its own; in groups that would need very
+   many blocks, sets meet by prefix n-gram instead. Exact for groups of any size.
 
 Links within a component aren't all checked: a pair that is connected already is left out, which alters no component.
 """
@@ -366,23 +367,97 @@ def _grouped(rows: DataFrame, keys: list[str], link: tuple[int, int]) -> DataFra
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def _group_edges(table: pa.Table) -> pa.Table:
-    """For one bucket: each class with the least class that shared n-grams connect it with there."""
-    rows = table.to_pydict()
-    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["grams"]])
-    sigs = np.repeat(np.array(rows["sig"], np.int64), [len(x) // 8 for x in rows["grams"]])
+def _roots(sigs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures, for each the least one that shared n-grams connect it with, and where each of sigs is among them."""
     every, at = np.unique(sigs, return_inverse=True)
     order = np.lexsort((at, grams))
-    grams, at = grams[order], at[order]
+    grams, sorted_at = grams[order], at[order]
     same = np.flatnonzero(grams[1:] == grams[:-1])
     forest = Forest(len(every))
-    for i, j in np.unique(np.stack([at[same], at[same + 1]]), axis=1).T.tolist():
+    for i, j in np.unique(np.stack([sorted_at[same], sorted_at[same + 1]]), axis=1).T.tolist():
         forest.join(i, j)
-    roots = np.array([forest.root(i) for i in range(len(every))], np.int64)
-    return pa.table({"a": pa.array(every), "b": pa.array(every[roots])})
+    return every, every[np.array([forest.root(i) for i in range(len(every))], np.int64)], at
+
+
+def _prefixes(whole: DataFrame, parts: int, order: Order, link: tuple[int, int], flush_at: int = 500_000) -> DataFrame:
+    """(bucket, sigs, grams, a, b): prefix n-grams dealt to buckets, and links a to b found on the way.
+
+    What shared n-grams connect within a block of sets is linked on the spot and goes on as one, so that at most an
+    entry for each block meets for an n-gram, however many sets have it.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("grams", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_sigs, held, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            grams = np.concatenate(held)
+            every, roots, at = _roots(np.repeat(np.array(held_sigs, np.int64), [len(g) for g in held]), grams)
+            none = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([none(len(every), pa.int32()), none(len(every), pa.binary()), none(len(every), pa.binary()), pa.array(every), pa.array(roots)], schema=schema)
+            by = np.lexsort((roots[at], grams))
+            grams, owners = grams[by], roots[at][by]
+            first = np.append(True, (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1]))
+            grams, owners = grams[first], owners[first]
+            bucket = (grams % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            grams, owners, bucket = grams[by], owners[by], bucket[by]
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            rows = [(int(bucket[i]), owners[i:j].tobytes(), grams[i:j].tobytes(), None, None) for i, j in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for sig, packed in rows_of(batch):
+                grams = order.sorted(np.frombuffer(packed, np.uint64))
+                held_sigs.append(sig)
+                held.append(grams[: len(grams) - least_common(len(grams), link) + 1])
+                size += len(held[-1])
+                if size > flush_at:
+                    yield from flush()
+                    held_sigs, held, size = [], [], 0
+        if held:
+            yield from flush()
+
+    return whole.select("sig", "grams").mapInArrow(run, "bucket int, sigs binary, grams binary, a long, b long")
+
+
+def _group_edges(table: pa.Table) -> pa.Table:
+    """For one bucket: each class with the least class that shared n-grams connect it with there."""
+    rows = table.to_pydict()
+    every, roots, _ = _roots(np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]]), np.concatenate([np.frombuffer(x, np.uint64) for x in rows["grams"]]))
+    return pa.table({"a": pa.array(every), "b": pa.array(roots)})
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], most_in_group: int) -> DataFrame:
+    """Sets of groups too large for one tree, dealt to pairs of blocks (i, j): every two of a group meet in one of them."""
+    cuts = F.ceil(2.0 * F.col("total") / most_in_group).cast("int")
+    cut = F.pmod(F.xxhash64("sig"), cuts).cast("int")
+    pairs = rows.withColumn("block", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    return pairs.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "grams")
+
+
+def _by_prefix(rows: DataFrame, order: Order, link: tuple[int, int], most_in_group: int) -> DataFrame:
+    """(a, b): links within groups too large for blocks of the whole group: sets meet by prefix n-gram instead.
+
+    Two sets that link share an n-gram of their prefixes. A set is copied as often as its prefix is long, not as often
+    as the group has blocks; what still is too large for one tree, of one n-gram, is cut into blocks.
+    """
+
+    def keys():
+        def one(row):
+            grams = order.sorted(np.frombuffer(row[2], np.uint64))
+            return [(row[0], int(g), row[1], len(grams)) for g in grams[: len(grams) - least_common(len(grams), link) + 1].view(np.int64)]
+
+        return one
+
+    narrow = flat_map_rows(rows.select("root", "sig", "grams"), keys, "root long, gram long, sig long, n long")
+    sizes = narrow.groupBy("root", "gram").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
+    placed = narrow.join(sizes, ["root", "gram"]).select("root", "gram", "sig", "total")
+    met = placed.join(rows.select("sig", "grams"), "sig")
+    return _grouped(_block_pairs(met, ["root", "gram"], most_in_group), ["root", "gram", "i", "j"], link)
 
 
-def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 500_000, most_frequent: int = 300_000) -> DataFrame:
+def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 500_000, most_frequent: int = 300_000, most_blocks: int = 16) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) for each row; see components_of() for what the columns mean."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -411,8 +486,10 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = lambda df: F.broadcast(df) if n_left <= most_ids else df  # noqa: E731  for tables of at most a row for each class left
 
     # Their whole sets. Rows are found by id; by broadcast only where the ids are few.
-    ids = left.select(F.col("least").alias("doc_id")).distinct()
+    ids = left.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
     picked = rows.join(few(ids), "doc_id", "left_semi")
+    if left.where("least is null").limit(1).count():  # classes that only rows with a null id have
+        picked = picked.unionAll(rows.where("doc_id is null"))
 
     def sets():
         hashes = WordHashes()
@@ -427,19 +504,11 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = written(whole.join(few(left.select("sig")), "sig", "left_semi"), "join-sets")
     parts = max(12, int(n_left * 150 / 1_500_000))
 
-    def prefixes():
-        def one(row):
-            grams = order.sorted(np.frombuffer(row[1], np.uint64))
-            grams = grams[: len(grams) - least_common(len(grams), link) + 1]
-            at = grams % np.uint64(parts)
-            return [(int(b), row[0], grams[at == b].tobytes()) for b in np.unique(at)]
-
-        return one
-
-    near = flat_map_rows(whole.select("sig", "grams"), prefixes, "bucket int, sig long, grams binary")
-    # Each bucket links a class to a root of its own, at most as many as it has prefix n-grams. Most buckets agree; only
-    # where they don't are there links between roots left to follow.
-    stars = near.groupBy("bucket").applyInArrow(_group_edges, "a long, b long").groupBy("a").agg(F.min("b").alias("r"), F.collect_set("b").alias("bs"))
+    near = written(_prefixes(whole, parts, order, link), "join-prefixes")
+    # Each block and bucket links a class to a root of its own. Most agree; only where they don't are there links
+    # between roots left to follow.
+    met = near.where("bucket is not null").select("bucket", "sigs", "grams").groupBy("bucket").applyInArrow(_group_edges, "a long, b long")
+    stars = met.unionAll(near.where("a is not null").select("a", "b")).groupBy("a").agg(F.min("b").alias("r"), F.collect_set("b").alias("bs"))
     stars = written(stars, "join-stars")
     between = components(stars.select(F.explode("bs").alias("a"), F.col("r").alias("b")).where("a <> b"))
     groups = stars.select("a", "r").join(few(between), F.col("r") == F.col("v"), "left").select(F.col("a").alias("v"), F.coalesce("root", "r").alias("root"))
@@ -449,14 +518,12 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = written(of_group.join(few(sizes), "root").select("sig", "root", "total"), "join-groups")
     sized = whole.join(few(placed), "sig")
     small = _grouped(sized.where(F.col("total") <= most_in_group), ["root"], link)
-    large = sized.where(F.col("total") > most_in_group)
     edges = small
     if placed.where(F.col("total") > most_in_group).limit(1).count():
-        cuts = F.ceil(2.0 * F.col("total") / most_in_group).cast("int")
-        cut = F.pmod(F.xxhash64("sig"), cuts).cast("int")
-        pairs = large.withColumn("block", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-        pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "grams")
-        edges = small.unionAll(components(_grouped(pairs, ["root", "i", "j"], link)).select(F.col("v").alias("a"), F.col("root").alias("b")))
+        most_by_blocks = max(most_in_group, most_blocks * most_in_group // 2)
+        large = _grouped(_block_pairs(sized.where((F.col("total") > most_in_group) & (F.col("total") <= most_by_blocks)), ["root"], most_in_group), ["root", "i", "j"], link)
+        huge = _by_prefix(sized.where(F.col("total") > most_by_blocks), order, link, most_in_group)
+        edges = small.unionAll(components(large.unionAll(huge)).select(F.col("v").alias("a"), F.col("root").alias("b")))
     roots = written(edges.where("a <> b"), "join-roots")
     named = classes.join(roots, F.col("sig") == F.col("a"), "left").select("sig", "least", F.coalesce("b", "sig").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
