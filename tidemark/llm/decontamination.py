@@ -1,7 +1,7 @@
 """Benchmark decontamination: short test items found inside long documents by containment.
 
 Items are partitioned by the size of their n-gram set. Each partition has MinHash sketches of a size of its own, the
-least hashes of an item: so many that a document that holds enough of the item must hold one of them, and how many of
+least hashes of an item, a quarter of them or more: so many that a document that holds enough of the item must hold one of them, and how many of
 them it must hold is known too. Documents smaller than a partition's items can't contain any. Every candidate is then
 verified by exact containment of the n-grams. Documents are only streamed past the items; nothing is shuffled.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import WordHashes, flat_map_rows, small_batches
+from .common import WordHashes, flat_map_rows, small_batches, written
 from .shingles import ngrams, words_of
 
 N = 5
@@ -106,7 +106,7 @@ def search(docs: DataFrame, items: DataFrame, least: tuple[int, int] = LEAST, n:
     """(doc_id, item_id, item_shingles, shared, containment) for each item that a row of docs contains.
 
     Whole texts on both sides. Items go to the tasks in blocks of about ``block_bytes`` of text, one pass over docs for
-    each block, so that what is sent along is bounded however many items there are. Null and wordless items match
+    each block, so that what the driver holds and what is sent along is bounded however many items there are. Null and wordless items match
     nothing; null and empty texts contain nothing; null ids, repeated rows and repeated items give rows of their own.
     Other columns are not read; empty tables give an empty result.
     """
@@ -129,7 +129,9 @@ def search(docs: DataFrame, items: DataFrame, least: tuple[int, int] = LEAST, n:
             return lambda row: [(row[0], i, k, s, s / k) for i, k, s in index.found_in(row[1], hashes)]
 
         found = flat_map_rows(rows, make, schema)
-        result = found if block == 0 else result.unionAll(found)
+        if blocks == 1:
+            return found
+        result = result.unionAll(written(found, "decontamination"))  # run now, so that the driver holds one block's index at a time
     return result
 
 
@@ -158,4 +160,5 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         index = Index([(r[0], r[1]) for r in part.collect()])
 
         docs = docs.where(~_holder(index)(F.col(text_col)))
+        docs = docs if blocks == 1 else written(docs, "decontamination")
     return docs
