@@ -110,3 +110,16 @@ def matched_renames(gone: DataFrame, new: DataFrame) -> DataFrame:
     a = gone.withColumn("_n", F.row_number().over(w)).select("size", "sha256", F.col("key").alias("old_key"), "_n")
     b = new.withColumn("_n", F.row_number().over(w)).select("size", "sha256", F.col("key").alias("new_key"), "_n")
     return b.join(a, ["size", "sha256", "_n"]).select("new_key", "old_key")
+
+
+def line_number(line: Column) -> Column:
+    """60 bits of a line's MD5 as a number that can be summed up."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def state_sums(rows: DataFrame, keys: list[str], line: Column) -> DataFrame:
+    """(keys, n, total): each state as the count of its lines and the sum of their numbers.
+
+    The same for any order of the lines, and added up in each task first: no state is gathered in one place.
+    """
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(line_number(line)).cast("decimal(38,0)").cast("string").alias("total"))

@@ -1,14 +1,35 @@
-"""Byte ranges and locks: overlap joins, unions, subtraction, merging of own claims."""
+"""Byte ranges and locks: overlap joins, unions, subtraction, merging of own claims.
+
+A whole-file claim ends at EOF, which counts as greater than every other end.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import bisect
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the end of a range that goes on to the end of the file, the least 64-bit integer; ends compare unsigned.
+EOF = -(1 << 63)
+TOP = (1 << 63) - 1
+
+
+def closed(df: DataFrame, *ends: str) -> DataFrame:
+    """df with ends beyond the signed 64-bit numbers, EOF among them, put at the greatest one, so that they compare as they should."""
+    for name in ends or ("end",):
+        df = df.withColumn(name, F.when(F.col(name) < 0, F.lit(TOP)).otherwise(F.col(name)))
+    return df
+
+
+def opened(end: Column) -> Column:
+    """The reverse of closed()."""
+    return F.when(end == TOP, F.lit(EOF)).otherwise(end)
+
+
 def overlap(a: str, b: str) -> Column:
+    """Whether two ranges with closed() ends overlap."""
     return (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end"))
 
 
@@ -16,29 +37,39 @@ def live(claims: DataFrame, now_ms: int) -> DataFrame:
     return claims.where(F.col("expires_at_ms") > now_ms)
 
 
-def bins(df: DataFrame, width: int) -> DataFrame:
-    """A row for each bin of ``width`` that a range touches, so that overlap joins have an equality to hash on."""
-    last = F.greatest(F.col("end") - 1, F.col("start"))
-    return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
+def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): every two rows of the same file whose ranges overlap, each pair once, as structs; ends closed().
 
-
-def conflicts(claims: DataFrame, now_ms: int, width: int = 512) -> DataFrame:
-    """(file, a, b) with a < b: overlapping unexpired claims of different holders, not both shared, none escalation-only.
-
-    Joined on (file, bin), never by inequality alone; a pair that meets in several bins counts in its first one.
+    A range has a level, the number of binary digits of its length, and touches two bins of that level's width at most.
+    Of two ranges that overlap, the one of the higher level (l of equal ones) lies in its own bins and the other one in
+    bins of that level; the first bin that both touch counts. So a range has at most two rows for each level that
+    there is, however long it is, and the join hashes on file, level and bin.
     """
-    rows = bins(live(claims, now_ms).where("not escalation_only"), width)
-    j = rows.alias("a").join(rows.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.id") < F.col("b.id")))
-    j = j.where(overlap("a", "b") & (F.col("a.holder") != F.col("b.holder")) & ~(F.col("a.shared") & F.col("b.shared")))
-    j = j.where(F.col("a.bin") == F.floor(F.greatest(F.col("a.start"), F.col("b.start")) / width))
-    return j.select(F.col("a.file").alias("file"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-
-
-def blocked_writes(writes: DataFrame, claims: DataFrame, now_ms: int, width: int = 512) -> DataFrame:
+    digits = F.length(F.bin(F.greatest(F.col("end") - F.col("start") - 1, F.lit(0))))
+    with_level = lambda df, name: closed(df).withColumn("level", digits).select("file", "level", F.greatest(F.col("end") - 1, "start").alias("last"), "start", F.struct(*df.columns).alias(name))
+    l, r = with_level(left, "l"), with_level(right, "r")
+    found = sorted(x[0] for x in l.select("level").unionAll(r.select("level")).distinct().collect())  # 64 at most
+    bins = F.explode(F.expr("sequence(shiftright(start, at), shiftright(last, at))")).alias("bin")
+    own = lambda df, name: df.withColumn("at", F.col("level")).select("file", "at", bins, name)
+    levels = F.array(*[F.lit(x) for x in found]).cast("array<int>")
+    every = lambda df, name, also: df.withColumn("at", F.explode(F.filter(levels, lambda x: (x >= F.col("level")) if also else (x > F.col("level"))))).select("file", "at", bins, name)
+    pairs = own(l, "l").join(every(r, "r", True), ["file", "at", "bin"]).select("at", "bin", "l", "r")
+    pairs = pairs.unionAll(own(r, "r").join(every(l, "l", False), ["file", "at", "bin"]).select("at", "bin", "l", "r"))
+    first = F.greatest(F.expr("shiftright(l.start, at)"), F.expr("shiftright(r.start, at)"))
+    return pairs.where(overlap("l", "r") & (F.col("bin") == first)).select("l", "r")
+
+
+def conflicts(claims: DataFrame, now_ms: int) -> DataFrame:
+    """(file, a, b) with a < b: overlapping unexpired claims of different holders, not both shared, none escalation-only."""
+    rows = live(claims, now_ms).where("not escalation_only").select("file", "id", "holder", "start", "end", "shared")
+    hit = (F.col("l.id") < F.col("r.id")) & (F.col("l.holder") != F.col("r.holder")) & ~(F.col("l.shared") & F.col("r.shared"))
+    return overlapping(rows, rows).where(hit).select(F.col("l.file").alias("file"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def blocked_writes(writes: DataFrame, claims: DataFrame, now_ms: int) -> DataFrame:
     """Writes (file, id, holder, start, end) that overlap an unexpired claim of another holder; shared claims block too."""
-    w, c = bins(writes, width).alias("w"), bins(live(claims, now_ms).where("not escalation_only"), width).alias("c")
-    hit = (F.col("w.file") == F.col("c.file")) & (F.col("w.bin") == F.col("c.bin")) & overlap("w", "c") & (F.col("w.holder") != F.col("c.holder"))
-    return w.join(c, hit, "left_semi").select("file", "id").distinct()
+    c = live(claims, now_ms).where("not escalation_only").select("file", "holder", "start", "end")
+    return overlapping(writes, c).where("l.holder <> r.holder").select("l.file", "l.id").distinct()
 
 
 def union(ranges: DataFrame, touching: bool = True) -> DataFrame:
@@ -56,47 +87,46 @@ def span(ranges: DataFrame) -> DataFrame:
 
 def unlocked(claims: DataFrame, releases: DataFrame, now_ms: int) -> DataFrame:
     """Claims less a release (file, holder, r_start, r_end) of their holder; expired claims of anyone go too."""
-    rows = live(claims, now_ms).join(releases, ["file", "holder"], "left")
+    rows = closed(live(claims, now_ms)).join(closed(releases, "r_end"), ["file", "holder"], "left")
     hit = F.col("r_start").isNotNull() & ~F.col("escalation_only") & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     piece = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
     whole = F.array(piece(F.col("start"), F.col("end")))
     cut = F.filter(F.array(piece(F.col("start"), F.col("r_start")), piece(F.col("r_end"), F.col("end"))), lambda p: p["s"] < p["e"])
-    return rows.withColumn("_p", F.explode(F.when(hit, cut).otherwise(whole))).select("file", "id", "holder", F.col("_p.s").alias("start"), F.col("_p.e").alias("end"))
+    return rows.withColumn("_p", F.explode(F.when(hit, cut).otherwise(whole))).select("file", "id", "holder", F.col("_p.s").alias("start"), opened(F.col("_p.e")).alias("end"))
+
+
+Claim = tuple[int, int, bool]
 
 
-def merge_own(owned: Iterable[tuple[int, int, bool]], start: int, end: int, shared: bool) -> list[tuple[int, int, bool]]:
-    """One holder's claims after it takes [start, end): the same kind is absorbed where it overlaps, the other kind trimmed.
+def taken(held: list[Claim], start: int, end: int, shared: bool) -> list[Claim]:
+    """One holder's claims, in order of place and apart from each other, after it takes [start, end).
 
-    Widening can reach claims that the first range didn't, so it is repeated until nothing changes.
+    The claims that the new one overlaps lie side by side. Those of its kind become one with it; of the others what it
+    leaves free stays. Claims that only touch it stay as they are. Ends are positive numbers.
     """
-    left = list(owned)
-    while True:
-        hit = [c for c in left if c[0] < end and start < c[1]]
-        if not hit:
-            return [*left, (start, end, shared)]
-        kept = []
-        for c in left:
-            if not (c[0] < end and start < c[1]):
-                kept.append(c)
-            elif c[2] == shared:
-                start, end = min(start, c[0]), max(end, c[1])
-            else:
-                kept += [(c[0], start, c[2])] * (c[0] < start) + [(end, c[1], c[2])] * (c[1] > end)
-        left = kept
+    first = bisect.bisect_right(held, start, key=lambda c: c[1])
+    after = bisect.bisect_left(held, end, key=lambda c: c[0])
+    met = held[first:after]
+    alike = [c for c in met if c[2] == shared]
+    left = [(a, start, kind) for a, _, kind in met[:1] if kind != shared and a < start]
+    right = [(end, b, kind) for _, b, kind in met[-1:] if kind != shared and end < b]
+    one = (min([start, *(c[0] for c in alike)]), max([end, *(c[1] for c in alike)]), shared)
+    return [*held[:first], *left, one, *right, *held[after:]]
 
 
 def merged_claims(claims: DataFrame) -> DataFrame:
-    """(file, holder, start, end, shared): each holder's claims on a file folded in the order of id by merge_own()."""
+    """(file, holder, start, end, shared): each holder's claims on a file, taken in the order of id. One holder's claims on one file have to fit a task."""
 
     def fold(pdf):
         import pandas as pd
 
-        held: list[tuple[int, int, bool]] = []
+        held: list[Claim] = []
         for r in pdf.sort_values("id").itertuples():
-            held = merge_own(held, int(r.start), int(r.end), bool(r.shared))
-        return pd.DataFrame([(pdf["file"].iloc[0], pdf["holder"].iloc[0], *h) for h in sorted(held)], columns=["file", "holder", "start", "end", "shared"])
+            held = taken(held, int(r.start), int(r.end), bool(r.shared))
+        return pd.DataFrame([(pdf["file"].iloc[0], pdf["holder"].iloc[0], *h) for h in held], columns=["file", "holder", "start", "end", "shared"])
 
-    return claims.select("file", "holder", "id", "start", "end", "shared").groupBy("file", "holder").applyInPandas(fold, "file long, holder long, start long, end long, shared boolean")
+    rows = closed(claims).select("file", "holder", "id", "start", "end", "shared")
+    return rows.groupBy("file", "holder").applyInPandas(fold, "file long, holder long, start long, end long, shared boolean").withColumn("end", opened(F.col("end")))
 
 
 def within_budget(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.adapters import NTZ, store_second
 
+from .dedupe import line_number
+from .shared import saved
+
 
 def effective(versions: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """versions with eff. Without dates, store time alone counts (bulk listings ignore declared times)."""
@@ -86,46 +89,24 @@ def named_versions(dated: DataFrame, names: list[tuple[str, str]], now: str) ->
 
 
 def not_states(dated: DataFrame) -> DataFrame:
-    """(key, seq, state): 'shadowed' or 'late' for live versions that are no states of their key; fix-point for each key.
+    """(key, seq, state): 'shadowed' or 'late' for live versions that are no states of their key.
 
-    A version is shadowed if a newer stored one, not late, has the same date; late, of the rest, if it was stored after a
-    later-dated one. Each decides the other, so the rounds go on until the late ones stay the same.
+    Shadowed: a version stored later, which isn't late, has the same date. Late: not shadowed, and dated before a version
+    stored earlier that isn't shadowed. Starting from none late, each round can only find more late ones, so the rounds
+    end: when one finds no more. All keys go through a round together, in two windows over the same partitions.
     """
-
-    def fold(pdf):
-        rows = pdf.sort_values("seq", ascending=False)
-        seqs, effs = rows["seq"].tolist(), rows["eff"].astype("int64").tolist()
-        shadowed, late = settled(effs)
-        out = [(seqs[i], "shadowed") for i in sorted(shadowed)] + [(seqs[i], "late") for i in sorted(late)]
-        made = {"key": [rows["key"].iloc[0]] * len(out), "seq": [s for s, _ in out], "state": [k for _, k in out]}
-        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in made.items()})
-
-    live = dated.where("not deleted").select("key", "seq", "eff")
-    kind = live.schema["key"].dataType.simpleString()
-    return live.groupBy("key").applyInPandas(fold, f"key {kind}, seq long, state string")
-
-
-def settled(effs: list[int]) -> tuple[set[int], set[int]]:
-    """Positions of shadowed and of late entries among effective dates listed newest stored first."""
-    late: set[int] = set()
+    rows = dated.where("not deleted").select("key", "seq", "eff", F.lit(False).alias("late"))
+    after = Window.partitionBy("key", "eff").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        held, shadowed = set(), set()
-        for i, t in enumerate(effs):
-            if t in held:
-                shadowed.add(i)
-            if i not in late:
-                held.add(t)
-        top, found = None, set()
-        for i in range(len(effs) - 1, -1, -1):
-            if i in shadowed:
-                continue
-            if top is not None and effs[i] < top:
-                found.add(i)
-            else:
-                top = effs[i]
-        if len(found) == len(late):
-            return shadowed, found
-        late = found
+        seen = rows.repartition("key").withColumn("shadowed", F.coalesce(F.max((~F.col("late")).cast("int")).over(after) == 1, F.lit(False)))
+        top = F.max(F.when(~F.col("shadowed"), F.col("eff"))).over(before)
+        found = seen.withColumn("now", ~F.col("shadowed") & F.coalesce(F.col("eff") < top, F.lit(False)))
+        found = saved(found, "not-states")
+        if found.where("now <> late").isEmpty():
+            break
+        rows = found.select("key", "seq", "eff", F.col("now").alias("late"))
+    return found.where("shadowed or late").select("key", "seq", F.when(F.col("shadowed"), "shadowed").otherwise("late").alias("state"))
 
 
 def written_behind(dated: DataFrame) -> DataFrame:
@@ -153,57 +134,87 @@ def entries_at(spans: DataFrame, at: str) -> DataFrame:
     return spans.where((F.col("from_at") <= t) & (F.col("to_at").isNull() | (F.col("to_at") > t)))
 
 
+FAR = "9999-12-31 00:00:00"
+
+
+def _far() -> Column:
+    return F.lit(FAR).cast(NTZ)
+
+
+def _free(taken: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """(keys, low, high, f, t): what spans [f, t) leave free of [low, high); keys name one such range each.
+
+    taken has a row for each span that meets its range, clipped or not, and one with f = t = high for each range. The
+    gaps lie between the running ends of the spans.
+    """
+    w = Window.partitionBy(*keys).orderBy("f", "t").rowsBetween(Window.unboundedPreceding, -1)
+    rows = taken.withColumn("_start", F.greatest(F.coalesce(F.max("t").over(w), F.col(low)), F.col(low))).withColumn("_end", F.least("f", high))
+    return rows.where(F.col("_start") < F.col("_end")).select(*keys, F.col("_start").alias("f"), F.col("_end").alias("t"))
+
+
 def cut_out(spans: DataFrame, removals: DataFrame) -> DataFrame:
-    """Lifetimes less one removal [at, until) for each (dir, name, item): what lies before and after it stays."""
-    rows = spans.join(removals, ["dir", "name", "item"], "left")
-    hit = F.col("at").isNotNull() & (F.col("from_at") < F.col("until")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("at")))
-    kind = "array<struct<f:timestamp_ntz,t:timestamp_ntz>>"
-    piece = lambda f, t: F.struct(f.cast(NTZ).alias("f"), t.cast(NTZ).alias("t"))
-    before = F.when(F.col("from_at") < F.col("at"), F.array(piece(F.col("from_at"), F.col("at")))).otherwise(F.expr(f"cast(array() as {kind})"))
-    after = F.when(F.col("to_at").isNull() | (F.col("to_at") > F.col("until")), F.array(piece(F.col("until"), F.col("to_at")))).otherwise(F.expr(f"cast(array() as {kind})"))
-    pieces = F.when(hit, F.concat(before, after)).otherwise(F.array(piece(F.col("from_at"), F.col("to_at"))))
-    return rows.withColumn("_p", F.explode(pieces)).select("dir", "name", "item", F.col("_p.f").alias("from_at"), F.col("_p.t").alias("to_at"))
+    """Lifetimes less removals [at, until), any number for a (dir, name, item): what lies beside them stays."""
+    keys = ["dir", "name", "item", "from_at", "high"]
+    rows = spans.select("dir", "name", "item", "from_at", F.coalesce("to_at", _far()).alias("high"))
+    cuts = removals.where("at < until").select("dir", "name", "item", F.col("at").alias("f"), F.col("until").alias("t"))
+    met = rows.join(cuts, ["dir", "name", "item"]).where((F.col("f") < F.col("high")) & (F.col("from_at") < F.col("t")))
+    ends = rows.withColumn("f", F.col("high")).withColumn("t", F.col("high"))
+    left = _free(met.unionByName(ends), keys, "from_at", "high")
+    return left.select("dir", "name", "item", F.col("f").alias("from_at"), F.when(F.col("t") < _far(), F.col("t")).alias("to_at"))
 
 
 def fill_in(spans: DataFrame, additions: DataFrame) -> DataFrame:
-    """Lifetimes with one addition (dir, name, item, at, until) for each name filled in where none covers the span.
+    """Lifetimes with additions (dir, name, item, at, until), any number for a name, where no lifetime covers them.
 
-    An occupant keeps its place; adding again what is there adds nothing. The gaps lie between the running ends of the
-    name's lifetimes, clipped to [at, until).
+    An occupant keeps its place; adding again what is there adds nothing. Additions come in the order of (at, seq), seq
+    being a column of theirs or else the item; the first takes what is free, so each gets what lies past the ends of all
+    before it. Then the lifetimes' parts go. One that doesn't end after it begins is none.
+    """
+    order = F.col("seq") if "seq" in additions.columns else F.col("item")
+    w = Window.partitionBy("dir", "name").orderBy("at", order).rowsBetween(Window.unboundedPreceding, -1)
+    own = additions.where("at < until").withColumn("low", F.greatest("at", F.coalesce(F.max("until").over(w), F.col("at"))))
+    own = own.where("low < until").select("dir", "name", F.col("item").alias("new_item"), "low", F.col("until").alias("high"))
+    met = spans.select("dir", "name", F.col("from_at").alias("f"), F.coalesce("to_at", _far()).alias("t")).join(own, ["dir", "name"])
+    met = met.where((F.col("f") < F.col("high")) & (F.col("low") < F.col("t")))
+    ends = own.withColumn("f", F.col("high")).withColumn("t", F.col("high"))
+    added = _free(met.unionByName(ends), ["dir", "name", "new_item", "low", "high"], "low", "high")
+    return spans.select("dir", "name", "item", "from_at", "to_at").unionAll(added.select("dir", "name", F.col("new_item").alias("item"), F.col("f").alias("from_at"), F.col("t").alias("to_at")))
+
+
+def settle(spans: DataFrame, changes: DataFrame) -> DataFrame:
+    """Lifetimes after late changes (dir, name, item, at, until, add, seq) of any kinds, in the order of (at, seq).
+
+    Where a name has additions and removals both, each acts on what those before it left, so the name's changes are
+    numbered and played in rounds, the n-th of every name together. Names with changes of one kind take one round.
     """
-    far = F.lit("9999-12-31 00:00:00").cast(NTZ)
-    own = additions.select("dir", "name", F.col("item").alias("new_item"), "at", "until")
-    inside = spans.join(own, ["dir", "name"]).where((F.col("from_at") < F.col("until")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("at"))))
-    marks = inside.select("dir", "name", "new_item", "at", "until", F.greatest("from_at", "at").alias("f"), F.least(F.coalesce("to_at", far), F.col("until")).alias("t"))
-    marks = marks.unionAll(own.select("dir", "name", "new_item", "at", "until", F.col("until").alias("f"), F.col("until").alias("t")))
-    w = Window.partitionBy("dir", "name").orderBy("f", "t").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = marks.withColumn("_start", F.coalesce(F.max("t").over(w), F.col("at"))).where(F.col("_start") < F.col("f"))
-    added = gaps.select("dir", "name", F.col("new_item").alias("item"), F.col("_start").alias("from_at"), F.col("f").alias("to_at"))
-    return spans.select("dir", "name", "item", "from_at", "to_at").unionAll(added)
+    mixed = changes.groupBy("dir", "name").agg((F.count_distinct("add") > 1).alias("mixed"))
+    w = Window.partitionBy("dir", "name").orderBy("at", "seq")
+    numbered = changes.join(mixed, ["dir", "name"]).withColumn("round", F.when(F.col("mixed"), F.row_number().over(w)).otherwise(1))
+    numbered = saved(numbered, "settle")
+    last = numbered.agg(F.max("round")).first()[0] or 0
+    now = spans.select("dir", "name", "item", "from_at", "to_at")
+    for n in range(1, last + 1):
+        some = numbered.where(F.col("round") == n)
+        now = saved(fill_in(cut_out(now, some.where("not add")), some.where("add")), "settle")
+    return now
 
 
 def folder_states(spans: DataFrame) -> DataFrame:
-    """(dir, at, entries, digest): a state at each moment when a folder's entries change.
+    """(dir, at, n, total): a state at each moment when a folder's entries change.
 
-    Lifetimes become +1 and -1 marks; the entries of a state are those that began and haven't ended. The set is folded
-    along the marks in order inside each folder's own sorted array, so a folder is the unit of work.
+    Lifetimes become marks, +1 and -1, summed up by moment first; a state is their running sum: how many entries there
+    are, and the sum of the entries' numbers, the same for any order of them. States like the one before are none. No
+    folder is gathered: its marks pass one by one.
     """
-    mark = lambda t, d: F.struct(F.col(t).alias("at"), F.lit(d).alias("d"), F.concat_ws("\u0000", "name", "item").alias("e"))
-    marks = spans.select("dir", F.explode(F.filter(F.array(mark("from_at", 1), mark("to_at", 0)), lambda m: m["at"].isNotNull())).alias("m"))
-    by_time = marks.groupBy("dir", F.col("m.at").alias("at")).agg(F.collect_list(F.struct("m.d", "m.e")).alias("ms"))
-    steps = by_time.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("at", "ms"))).alias("steps"))
-    kind = "struct<now:array<string>,out:array<struct<at:timestamp_ntz,n:int,digest:string>>>"
-
-    def step(acc, s):
-        names = lambda d: F.transform(F.filter(s["ms"], lambda m: m["d"] == d), lambda m: m["e"])
-        now = F.array_sort(F.concat(F.array_except(acc["now"], names(0)), names(1)))
-        state = F.struct(s["at"].alias("at"), F.size(now).alias("n"), F.substring(F.sha2(F.array_join(now, "\n"), 256), 1, 32).alias("digest"))
-        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(state)).alias("out"))
-
-    zero = F.expr("struct(cast(array() as array<string>) as now, cast(array() as array<struct<at:timestamp_ntz,n:int,digest:string>>) as out)").cast(kind)
-    states = steps.select("dir", F.explode(F.aggregate("steps", zero, step, lambda acc: acc["out"])).alias("s")).select("dir", "s.*")
+    mark = lambda t, d: F.struct(F.col(t).alias("at"), F.lit(d).alias("d"))
+    number = line_number(F.concat_ws("/", F.col("name").cast("string"), F.col("item").cast("string")))
+    marks = spans.select("dir", number.alias("x"), F.explode(F.filter(F.array(mark("from_at", 1), mark("to_at", -1)), lambda m: m["at"].isNotNull())).alias("m"))
+    steps = marks.groupBy("dir", F.col("m.at").alias("at")).agg(F.sum("m.d").alias("d"), F.sum(F.col("m.d") * F.col("x")).cast("decimal(38,0)").alias("x"))
     w = Window.partitionBy("dir").orderBy("at")
-    return states.withColumn("_was", F.lag("digest").over(w)).where("_was is null or _was <> digest").drop("_was")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    states = steps.select("dir", "at", F.sum("d").over(so_far).alias("n"), F.sum("x").over(so_far).cast("decimal(38,0)").cast("string").alias("total"))
+    was = F.lag(F.struct("n", "total")).over(w)
+    return states.withColumn("_was", was).where(~F.col("_was").eqNullSafe(F.struct("n", "total"))).drop("_was")
 
 
 def settle_proof(before: DataFrame, after: DataFrame, additions: DataFrame) -> DataFrame:

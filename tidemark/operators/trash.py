@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import trash_key
 
+from .dedupe import ranked
 from .tree import under
 
 
@@ -32,17 +33,31 @@ def page(trash: DataFrame, live_items: DataFrame, after: str, limit: int) -> Dat
 
 
 def undo_roots(trash: DataFrame, pass_: str) -> DataFrame:
-    """Entries that undoing a pass restores: those that started a batch, or are in none."""
-    return trash.where((F.col("pass") == pass_) & (F.col("batch").isNull() | (F.col("batch") == F.concat(F.lit("b"), F.substring("entry_id", 2, 20)))))
+    """(entry_id, item, pos): the entries that undoing a pass restores, oldest first: roots of a batch, named by them, or in none.
+
+    What else is in a batch comes back with its root.
+    """
+    roots = trash.where((F.col("pass") == pass_) & (F.col("batch").isNull() | (F.col("batch") == F.col("entry_id"))))
+    return ranked(roots, [F.asc("deleted_at"), F.asc("entry_id")], "pos").select("entry_id", "item", "pos")
+
+
+def undone(trash: DataFrame, pass_: str, taken: DataFrame) -> DataFrame:
+    """(entry_id, item, path, outcome) of undoing a pass: its roots and all of their batches, each to its place as restored()."""
+    roots = undo_roots(trash, pass_).select(F.col("entry_id").alias("root"))
+    rows = trash.join(roots, F.coalesce("batch", "entry_id") == F.col("root"), "left_semi")
+    return _placed(rows, taken).select("entry_id", "item", "path", "outcome")
+
+
+def _placed(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows with the outcome of putting each to its path: taken, older if another row has that path and is newer, or restored."""
+    first = rows.groupBy("path").agg(F.max(F.struct("deleted_at", "entry_id")).alias("m")).select("path", F.col("m.entry_id").alias("winner"))
+    both = rows.join(first, "path").join(taken.select(F.col("path"), F.lit(True).alias("taken")).distinct(), "path", "left")
+    return both.withColumn("outcome", F.when(F.col("taken"), "taken").when(F.col("entry_id") != F.col("winner"), "older").otherwise("restored"))
 
 
 def restored(trash: DataFrame, batch: str, taken: DataFrame) -> DataFrame:
     """(item, path, outcome) of restoring a batch: to its place, unless the path is taken; the newest of equal paths wins."""
-    rows = trash.where(F.col("batch") == batch)
-    first = rows.groupBy("path").agg(F.max(F.struct("deleted_at", "entry_id")).alias("m")).select("path", F.col("m.entry_id").alias("winner"))
-    both = rows.join(first, "path").join(taken.select(F.col("path"), F.lit(True).alias("taken")), "path", "left")
-    outcome = F.when(F.col("taken"), "taken").when(F.col("entry_id") != F.col("winner"), "older").otherwise("restored")
-    return both.select("item", "path", outcome.alias("outcome"))
+    return _placed(trash.where(F.col("batch") == batch), taken).select("item", "path", "outcome")
 
 
 def by_origin(wanted: DataFrame, origins: DataFrame, trash: DataFrame) -> DataFrame:

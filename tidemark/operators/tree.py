@@ -12,21 +12,24 @@ from .shared import saved
 VISIBLE = ("file", "dir", "symlink")
 
 
-def walk(entries: DataFrame, root: str = "", depth: int = 0, most: int = 200) -> DataFrame:
+def walk(entries: DataFrame, root: str = "", depth: int = 0) -> DataFrame:
     """(parent, id, name, type, path, depth) of all below root; depth 0 means all of it, else that many levels.
 
     Goes level by level: each is one join of the last level's directories with the entries. The levels are written to
-    the shared folder, so a deep tree neither grows the plan nor is computed twice.
+    the shared folder, so a deep tree neither grows the plan nor is computed twice. A directory that lies below itself
+    raises an error.
     """
-    below = entries.where(F.col("parent") == root).select("parent", "id", "name", "type", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth"))
+    columns = ["parent", "id", "name", "type", "path", "depth"]
+    below = entries.where(F.col("parent") == root).select("parent", "id", "name", "type", F.concat(F.lit("/"), "name").alias("path"), F.lit(1).alias("depth"), F.array("id").alias("above"))
     levels = [saved(below, "walk")]
-    for level in range(2, (depth or most) + 1):
-        dirs = levels[-1].where("type = 'dir'").select(F.col("id").alias("_dir"), F.col("path").alias("_path"))
+    while not depth or len(levels) < depth:
+        dirs = levels[-1].where("type = 'dir'").select(F.col("id").alias("_dir"), F.col("path").alias("_path"), F.col("above").alias("_above"))
         if dirs.isEmpty():
             break
-        below = entries.join(dirs, F.col("parent") == F.col("_dir")).select("parent", "id", "name", "type", F.concat("_path", F.lit("/"), "name").alias("path"), F.lit(level).alias("depth"))
+        once = F.when(F.array_contains("_above", F.col("id")), F.raise_error(F.concat(F.lit("a directory lies below itself: "), "id"))).otherwise(F.col("id"))
+        below = entries.join(dirs, F.col("parent") == F.col("_dir")).select("parent", once.alias("id"), "name", "type", F.concat("_path", F.lit("/"), "name").alias("path"), F.lit(len(levels) + 1).alias("depth"), F.when(F.col("type") == "dir", F.concat("_above", F.array("id"))).alias("above"))
         levels.append(saved(below, "walk"))
-    return reduce(DataFrame.unionAll, levels)
+    return reduce(DataFrame.unionAll, [level.select(*columns) for level in levels])
 
 
 def page(items: DataFrame, after: str | None, limit: int, *order: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ranges as G
 from tidemark.operators import trash as X
 from tidemark.operators.temporal import as_of, effective, newest
-from tidemark.sources.adapters import E_SQL, EFF_SQL, K_SQL, T_SQL, V_SQL, dates, entries, locks, table, trash, versions
+from tidemark.sources.adapters import E_SQL, EFF_SQL, K_SQL, T_SQL, V_SQL, W_SQL, claims, dates, entries, locks, table, trash, versions
 
 from .catalog import Catalog
 from .q_tree import WALK_SQL, walked
@@ -54,15 +54,26 @@ def o04(spark, sf):
     return X.page(trash(spark, sf), live_items(spark, sf), "", 25)
 
 
-@query("m14_trash_undo_roots", f"SELECT entry_id, item FROM ({T_SQL}) WHERE pass = 'p1' AND (batch IS NULL OR batch = 'b' || substr(entry_id, 2))")
+_ROOTS = f"SELECT entry_id, item, row_number() OVER (ORDER BY deleted_at, entry_id) AS pos FROM ({T_SQL}) WHERE pass = 'p1' AND (batch IS NULL OR batch = entry_id)"
+
+
+@query("m14_trash_undo_roots", _ROOTS)
 def m14(spark, sf):
-    return X.undo_roots(trash(spark, sf), "p1").select("entry_id", "item")
+    return X.undo_roots(trash(spark, sf), "p1")
+
+
+@query("m14_undo_pass", f"""WITH r AS (SELECT * FROM ({T_SQL}) WHERE coalesce(batch, entry_id) IN (SELECT entry_id FROM ({_ROOTS})))
+SELECT entry_id, item, path, CASE WHEN CAST(substr(item, 2) AS BIGINT) % 5 = 0 THEN 'taken' WHEN row_number() OVER (PARTITION BY path ORDER BY deleted_at DESC, entry_id DESC) > 1 THEN 'older' ELSE 'restored' END AS outcome FROM r""")
+def m14_undo(spark, sf):
+    """A pass undone: the roots with all of their batches, whichever pass removed those."""
+    t = trash(spark, sf)
+    return X.undone(t, "p1", t.where(F.substring("item", 2, 20).cast("long") % 5 == 0).select("path"))
 
 
-@query("m05_restore_batch", f"SELECT item, path, CASE WHEN CAST(substr(item, 2) AS BIGINT) % 2 = 0 THEN 'taken' ELSE 'restored' END AS outcome FROM ({T_SQL}) WHERE batch = 'b11'")
+@query("m05_restore_batch", f"SELECT item, path, CASE WHEN CAST(substr(item, 2) AS BIGINT) % 2 = 0 THEN 'taken' ELSE 'restored' END AS outcome FROM ({T_SQL}) WHERE batch = 'e16'")
 def m05(spark, sf):
     t = trash(spark, sf)
-    return X.restored(t, "b11", t.where(F.substring("item", 2, 20).cast("long") % 2 == 0).select("path"))
+    return X.restored(t, "e16", t.where(F.substring("item", 2, 20).cast("long") % 2 == 0).select("path"))
 
 
 _ORIGINS = "SELECT 'd' || (l_partkey % 3) AS drive, l_partkey AS id, 'i' || l_orderkey AS item, l_linenumber > 3 AS alias, l_returnflag <> 'R' AS live FROM lineitem WHERE l_linenumber <= 5"
@@ -223,32 +234,18 @@ def a09(spark, sf):
 # Locks and ranges.
 
 
-@query("j16_lock_conflicts", f"""WITH k AS (SELECT * FROM ({K_SQL}) WHERE expires_at_ms > {NOW_MS} AND NOT escalation_only)
+@query("j16_lock_conflicts", f"""WITH k AS (SELECT * FROM ({W_SQL}) WHERE expires_at_ms > {NOW_MS} AND NOT escalation_only)
 SELECT a.file, a.id AS a, b.id AS b FROM k a JOIN k b ON a.file = b.file AND a.id < b.id AND a.start < b."end" AND b.start < a."end" AND a.holder <> b.holder AND NOT (a.shared AND b.shared)""")
 def j16(spark, sf):
-    return G.conflicts(dense_locks(spark, sf), NOW_MS)
-
-
-def dense_locks(spark, sf):
-    return locks(spark, sf)
-
+    return G.conflicts(claims(spark, sf), NOW_MS)
 
-def writes(spark, sf):
-    return locks(spark, sf).where("id % 5 = 0").select("file", "id", "holder", "start", "end")
 
-
-@query("j17_write_conflicts", f"""WITH w AS (SELECT * FROM ({K_SQL}) WHERE id % 5 = 0) SELECT file, id FROM w WHERE EXISTS (SELECT 1 FROM ({K_SQL}) c
+@query("j17_write_conflicts", f"""SELECT file, id FROM ({W_SQL}) w WHERE EXISTS (SELECT 1 FROM ({W_SQL}) c
 WHERE c.file = w.file AND c.holder <> w.holder AND NOT c.escalation_only AND c.expires_at_ms > {NOW_MS} AND c.start < w."end" AND w.start < c."end")""")
 def j17(spark, sf):
-    return G.blocked_writes(writes(spark, sf), locks(spark, sf), NOW_MS)
-
-
-@query("j17_write_conflicts_whole", f"""SELECT file, id FROM ({K_SQL}) w WHERE EXISTS (SELECT 1 FROM ({K_SQL}) c
-WHERE c.file = w.file AND c.holder <> w.holder AND NOT c.escalation_only AND c.expires_at_ms > {NOW_MS} AND c.start < w."end" AND w.start < c."end")""")
-def j17_whole(spark, sf):
-    """j17_write_conflicts() with every claim as a write."""
-    claims = locks(spark, sf)
-    return G.blocked_writes(claims.select("file", "id", "holder", "start", "end"), claims, NOW_MS)
+    """Every claim as a write; a holder's own claims don't stop it."""
+    k = claims(spark, sf)
+    return G.blocked_writes(k.select("file", "id", "holder", "start", "end"), k, NOW_MS)
 
 
 @query("p11_lock_expiry", f"SELECT id FROM ({K_SQL}) WHERE {NOW_MS} >= expires_at_ms")
@@ -292,16 +289,32 @@ def u05(spark, sf):
     return G.span(pieces(spark, sf))
 
 
-@query("u06_fcntl_merge")
+def merged_sql(files: int, width: int, length: int, where: str = "true", top: int = 3000) -> str:
+    """What each holder has after all its claims in order, from single bytes: a byte is of the kind of its last claim.
+
+    Two neighbouring bytes are of one claim if one covers both and no later one of the other kind begins or ends between
+    them. A whole-file claim goes to ``top``, past all others.
+    """
+    return f"""WITH k AS (SELECT id % {files} AS file, holder, id, start % {width} AS s, CASE WHEN "end" = 9223372036854775807 THEN {top} ELSE start % {width} + {length} END AS e, shared FROM ({W_SQL}) WHERE {where}),
+b AS (SELECT file, holder, id, shared, s, unnest(range(s, e)) AS x FROM k), t AS (SELECT file, holder, x, arg_max(shared, id) AS shared FROM b GROUP BY ALL),
+j AS (SELECT file, holder, x, max(id) AS id, arg_max(shared, id) AS shared FROM b WHERE x > s GROUP BY ALL),
+o AS (SELECT file, holder, x FROM j WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.file = j.file AND k.holder = j.holder AND k.id > j.id AND k.shared <> j.shared AND (k.s = j.x OR k.e = j.x))),
+r AS (SELECT t.*, sum(CASE WHEN o.x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY t.file, t.holder ORDER BY t.x) AS run FROM t LEFT JOIN o ON o.file = t.file AND o.holder = t.holder AND o.x = t.x)
+SELECT file, holder, min(x) AS start, CASE WHEN max(x) + 1 = {top} THEN -9223372036854775808 ELSE max(x) + 1 END AS "end", any_value(shared) AS shared FROM r GROUP BY file, holder, run"""
+
+
+@query("u06_fcntl_merge", merged_sql(20, 900, 60))
 def u06(spark, sf):
-    return G.merged_claims(locks(spark, sf).withColumn("file", F.col("id") % 20).withColumn("start", F.col("start") % 900).withColumn("end", F.col("start") % 900 + 60))
+    k = claims(spark, sf).withColumn("file", F.col("id") % 20).withColumn("start", F.col("start") % 900)
+    return G.merged_claims(k.withColumn("end", F.when(F.col("end") < 0, F.col("end")).otherwise(F.col("start") + 60)))
 
 
-@query("u07_range_unlock", f"""WITH k AS (SELECT *, holder % 2 = 0 AND NOT escalation_only AND start < 25000 AND 8000 < "end" AS hit FROM ({K_SQL}) WHERE expires_at_ms > {NOW_MS})
-SELECT file, id, holder, start, "end" FROM k WHERE NOT hit UNION ALL SELECT file, id, holder, start, 8000 FROM k WHERE hit AND start < 8000 UNION ALL SELECT file, id, holder, 25000, "end" FROM k WHERE hit AND "end" > 25000""")
+@query("u07_range_unlock", f"""WITH k AS (SELECT *, holder % 2 = 0 AND NOT escalation_only AND start < 25000 AND 8000 < "end" AS hit FROM ({W_SQL}) WHERE expires_at_ms > {NOW_MS}),
+p AS (SELECT file, id, holder, start, "end" FROM k WHERE NOT hit UNION ALL SELECT file, id, holder, start, 8000 FROM k WHERE hit AND start < 8000 UNION ALL SELECT file, id, holder, 25000, "end" FROM k WHERE hit AND "end" > 25000)
+SELECT file, id, holder, start, CASE WHEN "end" = 9223372036854775807 THEN -9223372036854775808 ELSE "end" END AS "end" FROM p""")
 def u07(spark, sf):
-    k = locks(spark, sf)
-    release = k.where("holder % 2 = 0").select("file", "holder").distinct().withColumn("r_start", F.lit(8000)).withColumn("r_end", F.lit(25000))
+    k = claims(spark, sf)
+    release = k.where("holder % 2 = 0").select("file", "holder").distinct().withColumn("r_start", F.lit(8000)).withColumn("r_end", F.lit(25000).cast("long"))
     return G.unlocked(k, release, NOW_MS)
 
 

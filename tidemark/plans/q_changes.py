@@ -11,10 +11,10 @@ from tidemark.operators import ranges as G
 from tidemark.operators import temporal as T
 from tidemark.operators import tree
 from tidemark.sources import records
-from tidemark.sources.adapters import C_SQL, E_SQL, EFF_SQL, K_SQL, V_SQL, contents, dates, entries, locks, table, trash, versions
+from tidemark.sources.adapters import C_SQL, E_SQL, EFF_SQL, K_SQL, V_SQL, claims, contents, dates, entries, locks, table, trash, versions
 from tidemark.streaming import feed
 
-from . import q_temporal
+from . import q_catalog, q_temporal
 from .catalog import Catalog
 from .q_tree import WALK_SQL, walked
 
@@ -77,8 +77,9 @@ def l04(spark, sf):
 
 @query("l07_change_feed_coalesced", "SELECT DISTINCT user_id AS key FROM events")
 def l07(spark, sf):
+    """The tables are one burst: one wake-up for each key."""
     stream = feed.read(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("key"))
-    return feed.drained(feed.coalesced(stream), "coalesced")
+    return feed.coalesced(stream, "coalesced").select("key")
 
 
 @query("l06_change_events", "SELECT event_id, user_id AS id, '/' || user_id || '/' || event_type AS path FROM events WHERE event_type <> 'error'")
@@ -87,9 +88,47 @@ def l06(spark, sf):
     return feed.drained(e.select("event_id", F.col("user_id").alias("id"), F.concat(F.lit("/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path")), "changes")
 
 
-@query("l08_debounced_marks", "SELECT user_id % 5 AS key, date_trunc('second', ts) AS second, max(ts) AS last FROM events GROUP BY 1, 2")
+@query("l08_debounced_marks", """WITH RECURSIVE m AS (SELECT user_id AS key, epoch_us(ts) // 36000 AS t FROM events), s(key, sent) AS (SELECT key, min(t) FROM m GROUP BY key
+UNION ALL SELECT key, greatest(sent + 1000000, next) FROM (SELECT s.key, s.sent, (SELECT min(m.t) FROM m WHERE m.key = s.key AND m.t > s.sent) AS next FROM s) WHERE next IS NOT NULL) SELECT key, sent FROM s""")
 def l08(spark, sf):
-    return feed.debounced(table(spark, sf, "events").select((F.col("user_id") % 5).alias("key"), "ts"))
+    """Marks of keys, ten hours of the events taken as a second: a mark is sent at once, then at most one a second."""
+    e = feed.read(spark, f"{sf}/events.parquet")
+    marks = e.select(F.col("user_id").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 36000).alias("at"))
+    return feed.drained(feed.debounced(marks), "debounced")
+
+
+@query("l01_signal_source", "SELECT 'drive/' || user_id || '/' || event_id AS key FROM events WHERE user_id % 10 = 3")
+def l01(spark, sf):
+    """Signals of a source: a stream of keys below a prefix, out of a landed log of changes."""
+    return feed.drained(feed.source(_log(spark, sf), "drive/", F.col("user") % 10 == 3), "signals")
+
+
+def _log(spark, sf):
+    e = feed.read(spark, f"{sf}/events.parquet")
+    return e.select(F.concat_ws("/", F.lit("drive"), F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("kind"), F.col("user_id").alias("user"), F.col("event_id").alias("cursor"))
+
+
+@query("l02_fan_out", """SELECT reader, count(*) AS got FROM (SELECT 'drive/' || user_id AS key, event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE user_id % 2 = 0), (VALUES ('all', 9223372036854775807), ('slow', 32)) r(reader, most) WHERE n <= most GROUP BY reader""")
+def l02(spark, sf):
+    """One source for several readers: one that keeps up, and one whose buffer of 32 holds the first of a burst."""
+    keys = _log(spark, sf).where("user % 2 = 0").select("key", "cursor")
+    return feed.fanned_out(keys, {"all": None, "slow": 32}, "fan-out").groupBy("reader").agg(F.count("*").alias("got"))
+
+
+@query("l03_bucket_notifications", "SELECT 'drive/' || user_id || '/' || event_id AS key FROM events WHERE event_type IN ('click', 'error') AND starts_with('drive/' || user_id || '/' || event_id, 'drive/1')")
+def l03(spark, sf):
+    """Notifications of a bucket: those of the kinds subscribed to, below a prefix, filtered where they are read."""
+    return feed.drained(feed.source(_log(spark, sf), "drive/1", F.col("kind").isin("click", "error")), "notices")
+
+
+@query("l05_change_feed_cursor", "SELECT 'drive/' || user_id || '/' || event_id AS key, event_id > (SELECT max(event_id) // 2 FROM events) AS second FROM events")
+def l05(spark, sf):
+    """A change feed read from a stored cursor: two runs, each from where the last one stopped; none is lost or read twice."""
+    top = table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
+    log = table(spark, sf, "events").select(F.concat_ws("/", F.lit("drive"), F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("key"), F.col("event_id").alias("cursor"))
+    state = feed.Cursor(spark, "feed")
+    runs = [feed.since(log.where(F.col("cursor") <= upto), state) for upto in (top // 2, top)]
+    return runs[0].select("key", F.lit(False).alias("second")).unionAll(runs[1].select("key", F.lit(True).alias("second")))
 
 
 @query("l09_past_change_check", f"SELECT key, max(seq) AS mark, max(seq) <> max(CASE WHEN last_modified <= TIMESTAMP '2024-01-20 00:00:00' THEN seq END) AS moved FROM ({V_SQL}) GROUP BY key")
@@ -125,15 +164,10 @@ def l12(spark, sf):
     return feed.refused(all_, l11(spark, sf))[0].groupBy("folder").agg(F.count("*").alias("accepted"))
 
 
-@query("l13_late_settle", f"""SELECT folder, count(*) AS batches, CAST(sum(n) AS BIGINT) AS changes FROM (SELECT folder, (rn - 1) // 16 AS batch, count(*) AS n FROM (
-SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY "at", seq) AS rn FROM ({_LATE})) GROUP BY 1, 2) GROUP BY folder""")
+@query("l13_late_settle", q_temporal.SETTLED_SQL)
 def l13(spark, sf):
-    """Late changes in the order of their dates, then arrival, dealt into batches of a bounded size for a settle."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("folder").orderBy("at", "seq")
-    b = l11(spark, sf).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 16)).groupBy("folder", "batch").agg(F.count("*").alias("n"))
-    return b.groupBy("folder").agg(F.count("*").alias("batches"), F.sum("n").alias("changes"))
+    """The late changes applied to the past states they belong to: all at once, which equals any batches in their order."""
+    return q_temporal.settled(spark, sf)
 
 
 @query("l14_leftover_dating", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts WHEN event_id % 3 = 1 THEN date_trunc('hour', ts) END AS \"at\", event_id % 3 = 2 AS undatable FROM events")
@@ -162,7 +196,13 @@ def l16(spark, sf):
     return spark.read.parquet(f"{out}/pass=*").groupBy("kind").agg(F.sum("n").alias("n"))
 
 
-@query("m01_conditional_writes")
+_LOG_SQL = "SELECT user_id AS key, event_id AS seq, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'v' || (event_id % 5) ELSE '' END AS expect, 'v' || (event_id % 4) AS version FROM events"
+
+
+@query("m01_conditional_writes", f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ({_LOG_SQL})), s(key, seq, n, cur, accepted) AS (
+SELECT key, seq, n, CASE WHEN coalesce(expect, '') = '' THEN version ELSE '' END, coalesce(expect, '') = '' FROM o WHERE n = 1
+UNION ALL SELECT o.key, o.seq, o.n, CASE WHEN o.expect IS NULL OR o.expect = s.cur THEN o.version ELSE s.cur END, o.expect IS NULL OR o.expect = s.cur FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
+SELECT key, seq, accepted FROM s""")
 def m01(spark, sf):
     e = table(spark, sf, "events")
     log = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 3 == 1, F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).otherwise("").alias("expect"), F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("version"))
@@ -237,10 +277,11 @@ def m16(spark, sf):
     return last.where("event_type <> 'error'").groupBy("item").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"))
 
 
-@query("m17_range_locks")
+@query("m17_range_locks", q_catalog.merged_sql(50, 700, 90, "NOT escalation_only"))
 def m17(spark, sf):
-    k = locks(spark, sf).where("not escalation_only")
-    return G.merged_claims(k.withColumn("file", F.col("id") % 50).withColumn("end", F.col("start") % 700 + 90).withColumn("start", F.col("start") % 700))
+    k = claims(spark, sf).where("not escalation_only")
+    end = F.when(F.col("end") < 0, F.col("end")).otherwise(F.col("start") % 700 + 90)
+    return G.merged_claims(k.withColumn("file", F.col("id") % 50).withColumn("end", end).withColumn("start", F.col("start") % 700))
 
 
 @query("m17_lock_ranges_held", f'SELECT file, holder, CAST(sum("end" - start) AS BIGINT) AS bytes, count(*) AS claims FROM ({K_SQL}) GROUP BY 1, 2')
@@ -265,24 +306,18 @@ def m22(spark, sf):
     return T.newest(T.effective(versions(spark, sf), dates(spark, sf)), ["key"], [F.col("eff"), F.col("seq")], ["key", "seq"])
 
 
-_MARKS = f"""WITH l AS ({q_temporal.ORACLE['w08_lifetimes']}), n AS ({q_temporal.ORACLE['w11_late_add']}),
-m AS (SELECT dir, from_at AS t FROM l UNION SELECT dir, to_at FROM l WHERE to_at IS NOT NULL UNION SELECT dir, from_at FROM n UNION SELECT dir, to_at FROM n WHERE to_at IS NOT NULL
-UNION SELECT dir, TIMESTAMP '2024-01-08 00:00:00' FROM l WHERE dir % 3 = 0 UNION SELECT dir, TIMESTAMP '2024-01-16 00:00:00' FROM l WHERE dir % 3 = 0)"""
-
-
-@query("w15_settle_proof", f"{_MARKS} SELECT dir AS folder, count(*) AS states, true AS holds FROM m GROUP BY dir")
+@query("w15_settle_proof", f"""SELECT dir AS folder, count(DISTINCT t) AS states, true AS holds FROM (SELECT dir, unnest([from_at, to_at]) AS t FROM ({q_temporal.SETTLED_SQL}) UNION ALL
+SELECT dir, unnest([from_at, to_at]) FROM ({q_temporal.ORACLE['w08_lifetimes']}) UNION ALL SELECT dir, unnest(["at", until]) FROM ({q_temporal.LATE_SQL})) WHERE t IS NOT NULL GROUP BY dir""")
 def w15(spark, sf):
-    """The late additions of w11 proved: each state of each folder rebuilt from the one before and the changes replayed."""
-    before = q_temporal.QUERIES["w08_lifetimes"](spark, sf)
-    late = before.where("dir % 3 = 0").select("dir", "name").distinct()
-    late = late.select("dir", "name", F.lit("late").alias("item"), ts("2024-01-08 00:00:00").alias("at"), ts("2024-01-16 00:00:00").alias("until"), F.lit(1).cast("long").alias("seq"))
+    """The late changes proved: each state of each folder rebuilt from the one before and the changes replayed."""
+    before, late = q_temporal.QUERIES["w08_lifetimes"](spark, sf), q_temporal.late_entries(spark, sf)
     return T.settle_proof(before, T.fill_in(before, late), late).select(F.col("dir").alias("folder"), "states", "holds")
 
 
-@query("w16_settled_states", f"""SELECT key AS folder, count(*) AS states FROM (SELECT DISTINCT key, eff FROM ({EFF_SQL})) GROUP BY key""")
+@query("w16_settled_states", q_temporal.states_sql(q_temporal.SETTLED_SQL))
 def w16(spark, sf):
-    """States after a settle: late changes are played in at their own dates, so every date is a state."""
-    return T.effective(versions(spark, sf), dates(spark, sf)).select("key", "eff").distinct().groupBy(F.col("key").alias("folder")).agg(F.count("*").alias("states"))
+    """A settle as a whole: late changes played in at their own dates, and the states of every folder after it."""
+    return T.folder_states(q_temporal.settled(spark, sf))
 
 
 @query("w21_version_resolution", f"SELECT key, seq, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY eff DESC, seq DESC) AS rn FROM ({EFF_SQL}) WHERE eff <= TIMESTAMP '2024-01-11 00:00:00' - INTERVAL 1 MICROSECOND) WHERE rn = 1 AND NOT deleted")

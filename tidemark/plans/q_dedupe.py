@@ -104,17 +104,21 @@ def j14(spark, sf):
     return c.join(m, "sha256").where("item <> m_item").select("idx", F.col("m_item").alias("item"))
 
 
-@query("a12_state_sum", "SELECT source, substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 32) AS digest FROM (SELECT source, lang || ':' || doc_id AS line FROM documents) GROUP BY source")
+def _sum_sql(line: str) -> str:
+    return f"SELECT source, count(*) AS n, CAST(sum(CAST('0x' || substr(md5({line}), 1, 15) AS BIGINT)) AS VARCHAR) AS total FROM documents GROUP BY source"
+
+
+@query("a12_state_sum", _sum_sql("coalesce(lang, '') || ':' || doc_id"))
 def a12(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.concat_ws(":", "lang", F.col("doc_id").cast("string")).alias("line"))
-    return d.groupBy("source").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256), 1, 32).alias("digest"))
+    d = table(spark, sf, "documents")
+    return D.state_sums(d, ["source"], F.concat_ws(":", F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")))
 
 
-@query("a13_state_fingerprint", "SELECT source, sha256(string_agg(doc_id || '=' || n_chars, ',' ORDER BY n_chars, doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("a13_state_fingerprint", _sum_sql("doc_id || '=' || n_chars"))
 def a13(spark, sf):
-    row = F.struct("n_chars", "doc_id")
-    d = table(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return d.select("source", F.sha2(F.array_join(F.transform("rows", lambda r: F.concat_ws("=", r["doc_id"].cast("string"), r["n_chars"].cast("string"))), ","), 256).alias("fingerprint"))
+    """Blocks by key with their tags: keys are distinct, so the set of pairs stands for any order of them."""
+    d = table(spark, sf, "documents")
+    return D.state_sums(d, ["source"], F.concat_ws("=", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")))
 
 
 @query("m12_dedupe_replace", f"""SELECT d.idx, d.canonical, CASE WHEN c.size < 1 THEN 'small' WHEN c.referrers > 0 THEN 'referrers' WHEN c.item = k.item THEN 'same-item' ELSE 'stub' END AS outcome

@@ -93,14 +93,8 @@ def f03(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", V.as_of_moment(text).alias("moment"))
 
 
-@query("f04_fold_key", "SELECT doc_id, list_reduce(list_prepend('', [lpad(upper(to_hex(unicode(CASE WHEN c = 'ß' THEN c WHEN length(upper(c)) = 1 THEN upper(c) ELSE c END))), 8, '0') FOR c IN string_split(substr(text, 1, 12), '')]), lambda a, b: a || b) AS folded FROM documents")
+@query("f04_fold_key", "SELECT doc_id, CASE WHEN text = '' THEN '' ELSE array_to_string([lpad(upper(to_hex(unicode(CASE WHEN c = 'ß' THEN c WHEN length(upper(c)) = 1 THEN upper(c) ELSE c END))), 8, '0') FOR c IN string_split(text, '')], '') END AS folded FROM documents")
 def f04(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", N.fold_bytes(F.substring("text", 1, 12)).alias("folded"))
-
-
-@query("f04_fold_key_whole", "SELECT doc_id, CASE WHEN text = '' THEN '' ELSE array_to_string([lpad(upper(to_hex(unicode(CASE WHEN c = 'ß' THEN c WHEN length(upper(c)) = 1 THEN upper(c) ELSE c END))), 8, '0') FOR c IN string_split(text, '')], '') END AS folded FROM documents")
-def f04_whole(spark, sf):
-    """f04_fold_key() over whole texts."""
     return table(spark, sf, "documents").select("doc_id", N.fold_bytes(F.col("text")).alias("folded"))
 
 

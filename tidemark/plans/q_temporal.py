@@ -116,7 +116,16 @@ def w05(spark, sf):
     return T.intervals(dated(spark, sf)).select("key", "seq", "eff", "until", "deleted")
 
 
-@query("w06_not_states")
+def _not_states_sql(rounds: int = 12) -> str:
+    """Rounds of the definition, none late at first; twelve are more than these tables need, and a test holds that."""
+    out = [f"r0 AS (SELECT key, seq, eff, false AS late, false AS shadowed FROM ({EFF_SQL}) WHERE NOT deleted)"]
+    for i in range(rounds):
+        out.append(f"""s{i} AS (SELECT * REPLACE (coalesce(bool_or(NOT late) OVER (PARTITION BY key, eff ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS shadowed) FROM r{i}),
+r{i + 1} AS (SELECT * REPLACE (NOT shadowed AND coalesce(eff < max(eff) FILTER (NOT shadowed) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late) FROM s{i})""")
+    return "WITH " + ", ".join(out) + f" SELECT key, seq, CASE WHEN shadowed THEN 'shadowed' ELSE 'late' END AS state FROM r{rounds} WHERE shadowed OR late"
+
+
+@query("w06_not_states", _not_states_sql())
 def w06(spark, sf):
     return T.not_states(dated(spark, sf))
 
@@ -126,7 +135,7 @@ def w10(spark, sf):
     return T.newest(dated(spark, sf).where(F.col("eff") <= F.lit(AT).cast(NTZ)), ["key"], [F.col("eff"), F.col("seq")], ["key", "seq"])
 
 
-@query("w17_written_behind")
+@query("w17_written_behind", f"SELECT DISTINCT key FROM ({_not_states_sql()}) WHERE state = 'late'")
 def w17(spark, sf):
     return T.written_behind(dated(spark, sf))
 
@@ -223,10 +232,15 @@ def w11(spark, sf):
     return T.fill_in(spans, new)
 
 
-@query("w07_folder_states", f"""WITH l AS ({_LIFE_SQL}), t AS (SELECT DISTINCT dir, "at" FROM (SELECT dir, from_at AS "at" FROM l UNION ALL SELECT dir, to_at FROM l WHERE to_at IS NOT NULL)),
-s AS (SELECT t.dir, t."at", CAST(count(l.item) AS INT) AS n, substr(sha256(coalesce(string_agg(CAST(l.name AS VARCHAR) || chr(0) || l.item, chr(10) ORDER BY CAST(l.name AS VARCHAR) || chr(0) || l.item), '')), 1, 32) AS digest
+def states_sql(spans: str) -> str:
+    """States at every change point, each summed up anew from the lifetimes that cover it."""
+    return f"""WITH l AS ({spans}), t AS (SELECT DISTINCT dir, "at" FROM (SELECT dir, from_at AS "at" FROM l UNION ALL SELECT dir, to_at FROM l WHERE to_at IS NOT NULL)),
+s AS (SELECT t.dir, t."at", count(l.item) AS n, CAST(coalesce(sum(CAST('0x' || substr(md5(CAST(l.name AS VARCHAR) || '/' || l.item), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS total
   FROM t LEFT JOIN l ON l.dir = t.dir AND l.from_at <= t.at AND (l.to_at IS NULL OR l.to_at > t.at) GROUP BY t.dir, t.at)
-SELECT dir, "at", n, digest FROM (SELECT *, lag(digest) OVER (PARTITION BY dir ORDER BY "at") AS was FROM s) WHERE was IS NULL OR was <> digest""")
+SELECT dir, "at", n, total FROM (SELECT *, lag(n || ':' || total) OVER (PARTITION BY dir ORDER BY "at") AS was FROM s) WHERE was IS DISTINCT FROM n || ':' || total"""
+
+
+@query("w07_folder_states", states_sql(_LIFE_SQL))
 def w07(spark, sf):
     return T.folder_states(w08(spark, sf))
 
@@ -239,12 +253,34 @@ def w13(spark, sf):
     return d.join(first, "key").select("key", "seq", F.greatest("eff", "first").alias("at")).where(F.col("at") < F.lit(AT).cast(NTZ))
 
 
-_STATES_SQL = ORACLE["w07_folder_states"]
+def late_entries(spark, sf):
+    """Changes dated behind their folder's newest state as additions: (dir, name, item, at, until, seq), until that state; the present ones."""
+    from pyspark.sql import Window
+
+    e = dated(spark, sf).select(F.col("key").alias("dir"), (F.col("seq") % 4).alias("name"), F.col("seq").cast("string").alias("item"), F.col("eff").alias("at"), (~F.col("deleted")).alias("present"), "seq")
+    newest = F.max("at").over(Window.partitionBy("dir").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return e.withColumn("until", newest).where("at < until and present").drop("present")
+
+
+LATE_SQL = f"""SELECT dir, name, item, "at", until, seq FROM (SELECT key AS dir, seq % 4 AS name, CAST(seq AS VARCHAR) AS item, eff AS "at", deleted, seq,
+max(eff) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM ({EFF_SQL})) WHERE "at" < until AND NOT deleted"""
+#: Late additions, segment by segment between all the moments at which anything of a name begins or ends: a free segment goes to the first addition that covers it.
+SETTLED_SQL = f"""WITH l AS ({_LIFE_SQL}), a AS ({LATE_SQL}), c AS (SELECT dir, name, unnest([from_at, to_at]) AS t FROM l UNION SELECT dir, name, unnest(["at", until]) FROM a),
+g AS (SELECT dir, name, t AS f, lead(t) OVER (PARTITION BY dir, name ORDER BY t) AS t FROM (SELECT DISTINCT * FROM c WHERE t IS NOT NULL)),
+w AS (SELECT g.dir, g.name, g.f, g.t, arg_min(a.item, (a."at", a.seq)) AS item FROM g JOIN a ON a.dir = g.dir AND a.name = g.name AND a."at" <= g.f AND a.until >= g.t
+  WHERE g.t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.dir = g.dir AND l.name = g.name AND l.from_at <= g.f AND (l.to_at IS NULL OR l.to_at >= g.t)) GROUP BY ALL),
+n AS (SELECT *, sum(CASE WHEN f = was AND item = before THEN 0 ELSE 1 END) OVER (PARTITION BY dir, name ORDER BY f) AS run FROM (SELECT *, lag(t) OVER o AS was, lag(item) OVER o AS before FROM w WINDOW o AS (PARTITION BY dir, name ORDER BY f)))
+SELECT dir, name, item, from_at, to_at FROM l UNION ALL SELECT dir, name, any_value(item), min(f), max(t) FROM n GROUP BY dir, name, run"""
+
+
+def settled(spark, sf):
+    return T.fill_in(w08(spark, sf), late_entries(spark, sf))
 
 
-@query("w14_settle_states", f"""SELECT dir, count(*) AS states, max("at") AS latest FROM ({_STATES_SQL}) GROUP BY dir""")
+@query("w14_settle_states", f"""SELECT dir, count(*) AS states, max("at") AS latest FROM ({states_sql(SETTLED_SQL)}) GROUP BY dir""")
 def w14(spark, sf):
-    return w07(spark, sf).groupBy("dir").agg(F.count("*").alias("states"), F.max("at").alias("latest"))
+    """States of each folder once its late changes are in their places; one like the state before it is none."""
+    return T.folder_states(settled(spark, sf)).groupBy("dir").agg(F.count("*").alias("states"), F.max("at").alias("latest"))
 
 
 @query("w18_derived_mtime", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' ELSE greatest(ts, date_trunc('day', ts) + to_hours(6)) END AS mtime FROM events""")

@@ -68,18 +68,18 @@ I_SQL = "SELECT 'o' || o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS
 
 
 def trash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletion log from orders: one batch for each customer, entry ids e<orderkey>; the multiples of seven are live again."""
+    """Deletion log from orders, entry ids e<orderkey>; batches of up to eight, named by their root's entry; the multiples of seven are live again."""
     o = table(spark, sf_dir, "orders")
     s = lambda c: F.col(c).cast("string")
     return o.select(
         F.concat(F.lit("e"), s("o_orderkey")).alias("entry_id"), F.concat(F.lit("o"), s("o_orderkey")).alias("item"), F.concat(F.lit("order-"), s("o_orderkey")).alias("name"),
-        F.concat(F.lit("/c"), s("o_custkey"), F.lit("/order-"), s("o_orderkey")).alias("path"), F.col("o_orderdate").alias("deleted_at"), F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("b"), s("o_custkey"))).alias("batch"),
+        F.concat(F.lit("/c"), s("o_custkey"), F.lit("/order-"), s("o_orderkey")).alias("path"), F.col("o_orderdate").alias("deleted_at"), F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit("e"), (F.col("o_orderkey") - F.col("o_orderkey") % 8).cast("string"))).alias("batch"),
         F.concat(F.lit("p"), (F.col("o_orderkey") % 5).cast("string")).alias("pass"), F.concat(F.lit("d"), (F.col("o_orderkey") % 3).cast("string")).alias("origin_drive"), (F.col("o_orderkey") % 7 == 0).alias("live"),
     )
 
 
 T_SQL = """SELECT 'e' || o_orderkey AS entry_id, 'o' || o_orderkey AS item, 'order-' || o_orderkey AS name, '/c' || o_custkey || '/order-' || o_orderkey AS path, o_orderdate AS deleted_at,
-CASE WHEN o_orderkey % 11 <> 0 THEN 'b' || o_custkey END AS batch, 'p' || (o_orderkey % 5) AS pass, 'd' || (o_orderkey % 3) AS origin_drive, o_orderkey % 7 = 0 AS live FROM orders"""
+CASE WHEN o_orderkey % 11 <> 0 THEN 'e' || (o_orderkey - o_orderkey % 8) END AS batch, 'p' || (o_orderkey % 5) AS pass, 'd' || (o_orderkey % 3) AS origin_drive, o_orderkey % 7 = 0 AS live FROM orders"""
 
 
 def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,15 @@ K_SQL = """SELECT event_id % 997 AS file, event_id AS id, user_id AS holder, eve
 event_id % 3 = 0 AS shared, event_id % 11 = 0 AS escalation_only, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS expires_at_ms FROM events"""
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The locks, of which every 501st is on the whole file from its start on."""
+    return locks(spark, sf_dir).withColumn("end", F.when(F.col("id") % 501 == 0, F.lit(-(1 << 63))).otherwise(F.col("end")))
+
+
+#: The same with the ends as numbers that compare: 9223372036854775807 for a whole file.
+W_SQL = f"""SELECT * REPLACE (CASE WHEN id % 501 = 0 THEN 9223372036854775807 ELSE "end" END AS "end") FROM ({K_SQL})"""
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version records with content from documents: (idx, item, path, version, date, sha256, size, stub, referrers)."""
     d = table(spark, sf_dir, "documents")
