@@ -12,7 +12,9 @@ from tidemark.functions import rights as R
 from tidemark.functions import values as V
 from tidemark.operators import mutations as M
 from tidemark.operators import ranges as G
+from tidemark.operators import reconcile, tree
 from tidemark.operators import temporal as T
+from tidemark.operators import trash as X
 from tidemark.sources import records
 from tidemark.streaming import feed
 
@@ -21,26 +23,24 @@ day = lambda n: DAY + datetime.timedelta(days=n)
 
 
 def model_not_states(effs):
-    """Straight from the definition: late ones shadow nothing; rounds until the late ones stay as they are."""
-    late = set()
+    """Straight from the definition, effs in the order of storing: none late at first, again until no more are."""
+    n, late = range(len(effs)), set()
     while True:
-        shadowed = {i for i in range(len(effs)) if any(effs[j] == effs[i] and j not in late for j in range(i))}
-        rest = [i for i in range(len(effs)) if i not in shadowed]
-        now, top = set(), None
-        for i in reversed(rest):
-            if top is not None and effs[i] < top:
-                now.add(i)
-            else:
-                top = effs[i]
-        if len(now) == len(late):
-            return shadowed, now
+        shadowed = {i for i in n if any(effs[j] == effs[i] and j not in late for j in n if j > i)}
+        now = {i for i in n if i not in shadowed and any(effs[j] > effs[i] for j in n if j < i and j not in shadowed)}
+        if now == late:
+            return {**dict.fromkeys(shadowed, "shadowed"), **dict.fromkeys(late, "late")}
         late = now
 
 
-def test_not_states_all_short_histories():
-    for n in range(1, 6):
-        for effs in itertools.product(range(4), repeat=n):
-            assert T.settled(list(effs)) == model_not_states(effs), effs
+def test_not_states_all_short_histories(spark):
+    histories = [h for n in range(1, 6) for h in itertools.product(range(4), repeat=n)]
+    rows = [(k, s, day(e), False) for k, h in enumerate(histories) for s, e in enumerate(h)]
+    got = T.not_states(spark.createDataFrame(rows, "key long, seq long, eff timestamp_ntz, deleted boolean")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.key, {})[r.seq] = r.state
+    assert all(found.get(k, {}) == model_not_states(h) for k, h in enumerate(histories))
 
 
 def bits(spans, limit=60):
@@ -78,6 +78,123 @@ def test_late_add_and_remove_change_only_their_span(spark):
         assert covered(cut, "i0")[d] == own - set(range(10, 30)) and covered(cut, "i1")[d] == other
 
 
+def test_many_late_changes_for_one_name(spark):
+    """Settles against a table of days, each change played in its order: additions, removals, and both."""
+    rng = random.Random(15)
+    spans, changes, model = [], [], {}
+    for d in range(60):
+        at = 0
+        while at < 40:
+            a = at + rng.randrange(0, 8)
+            b = a + rng.randrange(1, 8)
+            spans.append((d, "n", f"i{rng.randrange(3)}", day(a), None if b > 40 else day(b)))
+            model.setdefault(d, {}).update(dict.fromkeys(range(a, 60 if b > 40 else b), spans[-1][2]))
+            at = b if b <= 40 else 99
+        kinds = [[True], [False], [True, False]][d % 3]
+        own = []
+        for _ in range(rng.randrange(1, 7)):
+            a = rng.randrange(45)
+            own.append((d, "n", f"i{rng.randrange(3)}", a, a + rng.randrange(0, 15), rng.choice(kinds), len(changes) + len(own)))
+        changes += [(*c[:3], day(c[3]), day(c[4]), *c[5:]) for c in own]
+        for _, _, item, a, b, add, _ in sorted(own, key=lambda c: (c[3], c[6])):
+            for t in range(a, b):
+                if add:
+                    model.setdefault(d, {}).setdefault(t, item)
+                elif model.get(d, {}).get(t) == item:
+                    del model[d][t]
+    s = spark.createDataFrame(spans, "dir long, name string, item string, from_at timestamp_ntz, to_at timestamp_ntz")
+    c = spark.createDataFrame(changes, "dir long, name string, item string, at timestamp_ntz, until timestamp_ntz, add boolean, seq long")
+    got = {}
+    for r in T.settle(s, c).collect():
+        for t in range((r.from_at - DAY).days, 60 if r.to_at is None else (r.to_at - DAY).days):
+            assert got.setdefault(r.dir, {}).setdefault(t, r.item) == r.item
+    assert got == {d: m for d, m in model.items() if m}
+
+
+def test_folder_states_against_sets(spark):
+    rng = random.Random(16)
+    rows = [(d, rng.randrange(5), f"i{rng.randrange(3)}", day(a := rng.randrange(20)), day(a + rng.randrange(1, 9)) if rng.random() < 0.8 else None) for d in range(8) for _ in range(12)]
+    got = T.folder_states(spark.createDataFrame(rows, "dir long, name long, item string, from_at timestamp_ntz, to_at timestamp_ntz")).collect()
+    for d in range(8):
+        own = [r for r in rows if r[0] == d]
+        want, was = [], None
+        for t in sorted({t for r in own for t in r[3:] if t is not None}):
+            now = sorted((r[1], r[2]) for r in own if r[3] <= t and (r[4] is None or r[4] > t))
+            if now != was:
+                want.append((t, len(now)))
+            was = now
+        assert [(r["at"], r.n) for r in sorted(got, key=lambda r: r["at"]) if r.dir == d] == want
+
+
+def test_whole_file_claims_meet_everything_after_their_start(spark):
+    rng = random.Random(17)
+    spans = [(f, a, G.EOF if rng.random() < 0.1 else a + rng.choice([1, 3, 900, 1 << 20, 1 << 44])) for f in range(3) for a in (rng.choice([rng.randrange(50), rng.randrange(1 << 21), rng.randrange(1 << 45)]) for _ in range(60))]
+    rows = [(f, i, i % 7, a, b, i % 3 == 0, i % 11 == 0, 10) for i, (f, a, b) in enumerate(spans)]
+    df = spark.createDataFrame(rows, "file long, id long, holder long, start long, end long, shared boolean, escalation_only boolean, expires_at_ms long")
+    end = lambda b: 1 << 63 if b == G.EOF else b
+    meet = lambda x, y: x[0] == y[0] and x[3] < end(y[4]) and y[3] < end(x[4]) and x[2] != y[2]
+    held = [r for r in rows if not r[6]]
+    want = [(x[0], x[1], y[1]) for x in held for y in held if x[1] < y[1] and meet(x, y) and not (x[5] and y[5])]
+    assert sorted(map(tuple, G.conflicts(df, 0).collect())) == sorted(want)
+    writes = df.select("file", "id", "holder", "start", "end")
+    assert sorted(map(tuple, G.blocked_writes(writes, df, 0).collect())) == sorted({(x[0], x[1]) for x in rows for y in held if meet(x, y)})
+    assert G.taken([(100, 200, False)], 0, G.TOP, False) == [(0, G.TOP, False)]
+
+
+def test_undo_restores_what_began_a_batch(spark):
+    rows = [("e-a", "a", "/a", 1, "e-a", "p"), ("e-b", "b", "/a/b", 1, "e-a", "p"), ("e-c", "c", "/c", 0, None, "p"), ("e-d", "d", "/d", 2, "e-d", "q"), ("e-e", "e", "/c", 3, None, "p")]
+    t = spark.createDataFrame(rows, "entry_id string, item string, path string, deleted_at long, batch string, pass string")
+    assert [r.entry_id for r in sorted(X.undo_roots(t, "p").collect(), key=lambda r: r.pos)] == ["e-c", "e-a", "e-e"]
+    got = {r.entry_id: r.outcome for r in X.undone(t, "p", spark.createDataFrame([("/a/b",)], "path string")).collect()}
+    assert got == {"e-a": "restored", "e-b": "taken", "e-c": "older", "e-e": "restored"}
+
+
+def test_walks_go_all_the_way_down_and_refuse_cycles(spark):
+    deep = spark.createDataFrame([("" if i == 0 else f"d{i - 1}", f"d{i}", "x", "dir") for i in range(230)], "parent string, id string, name string, type string")
+    assert tree.walk(deep.repartition(1)).agg(F.max("depth")).first()[0] == 230
+    loop = spark.createDataFrame([("", "a", "a", "dir"), ("a", "b", "b", "dir"), ("b", "a", "a", "dir")], "parent string, id string, name string, type string")
+    with pytest.raises(Exception, match="below itself"):
+        tree.walk(loop).collect()
+
+
+def test_signals_over_three_bursts(spark, tmp_path):
+    for n, keys in enumerate((["a", "a", "b"], ["a", "c"], ["b", "b"])):
+        spark.createDataFrame([(k, 10 * n + i) for i, k in enumerate(keys)], "key string, cursor long").coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+    read = lambda: spark.readStream.schema("key string, cursor long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = {}
+    for r in feed.coalesced(read(), "burst-test").collect():
+        got.setdefault(r.burst, []).append(r.key)
+    assert sorted(map(sorted, got.values())) == [["a", "b"], ["a", "c"], ["b"]]
+    out = [tuple(r) for r in feed.fanned_out(read(), {"all": None, "slow": 1}, "fan-test").collect()]
+    assert sum(r == "all" for r, _ in out) == 7 and sorted(k for r, k in out if r == "slow") == ["a", "a", "b"]
+
+
+def test_debounced_marks_over_three_bursts(spark, tmp_path):
+    rng = random.Random(19)
+    marks = sorted((rng.randrange(20_000), rng.choice("ab")) for _ in range(90))
+    for n in range(3):
+        spark.createDataFrame([(k, t) for t, k in marks[30 * n : 30 * n + 30]], "key string, at long").coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+    stream = spark.readStream.schema("key string, at long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = {}
+    for r in feed.drained(feed.debounced(stream, 1000), "debounce-test").collect():
+        got.setdefault(r.key, []).append(r.sent)
+    for key in "ab":
+        sent, own = sorted(got[key]), [t for t, k in marks if k == key]
+        assert sent[0] == own[0] and all(b - a >= 1000 for a, b in zip(sent, sent[1:]))
+        assert all(any(t <= s <= t + 1000 for s in sent) for t in own)
+
+
+def test_renames_become_moves_and_edits_below_them_stay_edits(spark):
+    kind = "key string, path string, dir boolean, size long, mtime long, id string, version string, acl string, created long, remote_id string"
+    row = lambda key, n, size=1, dir=False: (key, key, dir, size, 0, f"l{n}", f"v{size}", "", 0, f"r{n}")
+    df = lambda *rows: spark.createDataFrame(list(rows), kind)
+    base = df(row("a", 1, dir=True), row("a/x", 2), row("a/sub", 3, dir=True), row("a/sub/y", 4), row("f", 5), row("g", 6))
+    local = df(row("b", 1, dir=True), row("b/x", 2, size=9), row("b/sub", 3, dir=True), row("b/sub/z", 4), row("f", 5), row("g", 6))
+    remote = df(row("a", 1, dir=True), row("a/x", 2), row("a/sub", 3, dir=True), row("a/sub/y", 4), row("f", 5), row("h", 6))
+    got = sorted((r.kind, r.key, r.note) for r in reconcile.plan_with_moves(base, local, remote, True).collect())
+    assert got == [("move-local", "h", "g"), ("move-remote", "b", "a"), ("move-remote", "b/sub/z", "a/sub/y"), ("upload", "b/x", "")]
+
+
 def test_merge_own_equals_bytes():
     rng = random.Random(6)
     for _ in range(300):
@@ -85,7 +202,7 @@ def test_merge_own_equals_bytes():
         for _ in range(rng.randrange(8)):
             a, shared = rng.randrange(40), rng.random() < 0.5
             b = a + rng.randrange(1, 12)
-            held = G.merge_own(held, a, b, shared)
+            held = G.taken(held, a, b, shared)
             byte.update(dict.fromkeys(range(a, b), shared))
         assert {t: s for a, b, s in held for t in range(a, b)} == byte
         assert sum(b - a for a, b, _ in held) == len(byte)
@@ -145,37 +262,47 @@ def test_records_there_and_back():
 
 
 def test_descriptors():
-    sd = R.parse_sddl("O:BAG:S-1-5-21-1D:PAI(A;OICI;FA;;;WD)(XA;;FX;;;S-1-1-0;(@User.a==(1)))S:(AU;SA;FA;;;WD)")
-    assert sd["owner"] == "BA" and sd["group"] == "S-1-5-21-1" and [a["flags"] for a in sd["aces"]] == [3, 0]
-    assert R.parse_sddl("O:BA")["has_dacl"] is False and R.parse_sddl("D:P") == {"owner": None, "group": None, "has_dacl": True, "aces": []}
-    assert R.parse_sddl("D:(A;QQ;FA;;;WD)") is None and R.parse_sddl("nonsense") is None and R.parse_sddl(None) is None
-
-
-def model_inherit(a, is_dir):
-    oi, ci, np = a[1] & 1, a[1] & 2, a[1] & 4
-    here = ci if is_dir else oi
-    on = is_dir and not np and (oi or ci)
-    creator = a[3] in ("CO", "CG")
-    if not here and not (is_dir and oi and not np):
-        return []
-    out = []
-    sid = {"CO": "own", "CG": "grp"}.get(a[3], a[3])
-    if here:
-        if on and not creator:
-            return [(a[0], 16 | a[1] & 3, a[2], sid)]
-        out.append((a[0], 16, a[2], sid))
-    if on:
-        out.append((a[0], a[1] & 3 | 8 | 16, a[2], a[3]))
-    return out
+    sd = R.parse_sddl("O:BAG:S-1-5-21-1D:PAI(A;OICI;FA;;;WD)(XA;;FX;;;S-1-1-0;(@User.a==(1)))(OA;;CR;11-22;33-44;BU)S:(AU;SA;FA;;;WD)")
+    assert sd["owner"] == "BA" and sd["group"] == "S-1-5-21-1" and sd["dacl_flags"] == "PAI" and [a["flags"] for a in sd["aces"]] == [3, 0, 0]
+    assert sd["aces"][1]["condition"] == "(@User.a==(1))" and (sd["aces"][2]["object"], sd["aces"][2]["inherited_object"]) == ("11-22", "33-44")
+    assert R.print_sddl(sd) == "O:BAG:S-1-5-21-1D:PAI(A;OICI;FA;;;WD)(XA;;FX;;;S-1-1-0;(@User.a==(1)))(OA;;CR;11-22;33-44;BU)"
+    assert R.parse_sddl("O:BA")["has_dacl"] is False and R.parse_sddl("D:P")["aces"] == [] and R.parse_sddl("D:P")["has_dacl"]
+    for bad in ("D:(A;QQ;FA;;;WD)", "nonsense", None, "D:(A;;FA;;;WD", "D:A;;FA;;;WD)", "(A;;FA;;;WD)", "D:(A;;FA)", "D:(A;;ZZ;;;WD)"):
+        assert R.parse_sddl(bad) is None
+
+
+#: What Windows documents for an entry of a directory, worked out by hand: flags, sid; the entries of a new file, of a new directory.
+INHERITED = [
+    (0, "WD", [], []), (1, "WD", [(16, "WD")], [(25, "WD")]), (2, "WD", [], [(18, "WD")]), (3, "WD", [(16, "WD")], [(19, "WD")]), (4, "WD", [], []), (5, "WD", [(16, "WD")], []), (6, "WD", [], [(16, "WD")]), (7, "WD", [(16, "WD")], [(16, "WD")]),
+    (8, "WD", [], []), (9, "WD", [(16, "WD")], [(25, "WD")]), (11, "WD", [(16, "WD")], [(19, "WD")]), (14, "WD", [], [(16, "WD")]),
+    (1, "CO", [(16, "own")], [(25, "CO")]), (2, "CO", [], [(16, "own"), (26, "CO")]), (3, "CO", [(16, "own")], [(16, "own"), (27, "CO")]), (7, "CO", [(16, "own")], [(16, "own")]), (11, "CG", [(16, "grp")], [(16, "grp"), (27, "CG")]), (0, "CG", [], []),
+]
 
 
 def test_inheritance(spark):
-    aces = [(t, f, 5, s) for t in "AD" for f in range(16) for s in ("WD", "CO", "CG")]
-    rows = [(i, d, [a]) for i, a in enumerate(aces) for d in (True, False)]
+    rows = [(i, d, [("A", f, 5, s, "", "", "")]) for i, (f, s, _, _) in enumerate(INHERITED) for d in (False, True)]
     df = spark.createDataFrame(rows, f"i int, d boolean, aces array<{R.ACE_TYPE}>")
     for r in df.select("i", "d", R.inherited(F.col("aces"), F.col("d"), F.lit("own"), F.lit("grp")).alias("k")).collect():
-        want = model_inherit(aces[r.i], r.d) or [("A", 0, R.ALL_ACCESS, "own")]
-        assert [tuple(x) for x in r.k] == want, (aces[r.i], r.d)
+        want = [("A", f, 5, s) for f, s in INHERITED[r.i][2 + r.d]] or [("A", 0, R.ALL_ACCESS, "own")]
+        assert [tuple(x)[:4] for x in r.k] == want, (INHERITED[r.i], r.d)
+
+
+def test_inodes_listings_and_diffs(spark, tmp_path):
+    import xxhash
+
+    from tidemark.plans import registry
+
+    keys = ["", "a", "é" * 50]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select(V.inode()(F.col("k")).alias("i")).collect()
+    assert [r.i % (1 << 64) for r in got] == [xxhash.xxh64_intdigest(k.encode()) or 1 for k in keys]
+    (tmp_path / "x.bin").write_bytes(b"12345")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "y").write_bytes(b"")
+    files = {r.path: r for r in registry.queries()["s22_folder_listing"](spark, str(tmp_path)).collect()}
+    assert {k: (r["size"], r["dir"]) for k, r in files.items()} == {"x.bin": (5, False), "sub": (0, True), "sub/y": (0, False)}
+    assert abs((files["x.bin"].mtime - datetime.datetime.fromtimestamp((tmp_path / "x.bin").stat().st_mtime, datetime.UTC).replace(tzinfo=None)).total_seconds()) < 1
+    diff = spark.createDataFrame([("a\nb\nc\n", "a\nx\nc\n"), ("same", "same")], "o string, n string").select(V.unified_diff()(F.col("o"), F.col("n")).alias("d")).collect()
+    assert "-b" in diff[0].d and "+x" in diff[0].d and " a" in diff[0].d and not diff[1].d
 
 
 def test_names(spark):

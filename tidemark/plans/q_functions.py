@@ -181,12 +181,24 @@ def f19(spark, sf):
     return sd.select("p_partkey", R.windows_rights(F.col("sd.owner"), F.col("sd.has_dacl"), F.col("sd.aces"), _USER, []).alias("rights"))
 
 
-@query("f20_acl_inheritance")
+_SDDL_SQL = """CASE WHEN p_partkey % 50 = 0 THEN 'O:BA' ELSE 'O:S-1-5-21-1-2-3-' || (p_partkey % 6) || 'G:BAD:(D;;0x' || lower(to_hex(p_size * 3)) || ';;;S-1-5-21-1-2-3-' || (p_partkey % 7) || ')(A;OICI;GR;;;WD)(A;;FA;;;BA)(A;IO;GA;;;CO)(A;CINP;0x'
+|| lower(to_hex(p_size * 3)) || ';;;CO)' || CASE WHEN p_partkey % 4 = 0 THEN '(A;;FR;;;OW)' ELSE '' END END"""
+
+
+@query("f18_sddl_print", f"SELECT p_partkey, {_SDDL_SQL} AS sddl FROM part")
+def f18_print(spark, sf):
+    """Descriptors parsed and printed: the texts that they were built from."""
+    sd = descriptors(spark, sf).select("p_partkey", R.sddl_parser()(F.col("sddl")).alias("sd"))
+    return sd.select("p_partkey", R.sddl_printer()(F.col("sd")).alias("sddl"))
+
+
+@query("f20_acl_inheritance", f"""SELECT p_partkey, 'A' AS type, CASE WHEN p_partkey % 2 = 0 THEN 19 ELSE 16 END AS flags, 1179785 AS mask, 'WD' AS sid FROM part WHERE p_partkey % 50 <> 0
+UNION ALL SELECT p_partkey, 'A', 16, p_size * 3, '{_USER}' FROM part WHERE p_partkey % 50 <> 0 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'A', 0, 2032127, '{_USER}' FROM part WHERE p_partkey % 50 = 0""")
 def f20(spark, sf):
+    """Of the entries, files and directories get the one for all; directories the creator's too, once; a list of none gives the owner all."""
     sd = descriptors(spark, sf).withColumn("sd", R.sddl_parser()(F.col("sddl")))
-    own = F.lit(_USER)
-    kids = R.inherited(F.col("sd.aces"), F.col("p_partkey") % 2 == 0, own, F.lit("BA"))
-    return sd.select("p_partkey", F.explode(kids).alias("a")).select("p_partkey", "a.*")
+    kids = R.inherited(F.col("sd.aces"), F.col("p_partkey") % 2 == 0, F.lit(_USER), F.lit("BA"))
+    return sd.select("p_partkey", F.explode(kids).alias("a")).select("p_partkey", "a.type", "a.flags", "a.mask", "a.sid")
 
 
 _ACCESS = "SELECT p_partkey, p_size * 11 % 512 AS mode, p_partkey % 20 AS uid, p_partkey % 7 AS gid, p_partkey % 3 = 0 AS is_dir FROM part"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as V
 from tidemark.operators.shared import saved, shared_folder
 from tidemark.sources.adapters import C_SQL, V_SQL, contents, table, versions
+from tidemark.sources.folder import listing
 from tidemark.sources.store import VersionStore
 
 from .catalog import Catalog
@@ -45,9 +46,7 @@ def s21(spark, sf):
 @query("s22_folder_listing")
 def s22(spark, sf):
     """A folder as entries: path, size and second of change; the files' bytes aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf)
-    name = F.regexp_extract("path", "([^/]+(?:/part-[^/]*)?)$", 1)
-    return files.where(~name.startswith("._")).select(name.alias("path"), F.lit(False).alias("dir"), F.col("length").alias("size"), F.date_trunc("second", "modificationTime").cast("timestamp_ntz").alias("mtime"))
+    return listing(spark, sf)
 
 
 @query("f12_minted_ids", "SELECT event_id, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS head, true AS valid FROM events")
