@@ -165,5 +165,5 @@ def annotated(docs: DataFrame, model: Model, text_col: str = "text", lang_out: s
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])
 
     small_batches(docs.sparkSession)
-    both = docs.withColumn("_lang_of_text", f(F.col(text_col)))
+    both = docs.withColumn("_lang_of_text", f.asNondeterministic()(F.col(text_col)))  # else a filter on it would have it computed twice
     return both.withColumn(lang_out, F.col("_lang_of_text.lang")).withColumn(score_out, F.col("_lang_of_text.score")).drop("_lang_of_text")

@@ -223,7 +223,7 @@ class PrefixTree:
         self.longest: list[int] = []
         self.smallest: list[int] = []
         self.paths, self.sizes = paths, sizes
-        order = sorted(range(len(paths)), key=lambda i: paths[i].tolist())
+        order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
         self._build(order)
 
     def _node(self, grams: np.ndarray) -> int:
@@ -374,12 +374,14 @@ def _roots(sigs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     grams, sorted_at = grams[order], at[order]
     same = np.flatnonzero(grams[1:] == grams[:-1])
     forest = Forest(len(every))
-    for i, j in np.unique(np.stack([sorted_at[same], sorted_at[same + 1]]), axis=1).T.tolist():
-        forest.join(i, j)
+    pairs = np.unique(sorted_at[same] * len(every) + sorted_at[same + 1])
+    for i in range(0, len(pairs), 10_000):
+        for pair in pairs[i : i + 10_000].tolist():
+            forest.join(*divmod(pair, len(every)))
     return every, every[np.array([forest.root(i) for i in range(len(every))], np.int64)], at
 
 
-def _prefixes(whole: DataFrame, parts: int, order: Order, link: tuple[int, int], flush_at: int = 500_000) -> DataFrame:
+def _prefixes(whole: DataFrame, parts: int, order: Order, link: tuple[int, int], flush_at: int = 250_000) -> DataFrame:
     """(bucket, sigs, grams, a, b): prefix n-grams dealt to buckets, and links a to b found on the way.
 
     What shared n-grams connect within a block of sets is linked on the spot and goes on as one, so that at most an
