@@ -2,6 +2,8 @@
 
 import datetime
 import itertools
+import json
+import os
 import random
 
 import pytest
@@ -326,3 +328,33 @@ def test_commands_are_registered():
     assert set(commands.COMMANDS.values()) <= set(registry.queries())
     with pytest.raises(KeyError):
         commands.command("fs fly")
+
+
+def test_commands_take_arguments(spark):
+    from tidemark import commands
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    got = [json.loads(line) for line in commands.run(spark, ["fs", "list", "--data", sf, "--where", "pos > 0", "--columns", "pos,name", "--limit", "2"])]
+    assert len(got) == 2 and all(set(g) == {"pos", "name"} and g["pos"] > 0 for g in got)
+
+
+def test_unknown_layouts_are_refused(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6)], "layout int, x int")
+    assert df.where("layout = 1").select(V.gated(F.col("layout"), F.col("x"))).first()[0] == 5
+    with pytest.raises(Exception, match="unknown layout 2"):
+        df.select(V.gated(F.col("layout"), F.col("x"))).collect()
+
+
+def test_metadata_records_with_maps_and_a_record_within():
+    spec = records.RECORDS["metadata"]
+    full = {"mode": 420, "xattrs": [{"key": "a", "value": b"\0x"}, {"key": "", "value": b""}], "windows": {"sddl": "O:BA", "attributes": 32, "reparse": b"", "dir_symlink": True}, "checksums": [{"key": "v", "value": {"md5": b"1", "sha256": b"2"}}], "layout": 1}
+    got = records.checked("metadata", records.encode(spec, full))
+    assert {k: got[k] for k in full} == full and got["refs"] == [] and records.checked("metadata", b"")["windows"] is None
+
+
+def test_a_cursor_goes_on_where_it_stopped(spark):
+    log = spark.createDataFrame([(f"k{i}", i) for i in range(10)], "key string, cursor long")
+    cursor = feed.Cursor(spark, "cursor-test")
+    assert [feed.since(log.where(F.col("cursor") < n), cursor).count() for n in (0, 4, 4, 10)] == [0, 4, 0, 6] and cursor.get() == 9

@@ -104,3 +104,8 @@ def inode():
         return keys.map(lambda k: None if k is None else signed(xxhash.xxh64_intdigest(k)))
 
     return f
+
+
+def gated(layout: Column, value: Column, known: int = 1) -> Column:
+    """value where a record's layout is known; any other layout raises an error rather than being read."""
+    return F.when(layout == known, value).otherwise(F.raise_error(F.concat(F.lit("unknown layout "), layout.cast("string"))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +14,25 @@ from .tree import walk
 def conditional_writes(log: DataFrame) -> DataFrame:
     """(key, seq, accepted): writes of a key in order, each accepted if what it expects is the key's current version.
 
-    log: (key, seq, expect, version); a null expect takes anything, '' demands that there is none yet. The fold runs over
-    each key's own ordered array, in the JVM.
+    log: (key, seq, expect, version); a null expect takes anything, '' demands that there is none yet. Rows pass sorted
+    by key and seq, with the current key's version carried along: no key's writes are gathered, however many they are.
     """
-    ops = log.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "expect", "version"))).alias("ops"))
-    zero = F.expr("struct('' as cur, cast(array() as array<struct<seq:bigint,ok:boolean>>) as out)")
+    kind = log.schema["key"].dataType.simpleString()
 
-    def step(acc, o):
-        ok = o["expect"].isNull() | (o["expect"] == acc["cur"])
-        return F.struct(F.when(ok, o["version"]).otherwise(acc["cur"]).alias("cur"), F.concat(acc["out"], F.array(F.struct(o["seq"].alias("seq"), ok.alias("ok")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = object(), ""
+        for batch in batches:
+            keys, expects, versions = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            out = []
+            for k, expect, version in zip(keys, expects, versions):
+                if k != key:
+                    key, now = k, ""
+                out.append(expect is None or expect == now)
+                now = version if out[-1] else now
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["key", "seq", "accepted"])
 
-    return ops.select("key", F.explode(F.aggregate("ops", zero, step, lambda acc: acc["out"])).alias("o")).select("key", F.col("o.seq").alias("seq"), F.col("o.ok").alias("accepted"))
+    rows = log.select("key", F.col("seq").cast("long").alias("seq"), "expect", "version").repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInArrow(run, f"key {kind}, seq long, accepted boolean")
 
 
 def with_parents(wanted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -74,3 +85,32 @@ def stub_writes(writes: DataFrame, records: DataFrame) -> DataFrame:
     t = records.select(F.col("idx").alias("target"), F.col("stub").alias("t_stub"), F.col("sha256").alias("t_sha"))
     rows = writes.join(t, "target", "left")
     return rows.select("idx", F.when(F.col("t_stub").isNull(), "missing").when(F.col("t_stub"), "stub").when(F.col("t_sha") != F.col("sha256"), "different").otherwise("written").alias("outcome"))
+
+
+def unnamed(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, outcome) of deleting named moments: removed or missing."""
+    both = wanted.select("name").distinct().join(names.select("name", F.lit(True).alias("there")).distinct(), "name", "left")
+    return both.select("name", F.when(F.col("there"), "removed").otherwise("missing").alias("outcome"))
+
+
+def link_counts(entries: DataFrame, links: DataFrame, unlinks: DataFrame) -> DataFrame:
+    """(item, nlink, gone): items after names (dir, name, item) were added and others (dir, name) taken away; without a name an item is gone."""
+    left = entries.join(unlinks, ["dir", "name"], "left_anti").select("item").unionAll(links.select("item")).groupBy("item").agg(F.count("*").alias("n"))
+    every = entries.select("item").unionAll(links.select("item")).distinct()
+    return every.join(left, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("nlink"), F.col("n").isNull().alias("gone"))
+
+
+def master_changes(filesystems: DataFrame, changes: DataFrame) -> DataFrame:
+    """(name, kind, outcome) of changes (name, kind, size) to a table of filesystems (name, size, used, archived).
+
+    create: created, or exists as it is. resize: resized, or refused below what is used. archive: archived. prune: pruned
+    if archived, else refused. What isn't there is missing. Each change is judged by the table as it is.
+    """
+    both = changes.join(filesystems.select("name", F.col("size").alias("now"), "used", "archived"), "name", "left")
+    there = F.col("now").isNotNull()
+    outcome = (
+        F.when(F.col("kind") == "create", F.when(there, "exists").otherwise("created")).when(~there, "missing")
+        .when(F.col("kind") == "resize", F.when(F.col("size") < F.col("used"), "refused").otherwise("resized"))
+        .when(F.col("kind") == "archive", "archived").when(F.col("kind") == "prune", F.when(F.col("archived"), "pruned").otherwise("refused"))
+    )
+    return both.select("name", "kind", outcome.alias("outcome"))

@@ -6,7 +6,9 @@ A whole-file claim ends at EOF, which counts as greater than every other end.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,18 +117,29 @@ def taken(held: list[Claim], start: int, end: int, shared: bool) -> list[Claim]:
 
 
 def merged_claims(claims: DataFrame) -> DataFrame:
-    """(file, holder, start, end, shared): each holder's claims on a file, taken in the order of id. One holder's claims on one file have to fit a task."""
+    """(file, holder, start, end, shared): each holder's claims on a file, taken in the order of id.
 
-    def fold(pdf):
-        import pandas as pd
-
-        held: list[Claim] = []
-        for r in pdf.sort_values("id").itertuples():
-            held = taken(held, int(r.start), int(r.end), bool(r.shared))
-        return pd.DataFrame([(pdf["file"].iloc[0], pdf["holder"].iloc[0], *h) for h in held], columns=["file", "holder", "start", "end", "shared"])
-
-    rows = closed(claims).select("file", "holder", "id", "start", "end", "shared")
-    return rows.groupBy("file", "holder").applyInPandas(fold, "file long, holder long, start long, end long, shared boolean").withColumn("end", opened(F.col("end")))
+    Rows pass sorted by file, holder and id; what is held is the claims that one holder has on one file, not all it made.
+    """
+    schema = pa.schema([("file", pa.int64()), ("holder", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("shared", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for file, holder, _, start, end, shared in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, holder) != key:
+                    out += [(*key, *c) for c in held] if key else []
+                    key, held = (file, holder), []
+                held = taken(held, start, end, shared)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((*key, *c) for c in held)), schema)], schema=schema)
+
+    rows = closed(claims).select(*[F.col(c).cast("long") for c in ("file", "holder", "id", "start", "end")], "shared")
+    rows = rows.repartition("file", "holder").sortWithinPartitions("file", "holder", "id")
+    return rows.mapInArrow(run, "file long, holder long, start long, end long, shared boolean").withColumn("end", opened(F.col("end")))
 
 
 def within_budget(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import integrity as I
 from tidemark.operators import ranges as G
 from tidemark.operators import trash as X
 from tidemark.operators.temporal import as_of, effective, newest
@@ -226,6 +227,58 @@ def x03(spark, sf):
     )
 
 
+_BLOCKS = "SELECT p_partkey AS block, CASE WHEN p_partkey % 4 = 0 THEN '3' END AS low, CASE WHEN p_partkey % 5 = 0 THEN '6' END AS high, p_partkey % 97 <> 0 AS readable FROM part WHERE p_partkey % 50 <> 0"
+_BLOCK_LINKS = "SELECT o_custkey AS parent, o_orderkey AS block FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_custkey + 1, o_orderkey FROM orders WHERE o_orderkey % 60 = 0"
+_BLOCK_ENTRIES = "SELECT l_partkey AS block, l_linenumber AS pos, CAST(l_suppkey % 10 AS VARCHAR) AS name FROM lineitem"
+_REFS = "SELECT doc_id AS holder, doc_id * 2 AS target, doc_id % 11 = 0 AS pending FROM documents"
+_RECORDS = "SELECT doc_id AS key, doc_id % 13 = 5 AS stub, doc_id % 17 <> 0 AS live FROM documents"
+
+
+@query("x03_block_problems", f"""WITH b AS ({_BLOCKS}), l AS ({_BLOCK_LINKS}), e AS ({_BLOCK_ENTRIES})
+SELECT DISTINCT 'missing-block' AS kind, CAST(block AS VARCHAR) AS subject FROM l WHERE block NOT IN (SELECT block FROM b) UNION ALL SELECT 'unreadable-block', CAST(block AS VARCHAR) FROM b WHERE NOT readable AND block IN (SELECT block FROM l)
+UNION ALL SELECT 'block-reached-twice', CAST(block AS VARCHAR) FROM l GROUP BY block HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'out-of-order', CAST(block AS VARCHAR) FROM (SELECT *, lag(name) OVER (PARTITION BY block ORDER BY pos, name) AS was FROM e) WHERE was >= name
+UNION ALL SELECT DISTINCT 'outside-range', CAST(e.block AS VARCHAR) FROM e JOIN b ON e.block = b.block WHERE e.name < b.low OR e.name >= b.high""")
+def x03_blocks(spark, sf):
+    k = F.col("p_partkey")
+    blocks = table(spark, sf, "part").where("p_partkey % 50 <> 0").select(k.alias("block"), F.when(k % 4 == 0, "3").alias("low"), F.when(k % 5 == 0, "6").alias("high"), (k % 97 != 0).alias("readable"))
+    o = table(spark, sf, "orders")
+    links = o.where("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("block")).unionAll(o.where("o_orderkey % 60 = 0").select(F.col("o_custkey") + 1, "o_orderkey"))
+    entries_ = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("block"), F.col("l_linenumber").alias("pos"), (F.col("l_suppkey") % 10).cast("string").alias("name"))
+    return I.block_problems(blocks, links, entries_)
+
+
+@query("x03_reference_problems", f"""WITH f AS ({_REFS}), r AS ({_RECORDS}), j AS (SELECT f.*, t.key AS t_key, t.stub AS t_stub, t.live AS t_live, h.live AS h_live, holder || '>' || target AS subject FROM f LEFT JOIN r t ON t.key = f.target LEFT JOIN r h ON h.key = f.holder)
+SELECT 'ref-target-missing' AS kind, subject FROM j WHERE t_key IS NULL UNION ALL SELECT 'ref-to-ref', subject FROM j WHERE t_stub UNION ALL SELECT 'ref-entry-dead', subject FROM j WHERE NOT t_live
+UNION ALL SELECT 'ref-entry-pending', subject FROM j WHERE pending UNION ALL SELECT 'ref-holder-dead', subject FROM j WHERE NOT h_live""")
+def x03_references(spark, sf):
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    return I.reference_problems(d.select(k.alias("holder"), (k * 2).alias("target"), (k % 11 == 0).alias("pending")), d.select(k.alias("key"), (k % 13 == 5).alias("stub"), (k % 17 != 0).alias("live")))
+
+
+_REPAIR = "CASE kind WHEN 'link-count' THEN 'set-count' WHEN 'deleted-but-listed' THEN 'remove-entry' WHEN 'duplicate-name' THEN 'rename-entry' WHEN 'missing-object' THEN 'remove-entry' WHEN 'ref-target-missing' THEN 'drop-reference' WHEN 'ref-entry-dead' THEN 'drop-reference' WHEN 'ref-entry-pending' THEN 'finish-reference' WHEN 'out-of-order' THEN 'sort-block' ELSE 'report' END"
+
+
+@query("x03_repairs", f"SELECT kind, {_REPAIR} AS action, count(*) AS problems FROM (SELECT * FROM ({ORACLE['x03_fsck']}) UNION ALL SELECT * FROM ({ORACLE['x03_block_problems']}) UNION ALL SELECT * FROM ({ORACLE['x03_reference_problems']})) GROUP BY kind")
+def x03_repairs(spark, sf):
+    every = x03(spark, sf).unionAll(x03_blocks(spark, sf)).unionAll(x03_references(spark, sf))
+    return I.repairs(every).groupBy("kind", "action").agg(F.count("*").alias("problems"))
+
+
+_MASTER = "SELECT n_name AS name, 1000 + n_nationkey * 10 AS size, n_nationkey * 60 AS used, n_nationkey % 3 = 0 AS archived FROM nation WHERE n_nationkey % 4 <> 1"
+_MASTER_CHANGES = "SELECT n_name AS name, k AS kind, n_nationkey * 50 AS size FROM nation, (VALUES ('create'), ('resize'), ('archive'), ('prune')) v(k)"
+
+
+@query("x02_master_changes", f"""SELECT c.name, c.kind, CASE WHEN c.kind = 'create' THEN CASE WHEN m.name IS NULL THEN 'created' ELSE 'exists' END WHEN m.name IS NULL THEN 'missing' WHEN c.kind = 'resize' THEN CASE WHEN c.size < m.used THEN 'refused' ELSE 'resized' END
+WHEN c.kind = 'archive' THEN 'archived' WHEN m.archived THEN 'pruned' ELSE 'refused' END AS outcome FROM ({_MASTER_CHANGES}) c LEFT JOIN ({_MASTER}) m ON m.name = c.name""")
+def x02_changes(spark, sf):
+    from tidemark.operators.mutations import master_changes
+
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    master = n.where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("name"), (1000 + k * 10).alias("size"), (k * 60).alias("used"), (k % 3 == 0).alias("archived"))
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("create", "resize", "archive", "prune")])).alias("kind")
+    return master_changes(master, n.select(F.col("n_name").alias("name"), (k * 50).alias("size"), kinds))
+
+
 @query("a09_fsck_summary", f"SELECT kind, count(*) AS problems FROM ({ORACLE['x03_fsck']}) GROUP BY kind")
 def a09(spark, sf):
     return x03(spark, sf).groupBy("kind").agg(F.count("*").alias("problems"))

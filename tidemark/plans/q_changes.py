@@ -60,6 +60,47 @@ def s16(spark, sf):
     return t.select(records.decoder("trash")(body).alias("r")).select("r.entry_id", "r.path", "r.size")
 
 
+@query("s14_metadata_codec", """SELECT p_partkey, p_size * 11 % 512 AS mode, p_partkey % 20 AS uid, p_partkey % 3 + 1 AS nlink, 'user.brand' AS xattr, p_brand AS value, 'O:BA' AS sddl, p_size AS stream, p_partkey % 2 = 0 AS dated,
+TIMESTAMP '2024-01-01 00:00:00' + to_seconds(p_partkey) AS atime FROM part""")
+def s14(spark, sf):
+    """Attribute records with maps and a record within, encoded and decoded again."""
+    k, i = F.col("p_partkey"), lambda c: c.cast("long")
+    pair = lambda a, b: F.array(F.struct(F.lit(a).alias("key"), b.alias("value")))
+    record = F.struct(
+        i(F.col("p_size") * 11 % 512).alias("mode"), (k % 20).alias("uid"), (k % 3 + 1).alias("nlink"), pair("user.brand", F.col("p_brand").cast("binary")).alias("xattrs"), pair("main", i(F.col("p_size"))).alias("streams"),
+        F.timestamp_seconds(F.lit(1704067200) + k).alias("atime"), F.struct(F.lit("O:BA").alias("sddl")).alias("windows"), (k % 2 == 0).alias("dated"), F.lit(1).cast("long").alias("layout"),
+    )
+    r = table(spark, sf, "part").select("p_partkey", records.encoder("metadata")(record).alias("body")).select("p_partkey", records.decoder("metadata")(F.col("body")).alias("r"))
+    return r.select(
+        "p_partkey", F.col("r.mode").cast("int").alias("mode"), "r.uid", "r.nlink", F.col("r.xattrs")[0]["key"].alias("xattr"), F.col("r.xattrs")[0]["value"].cast("string").alias("value"), F.col("r.windows.sddl").alias("sddl"),
+        F.col("r.streams")[0]["value"].cast("int").alias("stream"), "r.dated", F.col("r.atime").cast(NTZ).alias("atime"),
+    )
+
+
+@query("s16_name_codec", "SELECT event_id, event_type || '-' || event_id AS name, date_trunc('second', ts) AS time FROM events")
+def s16_names(spark, sf):
+    record = F.struct(F.concat_ws("-", "event_type", F.col("event_id").cast("string")).alias("name"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("time"), F.lit(1).cast("long").alias("layout"))
+    body = records.encoder("name")(record)
+    return table(spark, sf, "events").select("event_id", records.decoder("name")(body).alias("r")).select("event_id", "r.name", F.col("r.time").cast(NTZ).alias("time"))
+
+
+@query("s16_origin_codec", "SELECT l_orderkey, l_linenumber, 'd' || (l_partkey % 3) AS drive, 'i' || l_orderkey AS item_id, l_linenumber > 3 AS alias, count(*) AS n FROM lineitem GROUP BY ALL")
+def s16_origins(spark, sf):
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    record = F.struct(s("d", F.col("l_partkey") % 3).alias("drive"), s("i", F.col("l_orderkey")).alias("item_id"), (F.col("l_linenumber") > 3).alias("alias"), F.lit(1).cast("long").alias("layout"))
+    r = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", records.decoder("origin")(records.encoder("origin")(record)).alias("r"))
+    return r.groupBy("l_orderkey", "l_linenumber", "r.drive", "r.item_id", "r.alias").agg(F.count("*").alias("n"))
+
+
+@query("s16_refs_codec", "SELECT l_orderkey AS target, count(*) AS referrers, count(*) FILTER (l_returnflag = 'R') AS pending FROM lineitem GROUP BY l_orderkey")
+def s16_refs(spark, sf):
+    one = F.struct(F.col("l_partkey").cast("string").alias("referrer_key"), F.col("l_linenumber").cast("string").alias("referrer_version"), (F.col("l_returnflag") == "R").alias("pending"))
+    b = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("referrers"))
+    b = b.select("l_orderkey", records.encoder("refs")(F.struct("referrers", F.lit(1).cast("long").alias("layout"))).alias("body"))
+    rows = b.select("l_orderkey", F.explode(records.decoder("refs")(F.col("body"))["referrers"]).alias("r"))
+    return rows.groupBy(F.col("l_orderkey").alias("target")).agg(F.count("*").alias("referrers"), F.count_if("r.pending").alias("pending"))
+
+
 @query("s17_stub_codec", f"SELECT idx, version AS version_id, size FROM ({C_SQL}) WHERE stub")
 def s17(spark, sf):
     c = contents(spark, sf).where("stub")
@@ -100,10 +141,10 @@ def l08(spark, sf):
 @query("l01_signal_source", "SELECT 'drive/' || user_id || '/' || event_id AS key FROM events WHERE user_id % 10 = 3")
 def l01(spark, sf):
     """Signals of a source: a stream of keys below a prefix, out of a landed log of changes."""
-    return feed.drained(feed.source(_log(spark, sf), "drive/", F.col("user") % 10 == 3), "signals")
+    return feed.drained(feed.source(_feed_log(spark, sf), "drive/", F.col("user") % 10 == 3), "signals")
 
 
-def _log(spark, sf):
+def _feed_log(spark, sf):
     e = feed.read(spark, f"{sf}/events.parquet")
     return e.select(F.concat_ws("/", F.lit("drive"), F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("kind"), F.col("user_id").alias("user"), F.col("event_id").alias("cursor"))
 
@@ -111,14 +152,14 @@ def _log(spark, sf):
 @query("l02_fan_out", """SELECT reader, count(*) AS got FROM (SELECT 'drive/' || user_id AS key, event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE user_id % 2 = 0), (VALUES ('all', 9223372036854775807), ('slow', 32)) r(reader, most) WHERE n <= most GROUP BY reader""")
 def l02(spark, sf):
     """One source for several readers: one that keeps up, and one whose buffer of 32 holds the first of a burst."""
-    keys = _log(spark, sf).where("user % 2 = 0").select("key", "cursor")
+    keys = _feed_log(spark, sf).where("user % 2 = 0").select("key", "cursor")
     return feed.fanned_out(keys, {"all": None, "slow": 32}, "fan-out").groupBy("reader").agg(F.count("*").alias("got"))
 
 
 @query("l03_bucket_notifications", "SELECT 'drive/' || user_id || '/' || event_id AS key FROM events WHERE event_type IN ('click', 'error') AND starts_with('drive/' || user_id || '/' || event_id, 'drive/1')")
 def l03(spark, sf):
     """Notifications of a bucket: those of the kinds subscribed to, below a prefix, filtered where they are read."""
-    return feed.drained(feed.source(_log(spark, sf), "drive/1", F.col("kind").isin("click", "error")), "notices")
+    return feed.drained(feed.source(_feed_log(spark, sf), "drive/1", F.col("kind").isin("click", "error")), "notices")
 
 
 @query("l05_change_feed_cursor", "SELECT 'drive/' || user_id || '/' || event_id AS key, event_id > (SELECT max(event_id) // 2 FROM events) AS second FROM events")
@@ -199,14 +240,23 @@ def l16(spark, sf):
 _LOG_SQL = "SELECT user_id AS key, event_id AS seq, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'v' || (event_id % 5) ELSE '' END AS expect, 'v' || (event_id % 4) AS version FROM events"
 
 
-@query("m01_conditional_writes", f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ({_LOG_SQL})), s(key, seq, n, cur, accepted) AS (
+def accepted_sql(log: str) -> str:
+    """Each write of a key met with what the ones before it left, one after the other."""
+    return f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ({log})), s(key, seq, n, cur, accepted) AS (
 SELECT key, seq, n, CASE WHEN coalesce(expect, '') = '' THEN version ELSE '' END, coalesce(expect, '') = '' FROM o WHERE n = 1
 UNION ALL SELECT o.key, o.seq, o.n, CASE WHEN o.expect IS NULL OR o.expect = s.cur THEN o.version ELSE s.cur END, o.expect IS NULL OR o.expect = s.cur FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1)
-SELECT key, seq, accepted FROM s""")
+SELECT key, seq, accepted FROM s"""
+
+
+def _log(spark, sf):
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    expect = F.when(k % 3 == 0, None).when(k % 3 == 1, F.concat(F.lit("v"), (k % 5).cast("string"))).otherwise("")
+    return e.select(F.col("user_id").alias("key"), k.alias("seq"), expect.alias("expect"), F.concat(F.lit("v"), (k % 4).cast("string")).alias("version"))
+
+
+@query("m01_conditional_writes", accepted_sql(_LOG_SQL))
 def m01(spark, sf):
-    e = table(spark, sf, "events")
-    log = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, None).when(F.col("event_id") % 3 == 1, F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).otherwise("").alias("expect"), F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("version"))
-    return M.conditional_writes(log)
+    return M.conditional_writes(_log(spark, sf))
 
 
 @query("m02_mkdir_parents", "SELECT DISTINCT p AS path FROM (SELECT unnest(['/new', '/new/' || o_orderstatus, '/new/' || o_orderstatus || '/' || (o_orderkey % 50)]) AS p FROM orders) WHERE p <> '/new/F'")
@@ -248,6 +298,25 @@ def m08(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("nlink"))
 
 
+_LINKS = "SELECT l_orderkey AS dir, CAST(l_linenumber AS VARCHAR) AS name, min(l_partkey) AS item FROM lineitem GROUP BY 1, 2"
+
+
+@query("m08_link_unlink", f"""WITH e AS ({_LINKS}), k AS (SELECT * FROM e WHERE NOT (dir % 3 = 0 OR item % 7 = 0)), n AS (SELECT dir, 'link' AS name, min(item) AS item FROM e WHERE dir % 5 = 0 GROUP BY dir), a AS (SELECT * FROM k UNION ALL SELECT * FROM n)
+SELECT i.item, count(a.item) AS nlink, count(a.item) = 0 AS gone FROM (SELECT DISTINCT item FROM e) i LEFT JOIN a ON a.item = i.item GROUP BY i.item""")
+def m08_links(spark, sf):
+    """Names added to items and taken away: the links that are left, and the items that have none."""
+    e = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("dir"), F.col("l_linenumber").cast("string").alias("name")).agg(F.min("l_partkey").alias("item"))
+    new = e.where("dir % 5 = 0").groupBy("dir").agg(F.min("item").alias("item")).select("dir", F.lit("link").alias("name"), "item")
+    return M.link_counts(e, new, e.where("dir % 3 = 0 or item % 7 = 0").select("dir", "name"))
+
+
+@query("m07_name_removal", "SELECT source || '-' || doc_id AS name, CASE WHEN doc_id % 9 = 0 THEN 'removed' ELSE 'missing' END AS outcome FROM documents WHERE doc_id % 2 = 0")
+def m07_removal(spark, sf):
+    name = F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("name")
+    d = table(spark, sf, "documents")
+    return M.unnamed(d.where("doc_id % 9 = 0").select(name), d.where("doc_id % 2 = 0").select(name))
+
+
 @query("m10_set_info", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE event_type END AS type, CASE WHEN event_id % 4 <> 0 THEN 'x' END AS note FROM events")
 def m10(spark, sf):
     k = F.col("event_id")
@@ -277,6 +346,17 @@ def m16(spark, sf):
     return last.where("event_type <> 'error'").groupBy("item").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("users"))
 
 
+_DRAFTS_SQL = "SELECT event_id % 100 AS key, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'd' || (event_id % 3) END AS expect, 'd' || (event_id % 4) AS version FROM events WHERE event_type <> 'error'"
+
+
+@query("m16_draft_publish", accepted_sql(_DRAFTS_SQL))
+def m16_publish(spark, sf):
+    """Drafts published in order, each if the version that it was begun from still is the item's."""
+    e, k = table(spark, sf, "events").where("event_type <> 'error'"), F.col("event_id")
+    base = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("d"), (k % 3).cast("string")))
+    return M.conditional_writes(e.select((k % 100).alias("key"), k.alias("seq"), base.alias("expect"), F.concat(F.lit("d"), (k % 4).cast("string")).alias("version")))
+
+
 @query("m17_range_locks", q_catalog.merged_sql(50, 700, 90, "NOT escalation_only"))
 def m17(spark, sf):
     k = claims(spark, sf).where("not escalation_only")
@@ -301,6 +381,13 @@ def m21(spark, sf):
     return versions(spark, sf).where("not deleted").groupBy("key").agg(F.count("*").alias("versions"), F.max("seq").alias("newest"))
 
 
+@query("m21_conditional_put", f"SELECT key, count(*) AS puts, count(*) FILTER (accepted) AS accepted, max(seq) FILTER (accepted) AS newest FROM ({accepted_sql(_LOG_SQL)}) GROUP BY key")
+def m21_put(spark, sf):
+    """Small objects put if absent, if unchanged, or whatever there is: what of each key's puts was taken."""
+    got = M.conditional_writes(_log(spark, sf))
+    return got.groupBy("key").agg(F.count("*").alias("puts"), F.count_if("accepted").alias("accepted"), F.max(F.when(F.col("accepted"), F.col("seq"))).alias("newest"))
+
+
 @query("m22_current_after_late", f"SELECT key, arg_max(seq, (eff, seq)) AS seq FROM ({EFF_SQL}) GROUP BY key")
 def m22(spark, sf):
     return T.newest(T.effective(versions(spark, sf), dates(spark, sf)), ["key"], [F.col("eff"), F.col("seq")], ["key", "seq"])

@@ -12,16 +12,31 @@ from collections.abc import Iterator
 import pandas as pd
 
 LAYOUT = 1
-# Field numbers, names and kinds of each record. kinds: s text, b bytes, i integer, B boolean, t time, [x] repeated.
+# Field numbers, names and kinds of each record. kinds: s text, b bytes, i integer, B boolean, t time, {x} a
+# record within, [x] repeated; a map is a repeated record of key and value.
 ENTRY = {1: ("name", "s"), 2: ("uuid", "s"), 3: ("type", "i")}
 CHILD = {1: ("min_key", "s"), 2: ("uuid", "s")}
 REFERRER = {1: ("referrer_key", "s"), 2: ("referrer_version", "s"), 3: ("pending", "B"), 4: ("target_version", "s")}
+STUB = {1: ("layout", "i"), 2: ("key", "s"), 3: ("version_id", "s"), 4: ("size", "i"), 5: ("sha256", "b")}
+WINDOWS = {1: ("sddl", "s"), 2: ("attributes", "i"), 3: ("reparse", "b"), 4: ("dir_symlink", "B")}
+CHECKSUMS = {1: ("md5", "b"), 2: ("sha256", "b")}
+
+
+def _map(value: object) -> list[dict]:
+    return [{1: ("key", "s"), 2: ("value", value)}]
+
+
 RECORDS = {
+    "metadata": {
+        1: ("mode", "i"), 2: ("uid", "i"), 3: ("gid", "i"), 4: ("nlink", "i"), 5: ("xattrs", _map("b")), 7: ("rdev", "i"), 10: ("mtime_override_etag", "s"), 11: ("streams", _map("i")), 12: ("next_stream_id", "i"),
+        13: ("atime", "t"), 14: ("mtime_override", "t"), 15: ("btime_override", "t"), 16: ("ctime", "t"), 17: ("windows", WINDOWS), 18: ("posix_acl_access", "b"), 19: ("posix_acl_default", "b"), 20: ("app", _map("b")),
+        21: ("layout", "i"), 22: ("checksums", _map(CHECKSUMS)), 23: ("dated", "B"), 24: ("refs", _map(STUB)),
+    },
     "block": {1: ("kind", "i"), 2: ("entries", [ENTRY]), 3: ("children", [CHILD]), 4: ("high_key", "s"), 5: ("right", "s"), 6: ("layout", "i")},
     "trash": {1: ("entry_id", "s"), 2: ("item_id", "s"), 3: ("type", "i"), 4: ("name", "s"), 5: ("parent_id", "s"), 6: ("path", "s"), 7: ("deleted_at", "t"), 8: ("deleted_by", "s"), 9: ("size", "i"), 10: ("version", "s"), 11: ("batch", "s"), 12: ("origin", "b"), 13: ("pass", "s"), 14: ("layout", "i")},
     "name": {1: ("name", "s"), 2: ("time", "t"), 3: ("scope", "s"), 4: ("created_by", "s"), 5: ("created_at", "t"), 6: ("layout", "i")},
     "origin": {1: ("drive", "s"), 2: ("id", "s"), 3: ("item_id", "s"), 4: ("version", "s"), 5: ("path", "s"), 6: ("layout", "i"), 7: ("alias", "B")},
-    "stub": {1: ("layout", "i"), 2: ("key", "s"), 3: ("version_id", "s"), 4: ("size", "i"), 5: ("sha256", "b")},
+    "stub": STUB,
     "refs": {1: ("layout", "i"), 2: ("referrers", [REFERRER]), 3: ("retired", "B")},
     "dates": {1: ("dates", [{1: ("version_id", "s"), 2: ("at", "t")}]), 2: ("layout", "i")},
 }
@@ -32,7 +47,7 @@ def ddl(spec: dict) -> str:
     """The struct that a record decodes to."""
     parts = []
     for name, kind in spec.values():
-        parts.append(f"`{name}`: " + (f"array<struct<{ddl(kind[0])}>>" if isinstance(kind, list) else _SQL[kind]))
+        parts.append(f"`{name}`: " + (f"array<struct<{ddl(kind[0])}>>" if isinstance(kind, list) else f"struct<{ddl(kind)}>" if isinstance(kind, dict) else _SQL[kind]))
     return ", ".join(parts)
 
 
@@ -83,13 +98,16 @@ def _time(data: bytes) -> int:
 
 
 def decode(spec: dict, data: bytes) -> dict:
-    out = {name: [] if isinstance(kind, list) else {"s": "", "b": b"", "i": 0, "B": False, "t": None}[kind] for name, kind in spec.values()}
+    empty = {"s": "", "b": b"", "i": 0, "B": False, "t": None}
+    out = {name: [] if isinstance(kind, list) else None if isinstance(kind, dict) else empty[kind] for name, kind in spec.values()}
     for number, value in fields(data):
         if number not in spec:
             continue
         name, kind = spec[number]
         if isinstance(kind, list):
             out[name].append(decode(kind[0], value))
+        elif isinstance(kind, dict):
+            out[name] = decode(kind, value)
         elif kind == "s":
             out[name] = value.decode("utf-8", "replace")
         elif kind == "i":
@@ -107,6 +125,11 @@ def encode(spec: dict, record: dict) -> bytes:
     out = b""
     for number, (name, kind) in spec.items():
         value = record.get(name)
+        if isinstance(kind, dict):
+            if value is not None:
+                body = encode(kind, value)
+                out += _varint(number << 3 | 2) + _varint(len(body)) + body
+            continue
         if not value and value != 0 or value == 0 and not isinstance(kind, list):
             continue
         chunk = lambda b, number=number: _varint(number << 3 | 2) + _varint(len(b)) + b
@@ -151,7 +174,15 @@ def encoder(kind: str):
 
     @pandas_udf("binary")
     def f(rows: pd.DataFrame) -> pd.Series:
-        plain = lambda v: [dict(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, (str, bytes)) else v
+
+        def plain(v):
+            """Rows and arrays as dicts and lists, however deep."""
+            if hasattr(v, "asDict"):
+                v = v.asDict()
+            if isinstance(v, dict):
+                return {k: plain(x) for k, x in v.items()}
+            return [plain(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, (str, bytes, bytearray)) else v
+
         return pd.Series([encode(RECORDS[kind], {k: plain(v) for k, v in r.items()}) for r in rows.to_dict("records")], dtype=object)
 
     return f
