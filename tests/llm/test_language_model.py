@@ -74,3 +74,85 @@ def test_words_beyond_the_first_are_exchanged_too(spark):
     got = M.score(spark.createDataFrame(rows + probe, "doc_id long, text string"), F.col("doc_id") < 1000, clustered=4, classes=2)
     fits, scrambled = (r.score for r in sorted(got.where("doc_id >= 1000").collect()))
     assert fits > scrambled + 1
+
+
+def test_gains_equal_the_likelihood_after_each_move():
+    """The best class of a word by moving it to every class and counting anew; no word comes after itself."""
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        n, k = 12, 6  # classes: 0 to 3, those of words without one, the text's end
+        counts = rng.poisson(1.2, (n, n)).astype(float)
+        np.fill_diagonal(counts, 0)
+        of = np.append(rng.integers(0, 4, n - 2), [4, 5])
+        table = lambda c: np.eye(k)[c].T @ counts @ np.eye(k)[c]
+        right, left = counts @ np.eye(k)[of], counts.T @ np.eye(k)[of]
+        new = M.better(table(of), of[:-1], right[:-1], left[:-1])
+        for w in range(n - 1):
+            value = {}
+            for c in range(4):
+                moved = of.copy()
+                moved[w] = c
+                value[c] = M.likelihood(table(moved))
+            best = max(value.values())
+            assert value.get(int(new[w]), -np.inf) >= best - 1e-6 or (of[w] < 4 and new[w] == of[w] and value[int(of[w])] >= best - 1e-5), (w, value, new[w])
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = random.Random(13)
+    rest, end, first_rest = 9, 10, 7
+    texts = [[end, *(rng.choice([0, 1, 2, 3, 6, 7, 8, 9]) for _ in range(rng.randrange(6))), end] for _ in range(200)]
+    df = spark.createDataFrame([(bytearray(np.array(t, np.uint16).tobytes()),) for t in texts], "s binary").repartition(3)
+    want = Counter()
+    for t in texts:
+        folded = [rest if first_rest <= x < end else x for x in t]
+        want.update(zip(folded, folded[1:]))
+    right, left = Counter(), Counter()
+    for r in M.neighbours(df, rest, end, first_rest, 2000, flush_at=100).collect():
+        for k, n in zip(np.frombuffer(r.right, np.uint32).tolist(), np.frombuffer(r.right_n, np.int64).tolist()):
+            right[k >> 16, k & 0xFFFF] += n
+        for k, n in zip(np.frombuffer(r.left, np.uint32).tolist(), np.frombuffer(r.left_n, np.int64).tolist()):
+            left[k & 0xFFFF, k >> 16] += n
+    assert right == want == left
+
+
+def test_score_equals_brute_force(spark, monkeypatch):
+    """The model's probability from the classes it found, word by word in plain Python."""
+    rows = corpus(200, seed=21)
+    kept, written = {}, M.written
+    monkeypatch.setattr(M, "written", lambda df, label: kept.setdefault(label, []).append(out := written(df, label)) or out)
+    monkeypatch.setattr(M, "dropped", lambda df: None)
+    got = M.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 10 != 0, clustered=6, classes=3, frequent=8).collect()
+    lexicon = {bytes(r.word): (r.c, r["class"]) for r in kept["lm-lexicon"][0].collect()}
+    endings = {bytes(r.ending): r.e_class for r in kept["lm-endings"][0].collect()}
+    words = lambda t: lower(t or "").encode().split()
+    train = [words(t) for i, t in rows if i is not None and i % 10]
+    assert {w: c for w, (c, _) in lexicon.items()} == Counter(w for t in train for w in t)
+    k = max(c for _, c in lexicon.values()) + 1
+    sizes = Counter(c for _, c in lexicon.values())
+    found = []
+
+    def class_of(w):
+        if w in lexicon:
+            return lexicon[w][1]
+        return endings.get(w[-3:] + (b"\xff" if any(b > 127 for b in w) else b""))
+
+    steps, after, into = Counter(), Counter(), Counter()
+    for t in train:
+        c = ["end", *map(class_of, t), "end"]
+        for a, b in zip(c, c[1:]):
+            steps[a, b] += 1
+            after[a] += 1
+            into[b] += 1
+    for g, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, len(words(r[1]))))):
+        c = ["end", *map(class_of, words(t)), "end"]
+        if None in c:
+            continue  # an ending that was never seen has the commonest class, which the tables don't tell
+        for total in range(k + 1, k + 4):  # classes, with those of words without one and of the end
+            p = sum(math.log10((steps[a, b] + 0.1) / (after[a] + 0.1 * total)) for a, b in zip(c, c[1:]))
+            p += sum(math.log10((lexicon.get(w, (0, 0))[0] + 0.1) / (into[x] + 0.1 * (sizes[x] + 1))) for w, x in zip(words(t), c[1:]))
+            if abs(p - g.score) < 1e-6:
+                found.append(total)
+                break
+        else:
+            raise AssertionError((i, t, g.score, p))
+    assert len(set(found)) == 1 and len(found) > 150

@@ -276,6 +276,13 @@ def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarr
         rest[i, old] -= n
         part[i, old] = _xlogx(rest[i, old])
         gain -= _xlogx(rest + n[:, None]) - part
+    # A class's pairs with itself grow on both sides at once.
+    own = np.repeat(np.diag(table)[None, :], len(old), 0)
+    own[i, old] -= right[i, old] + left[i, old]
+    np.maximum(own, 0, out=own)
+    both = np.nonzero((right > 0) & (left > 0))
+    r, l, own = right[both], left[both], own[both]
+    gain[both] += _xlogx(own + r + l) - _xlogx(own + r) - _xlogx(own + l) + _xlogx(own)
     gain = np.round(gain, 6)
     new = np.argmax(gain[:, : k - 2], 1)  # the last two classes are of the words that have none yet, and of the text's end
     return np.where((gain[i, new] > gain[i, old] + 1e-6) | (old == k - 2), new, old)
