@@ -6,6 +6,8 @@ Same content means equal (sha256, size); stubs are no candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,22 @@ def content_map(records: DataFrame) -> DataFrame:
     return records.groupBy("sha256").agg(F.min(F.struct("item", "version")).alias("m")).select("sha256", "m.item", "m.version")
 
 
+def looked_up(records: DataFrame, content: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """records with the item that a map of content (sha256, item) names for them, as canonical; the map may be a function of the records."""
+    found = content(records) if callable(content) else content
+    return records.join(found.select("sha256", F.col("item").alias("canonical")), "sha256")
+
+
+def repointed(references: DataFrame, moved: DataFrame) -> DataFrame:
+    """(holder, target, outcome) of references (holder, target, pending) after targets moved (target, to).
+
+    A reference to what moved goes to its new place: repointed. A pending one that stays is finished, the others are kept.
+    """
+    both = references.join(moved, "target", "left")
+    outcome = F.when(F.col("to").isNotNull(), "repointed").when(F.col("pending"), "finished").otherwise("kept")
+    return both.select("holder", F.coalesce("to", "target").alias("target"), outcome.alias("outcome"))
+
+
 def replaced(records: DataFrame, least_size: int = 1) -> DataFrame:
     """What a replacement run would make of each current duplicate: (idx, canonical, outcome).
 

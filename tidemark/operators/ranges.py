@@ -74,6 +74,21 @@ def blocked_writes(writes: DataFrame, claims: DataFrame, now_ms: int) -> DataFra
     return overlapping(writes, c).where("l.holder <> r.holder").select("l.file", "l.id").distinct()
 
 
+def acquired(requests: DataFrame, claims: DataFrame, now_ms: int) -> DataFrame:
+    """(file, id, outcome) of requests for claims (file, id, holder, start, end, shared), each met with the claims that hold now.
+
+    refused: an unexpired claim of another holder overlaps and they aren't both shared; renewed: the holder has that very
+    range already; else granted. Expired claims count for nothing, escalation-only ones only against their like.
+    """
+    held = live(claims, now_ms).where("not escalation_only").select("file", "holder", "start", "end", "shared")
+    met = overlapping(requests.select("file", "id", "holder", "start", "end", "shared"), held)
+    other = (F.col("l.holder") != F.col("r.holder")) & ~(F.col("l.shared") & F.col("r.shared"))
+    same = (F.col("l.holder") == F.col("r.holder")) & (F.col("l.start") == F.col("r.start")) & (F.col("l.end") == F.col("r.end")) & (F.col("l.shared") == F.col("r.shared"))
+    found = met.groupBy(F.col("l.file").alias("file"), F.col("l.id").alias("id")).agg(F.max(other).alias("other"), F.max(same).alias("same"))
+    outcome = F.when(F.col("other"), "refused").when(F.col("same"), "renewed").otherwise("granted")
+    return requests.join(found, ["file", "id"], "left").select("file", "id", outcome.alias("outcome"))
+
+
 def union(ranges: DataFrame, touching: bool = True) -> DataFrame:
     """(file, start, end): ranges that overlap, or touch, made one; a new island begins past the greatest end so far."""
     w = Window.partitionBy("file").orderBy("start", "end")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,23 @@ def walk(entries: DataFrame, root: str = "", depth: int = 0) -> DataFrame:
     return reduce(DataFrame.unionAll, [level.select(*columns) for level in levels])
 
 
+def found_by_id(entries: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
+    """(id, path, state) of wanted ids after a search of so many levels: found, not-searched if folders are left, else not-found."""
+    seen = walk(entries, depth=depth)
+    rest = seen.where(f"depth = {depth} and type = 'dir'").isEmpty()
+    both = wanted.select("id").join(seen.groupBy("id").agg(F.min("path").alias("path")), "id", "left")
+    return both.select("id", "path", F.when(F.col("path").isNotNull(), "found").otherwise("not-found" if rest else "not-searched").alias("state"))
+
+
+def each_folder(entries: DataFrame, call: Callable[[str, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What a callback makes of each folder and its items (id, name, type), by name. An error that it raises ends the walk."""
+
+    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
+        return call(key[0], items.drop(columns="parent").sort_values("name"))
+
+    return entries.select("parent", "id", "name", "type").groupBy("parent").applyInPandas(run, schema)
+
+
 def page(items: DataFrame, after: str | None, limit: int, *order: Column) -> DataFrame:
     """The limit rows after the one whose path is ``after``, with their position; an unknown cursor starts at the top."""
     keys = order or (F.lower("path"), F.col("path"))

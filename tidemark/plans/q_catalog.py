@@ -161,6 +161,21 @@ def x10(spark, sf):
     return effective(versions(spark, sf), dates(spark, sf)).where("not deleted").groupBy("key").agg(F.count("*").alias("versions"), F.min("eff").alias("first"), F.max("eff").alias("latest"), late.alias("past_changes"))
 
 
+_SINCE = "2024-01-20 00:00:00"
+
+
+@query("x10_history_calls", f"""SELECT 'listed' AS call, key, max_by(seq, (eff, seq)) AS seq FROM ({EFF_SQL}) e WHERE eff <= TIMESTAMP '{_SINCE}' AND starts_with(CAST(key AS VARCHAR), '1') GROUP BY key HAVING NOT max_by(deleted, (eff, seq))
+UNION ALL SELECT 'search', key, max_by(seq, (eff, seq)) FROM ({EFF_SQL}) WHERE eff <= TIMESTAMP '{_SINCE}' AND contains(CAST(key AS VARCHAR), '7') GROUP BY key HAVING NOT max_by(deleted, (eff, seq))
+UNION ALL SELECT 'past-changes', key, seq FROM ({EFF_SQL}) WHERE last_modified > TIMESTAMP '{_SINCE}' AND eff < TIMESTAMP '{_SINCE}' UNION ALL SELECT 'versions', key, seq FROM ({EFF_SQL}) WHERE key = 5 AND NOT deleted""")
+def x10_calls(spark, sf):
+    """The history as an object, several of its calls in one table."""
+    from tidemark.history import History
+
+    h = History(versions(spark, sf), dates(spark, sf))
+    call = lambda df, name: df.select(F.lit(name).alias("call"), "key", "seq")
+    return call(h.listed(_SINCE, "1"), "listed").unionAll(call(h.search("7", _SINCE), "search")).unionAll(call(h.past_changes(_SINCE), "past-changes")).unionAll(call(h.versions(5), "versions"))
+
+
 # Integrity.
 
 

@@ -11,7 +11,7 @@ from tidemark.operators import ranges as G
 from tidemark.operators import temporal as T
 from tidemark.operators import tree
 from tidemark.sources import records
-from tidemark.sources.adapters import C_SQL, E_SQL, EFF_SQL, K_SQL, V_SQL, claims, contents, dates, entries, locks, table, trash, versions
+from tidemark.sources.adapters import C_SQL, E_SQL, EFF_SQL, K_SQL, V_SQL, W_SQL, claims, contents, dates, entries, locks, table, trash, versions
 from tidemark.streaming import feed
 
 from . import q_catalog, q_temporal
@@ -364,6 +364,15 @@ def m17(spark, sf):
     return G.merged_claims(k.withColumn("file", F.col("id") % 50).withColumn("end", end).withColumn("start", F.col("start") % 700))
 
 
+@query("m17_acquire", f"""WITH c AS (SELECT * FROM ({W_SQL}) WHERE NOT escalation_only AND expires_at_ms > {q_catalog.NOW_MS}), q AS (SELECT file, id, holder + id % 2 AS holder, start, "end", shared FROM ({W_SQL}))
+SELECT file, id, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.file = q.file AND c.start < q."end" AND q.start < c."end" AND c.holder <> q.holder AND NOT (c.shared AND q.shared)) THEN 'refused'
+WHEN EXISTS (SELECT 1 FROM c WHERE c.file = q.file AND c.start = q.start AND c."end" = q."end" AND c.holder = q.holder AND c.shared = q.shared) THEN 'renewed' ELSE 'granted' END AS outcome FROM q""")
+def m17_acquire(spark, sf):
+    """Every claim asked for again, half of them by another holder, whole files among them."""
+    k = claims(spark, sf)
+    return G.acquired(k.withColumn("holder", F.col("holder") + F.col("id") % 2).select("file", "id", "holder", "start", "end", "shared"), k, q_catalog.NOW_MS)
+
+
 @query("m17_lock_ranges_held", f'SELECT file, holder, CAST(sum("end" - start) AS BIGINT) AS bytes, count(*) AS claims FROM ({K_SQL}) GROUP BY 1, 2')
 def m17_held(spark, sf):
     return locks(spark, sf).groupBy("file", "holder").agg(F.sum(F.col("end") - F.col("start")).alias("bytes"), F.count("*").alias("claims"))

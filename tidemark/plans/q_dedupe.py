@@ -127,6 +127,14 @@ def m12(spark, sf):
     return D.replaced(contents(spark, sf))
 
 
+@query("m12_repoint_finish", """SELECT doc_id AS holder, CASE WHEN doc_id * 2 % 5 = 0 THEN doc_id * 2 + 1 ELSE doc_id * 2 END AS target, CASE WHEN doc_id * 2 % 5 = 0 THEN 'repointed' WHEN doc_id % 3 = 0 THEN 'finished' ELSE 'kept' END AS outcome FROM documents""")
+def m12_repoint(spark, sf):
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    references = d.select(k.alias("holder"), (k * 2).alias("target"), (k % 3 == 0).alias("pending"))
+    moved = references.where("target % 5 = 0").select("target", (F.col("target") + 1).alias("to")).distinct()
+    return D.repointed(references, moved)
+
+
 @query("f15_checksums", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
 def f15(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))

@@ -111,6 +111,11 @@ def f06(spark, sf):
     return odd_names(spark, sf).select("doc_id", N.windows_stored(N.windows_shown(F.col("name"))).alias("back"))
 
 
+@query("f06_windows_shown", f"""SELECT doc_id, regexp_replace(regexp_replace(translate(name, ':' || chr(9), chr(61498) || chr(61449)), ' $', chr(61472)), '\\.$', chr(61486)) AS shown FROM ({_NAMES})""")
+def f06_shown(spark, sf):
+    return odd_names(spark, sf).select("doc_id", N.windows_shown(F.col("name")).alias("shown"))
+
+
 @query("f07_windows_paths", "SELECT page_id, replace(translate(replace(url, '/', chr(1)), ':?', chr(61498) || chr(61503)), chr(1), chr(92)) AS path FROM pages")
 def f07(spark, sf):
     return table(spark, sf, "pages").select("page_id", N.windows_path(F.col("url")).alias("path"))

@@ -9,7 +9,7 @@ from tidemark.functions import values as V
 from tidemark.operators.shared import saved, shared_folder
 from tidemark.sources.adapters import C_SQL, V_SQL, contents, table, versions
 from tidemark.sources.folder import listing
-from tidemark.sources.store import VersionStore
+from tidemark.sources.store import HistoryCache, VersionStore
 
 from .catalog import Catalog
 
@@ -23,11 +23,13 @@ def s01(spark, sf):
     return VersionStore(versions(spark, sf)).heads().select("key", "seq", "size")
 
 
-@query("s18_history_cache", f"SELECT key, count(*) AS n, max(seq) AS newest FROM ({V_SQL}) GROUP BY key")
+@query("s18_history_cache", f"SELECT key, count(*) AS n, max(seq) AS newest, count(*) FILTER (seq <= 600) AS cached FROM ({V_SQL}) GROUP BY key")
 def s18(spark, sf):
-    """A snapshot written once to the shared folder and read from there."""
-    cached = saved(versions(spark, sf).select("key", "seq"), "history")
-    return cached.groupBy("key").agg(F.count("*").alias("n"), F.max("seq").alias("newest"))
+    """A cache complete up to a mark that then moves on; what is newer comes from the store."""
+    cache = HistoryCache(versions(spark, sf).select("key", "seq"), 400).advanced(600)
+    held = cache.held.groupBy("key").agg(F.count("*").alias("cached"))
+    every = cache.read().groupBy("key").agg(F.count("*").alias("n"), F.max("seq").alias("newest"))
+    return every.join(held, "key", "left").select("key", "n", "newest", F.coalesce("cached", F.lit(0)).alias("cached"))
 
 
 @query("s21_content_map_store", f"SELECT sha256, arg_min(item, (item, version)) AS item FROM ({C_SQL}) GROUP BY sha256")
@@ -77,9 +79,14 @@ def f24(spark, sf):
     return table(spark, sf, "part").select("p_partkey", there_and_back(F.col("p_size") % 8).alias("r")).select("p_partkey", "r.*")
 
 
-@query("x07_pluggable_map", f"SELECT c.idx, m.item AS canonical FROM ({C_SQL}) c JOIN (SELECT sha256, max(item) AS item FROM ({C_SQL}) GROUP BY sha256) m ON c.sha256 = m.sha256")
+@query("x07_pluggable_map", f"""WITH m AS (SELECT sha256, max(item) AS item FROM ({C_SQL}) GROUP BY sha256), s AS (SELECT sha256, min(item) AS item FROM ({C_SQL}) WHERE idx % 2 = 0 GROUP BY sha256)
+SELECT c.idx, 'own' AS map, m.item AS canonical FROM ({C_SQL}) c JOIN m ON c.sha256 = m.sha256 UNION ALL SELECT c.idx, 'even', s.item FROM ({C_SQL}) c JOIN s ON c.sha256 = s.sha256""")
 def x07(spark, sf):
-    """Whatever maps content to items is a DataFrame given by the caller."""
+    """Whatever maps content to items is the caller's: here two maps, one given as a table and one as a function."""
+    from tidemark.operators.dedupe import looked_up
+
     c = contents(spark, sf)
-    own = c.groupBy("sha256").agg(F.max("item").alias("canonical"))
-    return c.join(own, "sha256").select("idx", "canonical")
+    own = c.groupBy("sha256").agg(F.max("item").alias("item"))
+    even = lambda records: records.where("idx % 2 = 0").groupBy("sha256").agg(F.min("item").alias("item"))
+    pick = lambda df, name: df.select("idx", F.lit(name).alias("map"), "canonical")
+    return pick(looked_up(c, own), "own").unionAll(pick(looked_up(c, even), "even"))

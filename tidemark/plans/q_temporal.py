@@ -70,9 +70,13 @@ def s07(spark, sf):
     return s06(spark, sf).where("key > 20").orderBy("key").limit(10)
 
 
-@query("s08_paged_fold", f"SELECT key // 10 AS page, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM ({V_SQL}) WHERE NOT deleted GROUP BY 1")
+@query("s08_paged_fold", f"SELECT (n - 1) // 1000 AS page, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(seq) AS cursor FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ({V_SQL}) WHERE NOT deleted) GROUP BY 1")
 def s08(spark, sf):
-    return versions(spark, sf).where("not deleted").groupBy(F.floor(F.col("key") / 10).cast("long").alias("page")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    """A listing in pages of a thousand, each with its sums and the cursor that the next one goes on from."""
+    from tidemark.operators.dedupe import ranked
+
+    rows = ranked(versions(spark, sf).where("not deleted").select("seq", "size"), [F.asc("seq")], "n")
+    return rows.groupBy(F.floor((F.col("n") - 1) / 1000).alias("page")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("seq").alias("cursor"))
 
 
 @query("f02_store_second", "SELECT event_id, date_trunc('second', ts) AS second FROM events")

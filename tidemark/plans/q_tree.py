@@ -62,6 +62,15 @@ def t07(spark, sf):
     return walked(spark, sf).where("id = 'o77'").select("id", "path", "depth")
 
 
+@query("t07_budgeted_search", f"""{WALK_SQL}, q AS (SELECT DISTINCT CASE WHEN l_partkey % 2 = 0 THEN 'o' || l_orderkey ELSE 'n' || (l_partkey % 40) END AS id FROM lineitem)
+SELECT q.id, p.path, CASE WHEN p.path IS NULL THEN 'not-searched' ELSE 'found' END AS state FROM q LEFT JOIN (SELECT id, min(path) AS path FROM w WHERE depth <= 3 GROUP BY id) p ON p.id = q.id""")
+def t07_budgeted(spark, sf):
+    """A search that stops after three levels: what lies deeper isn't searched, rather than not there."""
+    k = F.col("l_partkey")
+    wanted = table(spark, sf, "lineitem").select(F.when(k % 2 == 0, F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).otherwise(F.concat(F.lit("n"), (k % 40).cast("string"))).alias("id")).distinct()
+    return T.found_by_id(entries(spark, sf), wanted, 3)
+
+
 def linked(spark, sf):
     """Parts as files with a name in each order that lists them: hard links."""
     li = table(spark, sf, "lineitem")
@@ -185,7 +194,12 @@ def u02(spark, sf):
     return a.exceptAll(b).select(F.lit("without").alias("side"), "*").unionAll(b.exceptAll(a).select(F.lit("with").alias("side"), "*"))
 
 
-@query("x06_walk_callback", f"SELECT parent, count(*) AS items, min(name) AS first FROM ({E_SQL}) GROUP BY parent")
+@query("x06_walk_callback", f"SELECT parent AS folder, count(*) AS items, min(name) AS first, string_agg(id, ',' ORDER BY name) AS ids FROM ({E_SQL}) GROUP BY parent")
 def x06(spark, sf):
-    """A folder at a time: what a callback on (folder, items) would sum up, as an aggregate."""
-    return entries(spark, sf).groupBy("parent").agg(F.count("*").alias("items"), F.min("name").alias("first"))
+    """A caller's function on every folder and its items."""
+    import pandas as pd
+
+    def told(folder, items):
+        return pd.DataFrame({"folder": [folder], "items": [len(items)], "first": [items["name"].iloc[0]], "ids": [",".join(items["id"])]})
+
+    return T.each_folder(entries(spark, sf), told, "folder string, items long, first string, ids string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.shared import saved
 from tidemark.operators.temporal import as_of, effective, newest
 
 
@@ -31,3 +32,22 @@ class VersionStore:
     def at(self, moment: str) -> DataFrame:
         """Each key's version at a moment, declared dates counted."""
         return as_of(effective(self.versions, self.dates), moment)
+
+
+class HistoryCache:
+    """Key histories written to the shared folder, complete up to a mark; newer versions are read from the store itself."""
+
+    def __init__(self, versions: DataFrame, upto: int):
+        self.store, self.upto = versions, upto
+        self.held = saved(versions.where(F.col("seq") <= upto), "history")
+
+    def read(self) -> DataFrame:
+        """All versions: those up to the mark from the cache, the others from the store."""
+        return self.held.unionByName(self.store.where(F.col("seq") > self.upto))
+
+    def advanced(self, upto: int) -> HistoryCache:
+        """A cache complete up to a later mark, of which only the part in between is read from the store."""
+        later = object.__new__(HistoryCache)
+        later.store, later.upto = self.store, upto
+        later.held = self.held.unionByName(saved(self.store.where((F.col("seq") > self.upto) & (F.col("seq") <= upto)), "history"))
+        return later
