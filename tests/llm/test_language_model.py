@@ -156,3 +156,7 @@ def test_score_equals_brute_force(spark, monkeypatch):
         else:
             raise AssertionError((i, t, g.score, p))
     assert len(set(found)) == 1 and len(found) > 150
+
+
+def test_least_count_keeps_words_of_one_count_together():
+    assert M.least_count({5: 2, 3: 4, 1: 100}, 6) == 3 and M.least_count({5: 2, 3: 4, 1: 100}, 5) == 5 and M.least_count({1: 9}, 8) == 2 and M.least_count({}, 8) == 1 and M.least_count({2: 1, 1: 1}, 8) == 1

@@ -402,6 +402,17 @@ def _lists(batch: pa.RecordBatch, *places: int) -> Iterator[list[np.ndarray]]:
         yield [x[a:b] for x in flat]
 
 
+def least_count(words: dict[int, int], most: int) -> int:
+    """The least count such that at most ``most`` words have it or more, from the numbers of words by count. Words of one count are all in or all out."""
+    total, least = 0, max(words, default=0) + 1
+    for c in sorted(words, reverse=True):
+        total += words[c]
+        if total > most:
+            break
+        least = c
+    return least
+
+
 def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int = 48, frequent: int = 60_000, smooth: float = 0.1, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row.
 
@@ -426,8 +437,8 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     n_all, v_all = total + ends, distinct + (ends > 0)
     unigram = -math.log10(n_all + 0.1 * (v_all + 1))
 
-    top = [(bytes(r[0]), r[1]) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()]
-    cut = top[-1][1] if len(top) >= frequent else 0
+    least = least_count({r["c"]: r["n"] for r in vocabulary.groupBy("c").agg(F.count("*").alias("n")).collect()}, frequent)
+    top = sorted(((bytes(r[0]), r[1]) for r in vocabulary.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
     rest, end = len(top), len(top) + 1
 
     def make():
@@ -488,10 +499,10 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
         types[r["class"]] += r["count"]
     class_of = of.copy()
     if n_exchanged < len(top):
-        class_of[:rest] = [r[0] for r in lexicon.orderBy(F.desc("c"), "word").limit(frequent).select("class").collect()]
+        class_of[:rest] = [r[2] for r in sorted((-r["c"], bytes(r["word"]), r["class"]) for r in lexicon.where(F.col("c") >= least).collect())]
 
     own = parts.select("key", "doc_id", "learns", "s", "known", "base", "model")
-    rare_words = lexicon.where(F.col("c") <= cut) if cut else lexicon.limit(0)
+    rare_words = lexicon.where(F.col("c") < least)
     rare = parts.select("key", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("at").alias("at"))))
     rare = rare.join(rare_words.hint("shuffle_hash"), "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
