@@ -119,7 +119,7 @@ def test_score_equals_brute_force(spark, monkeypatch):
     """The model's probability from the classes it found, word by word in plain Python."""
     rows = corpus(200, seed=21)
     kept, written = {}, M.written
-    monkeypatch.setattr(M, "written", lambda df, label: kept.setdefault(label, []).append(out := written(df, label)) or out)
+    monkeypatch.setattr(M, "written", lambda df, label, *codec: kept.setdefault(label, []).append(out := written(df, label, *codec)) or out)
     monkeypatch.setattr(M, "dropped", lambda df: None)
     got = M.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 10 != 0, clustered=6, classes=3, frequent=8).collect()
     lexicon = {bytes(r.word): (r.c, r["class"]) for r in kept["lm-lexicon"][0].collect()}

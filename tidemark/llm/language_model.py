@@ -459,7 +459,7 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
         return one
 
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", chosen.alias("learns"), "text")
-    parts = written(map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, s binary, known long, base double, model double, words array<binary>, at array<int>", 128), "lm-parts")
+    parts = written(map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, s binary, known long, base double, model double, words array<binary>, at array<int>", 128), "lm-parts", "zstd")
 
     # Classes of the frequent words: the most frequent start them, then all are exchanged.
     n_exchanged = sum(c > 1 for _, c in top)
@@ -485,13 +485,13 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     found = exchanged.unionAll(joined).groupBy("h").agg(F.min("class").alias("class"))
     # The classes of all words: their own, or for words seen once that of their ending.
     own_class = vocabulary.withColumn("h", F.shiftrightunsigned(F.xxhash64("word"), 16)).join(found, "h", "left").select("word", "c", F.when(F.col("c") > 1, F.col("class")).alias("class"))
-    own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own")
+    own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own", "zstd")
     dropped(vocabulary)
     by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
     by_ending = written(by_ending, "lm-endings")
     by_ending = F.broadcast(by_ending) if by_ending.count() <= most_broadcast else by_ending
     other = int(np.argmax(np.bincount(of[:n_exchanged], minlength=k)[: k - 2])) if n_exchanged else 0
-    lexicon = written(own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class")), "lm-lexicon")
+    lexicon = written(own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class")), "lm-lexicon", "zstd")
     dropped(own_class)
 
     types = np.ones(k)  # distinct words of each class; one more for those not met
@@ -511,7 +511,7 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
         F.collect_list(F.struct("at", F.coalesce("class", "e_class", F.lit(other)).alias("class"))).alias("r_classes"),
     )
     sums = [(F.col(x) + F.coalesce(f"r_{x}", F.lit(0))).alias(x) for x in ("known", "base", "model")]
-    both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed")
+    both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed", "zstd")
     dropped(parts)
 
     def classed(batch: pa.RecordBatch, s: int, at: int, to: int) -> Iterator[np.ndarray]:
