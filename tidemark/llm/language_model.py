@@ -393,13 +393,48 @@ def inserted(texts: DataFrame, of: np.ndarray, table: np.ndarray, tokens: int, f
     return sent.repartition("bucket").select("keys", "counts").mapInArrow(place, "h long, class int")
 
 
-def _lists(batch: pa.RecordBatch, *places: int) -> Iterator[list[np.ndarray]]:
-    """Of each row the lists in some columns, null ones as empty."""
-    lengths = batch.column(places[0]).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lengths)
-    flat = [batch.column(p).flatten().to_numpy(zero_copy_only=False) for p in places]
-    for a, b in zip((ends - lengths).tolist(), ends.tolist()):
-        yield [x[a:b] for x in flat]
+def classed(rows: DataFrame, class_of: np.ndarray, k: int, smooth: float, at_once: int = 16_000) -> DataFrame:
+    """(doc_id, learns, classes binary, known, base, model): each text's classes and sums, from its own row and those of its rare words.
+
+    rows: a text's own row (place 0) has its ids and sums; any others with its key have a rare word's place, class and
+    count. Sorted by key, they are read in turn: what is held is the texts of some batches, or one text.
+    """
+    kind, doc_type = np.min_scalar_type(k), rows.schema["doc_id"].dataType.simpleString()
+
+    def settled(held: pa.Table) -> pa.RecordBatch:
+        key, at, to, c = (held[x].to_numpy() for x in ("key", "at", "class", "c"))
+        own = at == 0
+        texts, keys, at, to, c = held.filter(pa.array(own)), key[own], at[~own], to[~own], c[~own]
+        text = np.searchsorted(keys, key[~own])
+        ends = np.searchsorted(text, np.arange(len(keys) + 1))
+        known, base, model = (texts[x].to_numpy() + np.bincount(text, y, len(keys)) for x, y in (("known", c > 0), ("base", np.log10(c + 0.1)), ("model", np.log10(c + smooth))))
+        classes = []
+        for s, a, b in zip(texts["s"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            x = class_of[np.frombuffer(s, np.uint16)]
+            x[at[a:b]] = to[a:b]
+            classes.append(x.astype(kind).tobytes())
+        columns = [texts["doc_id"].combine_chunks(), texts["learns"].combine_chunks(), pa.array(classes, pa.binary()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "learns", "classes", "known", "base", "model"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, due = [], 0, at_once
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < due:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last text may go on in the next batch
+            if cut:
+                yield settled(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            size -= cut
+            due = max(at_once, 2 * size)
+        if size:
+            yield settled(pa.Table.from_batches(held))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"doc_id {doc_type}, learns boolean, classes binary, known long, base double, model double")
 
 
 def least_count(words: dict[int, int], most: int) -> int:
@@ -501,35 +536,25 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     if n_exchanged < len(top):
         class_of[:rest] = [r[2] for r in sorted((-r["c"], bytes(r["word"]), r["class"]) for r in lexicon.where(F.col("c") >= least).collect())]
 
-    own = parts.select("key", "doc_id", "learns", "s", "known", "base", "model")
     rare_words = lexicon.where(F.col("c") < least)
     rare = parts.select("key", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("at").alias("at"))))
     rare = rare.join(rare_words.hint("shuffle_hash"), "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = rare.groupBy("key").agg(
-        F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 0.1)).alias("r_base"), F.sum(F.log10(c + smooth)).alias("r_model"),
-        F.collect_list(F.struct("at", F.coalesce("class", "e_class", F.lit(other)).alias("class"))).alias("r_classes"),
-    )
-    sums = [(F.col(x) + F.coalesce(f"r_{x}", F.lit(0))).alias(x) for x in ("known", "base", "model")]
-    both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed", "zstd")
+    rare = rare.select("key", "at", F.coalesce("class", "e_class", F.lit(other)).alias("class"), F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    own = parts.select("key", F.lit(0).alias("at"), F.lit(0).alias("class"), F.lit(0).cast("long").alias("c"), "doc_id", "learns", "s", "known", "base", "model")
+    both = written(classed(own.unionByName(rare, allowMissingColumns=True), class_of, k, smooth), "lm-classed", "zstd")
     dropped(parts)
-
-    def classed(batch: pa.RecordBatch, s: int, at: int, to: int) -> Iterator[np.ndarray]:
-        """The classes of each text of a batch, from columns with its ids, and the places and classes of its rare words."""
-        for ids, (where, classes) in zip(batch.column(s), _lists(batch, at, to)):
-            out = class_of[np.frombuffer(ids.as_py(), np.uint16)].astype(np.int64)
-            out[where] = classes
-            yield out
+    kept = np.min_scalar_type(k)
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(k * k, np.int64)
         for batch in batches:
-            for x in classed(batch, 0, 1, 2):
+            for (x,) in rows_of(batch):
+                x = np.frombuffer(x, kept).astype(np.int64)
                 np.add.at(n, x[:-1] * k + x[1:], 1)
         f = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(f // k, pa.int32()), pa.array(f % k, pa.int32()), pa.array(n[f], pa.int64())], names=["a", "b", "n"])
 
-    got = both.where("learns").select("s", "at", "to").mapInArrow(counting, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    got = both.where("learns").select("classes").mapInArrow(counting, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     steps = np.zeros((k, k))
     if got.num_rows:
         steps[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
@@ -539,14 +564,15 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, extra = [], []
-            for x in classed(batch, 1, 2, 3):
+            for x in batch.column(1):
+                x = np.frombuffer(x.as_py(), kept).astype(np.int64)
                 n.append(len(x) - 1)
                 extra.append(float(log_step[x[:-1], x[1:]].sum()) + float(log_class[x[1:-1]].sum()))
-            n, model = np.array(n, np.int64), batch.column(6).to_numpy(zero_copy_only=False) + np.array(extra)
+            n, model = np.array(n, np.int64), batch.column(4).to_numpy(zero_copy_only=False) + np.array(extra)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), batch.column(4), pa.array(np.full(len(n), n_all)), batch.column(5), pa.array(model), pa.array(10 ** (-model / n))],
+                [batch.column(0), pa.array(n), batch.column(2), pa.array(np.full(len(n), n_all)), batch.column(3), pa.array(model), pa.array(10 ** (-model / n))],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
     out = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return both.select("doc_id", "s", "at", "to", "known", "base", "model").mapInArrow(scored, out)
+    return both.select("doc_id", "classes", "known", "base", "model").mapInArrow(scored, out)
