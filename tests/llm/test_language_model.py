@@ -160,29 +160,3 @@ def test_score_equals_brute_force(spark, monkeypatch):
 
 def test_least_count_keeps_words_of_one_count_together():
     assert M.least_count({5: 2, 3: 4, 1: 100}, 6) == 3 and M.least_count({5: 2, 3: 4, 1: 100}, 5) == 5 and M.least_count({1: 9}, 8) == 2 and M.least_count({}, 8) == 1 and M.least_count({2: 1, 1: 1}, 8) == 1
-
-
-def test_texts_meet_their_rare_words_over_many_batches(spark):
-    rng, k, class_of = random.Random(3), 300, np.arange(1 << 16, dtype=np.int32) % 300
-    rows, want = [], {}
-    for key in range(60):
-        ids = [rng.randrange(1000) for _ in range(rng.choice([2, 3, 40, 400]))]
-        rare = [(at, rng.randrange(k), rng.randrange(3)) for at in range(1, len(ids) - 1) if rng.random() < 0.7]
-        rows.append((key, 0, 0, 0, f"d{key // 2}", True, bytearray(np.array(ids, np.uint16).tobytes()), 5, -1.0, -2.0))
-        rows += [(key, at, to, c, *[None] * 6) for at, to, c in rare]
-        x = [i % 300 for i in ids]
-        for at, to, _ in rare:
-            x[at] = to
-        want[f"d{key // 2}", tuple(x)] = (5 + sum(c > 0 for _, _, c in rare), -1 + sum(math.log10(c + 0.1) for _, _, c in rare), -2 + sum(math.log10(c + 0.5) for _, _, c in rare))
-    rng.shuffle(rows)
-    schema = "key long, at int, class int, c long, doc_id string, learns boolean, s binary, known long, base double, model double"
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = M.classed(spark.createDataFrame(rows, schema), class_of, k, 0.5, at_once=20).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert len(got) == 60
-    for r in got:
-        known, base, model = want[r["doc_id"], tuple(np.frombuffer(r["classes"], np.uint16).tolist())]
-        assert r["known"] == known and abs(r["base"] - base) < 1e-9 and abs(r["model"] - model) < 1e-9
