@@ -135,3 +135,48 @@ def test_shingles():
     assert len(shingle_set("a b c d e f a b c d e", h)) == 6 and len(shingle_set("a b", h)) == 1 and len(shingle_set(None, h)) == 0
     assert shingle_set("A b", h).tolist() == shingle_set("a\n B ", h).tolist() != shingle_set("b a", h).tolist()
     assert F is not None
+
+
+def test_linked_sets_have_a_key_in_common():
+    rng = np.random.default_rng(3)
+    frequent = rng.integers(0, 2**63, 400).astype(np.uint64)
+    of, met = J.Parts(J.Order(frequent)), 0
+    for n in [1, 2, 3, 4, 5, 7, 20, 44, 59, 60, 61, 80, 133, 199, 200, 300, 900] * 12:
+        own = np.unique(np.concatenate([rng.choice(frequent, min(n // 3, 300), replace=False), rng.integers(0, 2**63, n - min(n // 3, 300)).astype(np.uint64)]))
+        n = len(own)
+        kept = rng.permutation(own)[: rng.integers(J.least_common(n), n + 1)]
+        more = rng.integers(0, 2**63, int(len(kept) / 0.75) - n if len(kept) / 0.75 > n else 0).astype(np.uint64)
+        other = np.unique(np.concatenate([kept, more]))
+        if 100 * len(kept) >= 75 * (n + len(other) - len(kept)):
+            met += 1
+            assert np.intersect1d(of.keys(own), of.keys(other)).size, n
+    assert met > 150
+
+
+def test_a_sieve_finds_all_that_was_put_in():
+    rng = np.random.default_rng(4)
+    numbers, others = rng.integers(-(2**63), 2**63, 5000), rng.integers(-(2**63), 2**63, 20_000)
+    sieve = J.Sieve(np.append(numbers, [0, -1]))
+    assert sieve.has(np.append(numbers, [0, -1])).all() and sieve.has(others).mean() < 0.01
+    assert not J.Sieve(numbers[:0]).has(others).any()
+
+
+def test_shared_passages_join_no_groups(spark, monkeypatch):
+    """Families of copies in a ring, each with a passage of the next: before, all were one group, copied for each prefix n-gram."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages, rows, want = [words(40) for _ in range(30)], [], {}
+    for f in range(30):
+        text = words(200) + passages[f] + passages[(f + 1) % 30]
+        for k in range(3):
+            rows.append((f * 3 + k, " ".join(text[:100] + [f"x{k}"] + text[101:])))
+            want[f * 3 + k] = f * 3
+
+    def never(*args):
+        raise AssertionError("a group of families that aren't linked")
+
+    monkeypatch.setattr(J, "_by_prefix", never)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for most_ids in (0, 500_000):
+        got = J.linked_classes(df, most_in_group=5000, most_blocks=1, most_ids=most_ids, most_frequent=0).collect()
+        assert {r.doc_id: r.component_id for r in got} == want

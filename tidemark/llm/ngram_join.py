@@ -5,10 +5,14 @@
    Which ones count as frequent only decides how much work is saved: any order gives the same links. If two sets are similar enough, long enough prefixes of them
    share n-grams; how many at least follows from the sizes. Prefixes are dealt out by n-gram in packed blocks, and the
    classes that share fewer n-grams with any other than a link would need are set aside: they link with nothing.
-3. What is left falls into groups that share prefix n-grams. A group's sets are stored in a prefix tree (most frequent
-   n-gram first, so that similar sets share paths), and each query set walks it once: overlaps are counted once for
-   each shared path, and subtrees whose remaining lengths can't bring the overlap needed are pruned.
-4. Groups above a size are cut into blocks, and each pair of blocks has a tree of its own; in groups that would need very
+3. What is left falls into groups that share a part: n-grams are dealt to parts by hash, about two of a set in each, and
+   sets that link are the same in more of them than they can differ in others. So a shared n-gram alone seldom joins
+   two groups. A group's sets are stored in a prefix tree (most frequent n-gram first, so that similar sets share paths), and each
+   query set walks it once: overlaps are counted once for each shared path, and subtrees whose remaining lengths can't
+   bring the overlap needed are pruned.
+4. Groups above a size are sliced first: n-grams are dealt to slices by hash, and sets that link do so in one slice at
+   least, by the mean. Sets that link in no slice part; each n-gram moves once. What then still is above the size is
+   cut into blocks, and each pair of blocks has a tree of its own; in groups that would need very
    many blocks, sets meet by prefix n-gram instead. Exact for groups of any size.
 
 Links within a component aren't all checked: a pair that is connected already is left out, which alters no component.
@@ -16,6 +20,7 @@ Links within a component aren't all checked: a pair that is connected already is
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, dropped, flat_map_rows, map_rows, rows_of, small_batches, written
+from .common import WordHashes, dropped, flat_map_rows, rows_of, small_batches, written
 from .components import Forest, components
 from .shingles import shingle_set
 
@@ -62,6 +67,13 @@ class Order:
         by_hash = np.argsort(frequent)
         self.frequent, self.rank = frequent[by_hash], by_hash
 
+    def ranks(self, grams: np.ndarray) -> np.ndarray:
+        """The place of each n-gram among the frequent ones, -1 for all others."""
+        if not len(self.frequent):
+            return np.full(len(grams), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == grams, self.rank[at], -1)
+
     def sorted(self, grams: np.ndarray) -> np.ndarray:
         """A set that is sorted by hash, in the global order."""
         if not len(self.frequent):
@@ -72,6 +84,80 @@ class Order:
         return np.concatenate([grams[~hit], late[np.argsort(self.rank[at[hit]])]])
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Parts:
+    """Keys of sets, of which two that link have one in common.
+
+    Sizes fall into classes so wide that linked sets are of the same or neighbouring ones; a band is two neighbouring
+    classes. For each of its two bands a set's n-grams are dealt to parts by hash, and the n-grams of a part make a key.
+    Linked sets differ in at most d = most_apart() n-grams of the smaller, so in at most d parts: if one of them has more
+    than d parts with n-grams, a part is the same in both, and one such is among the first d + 1 of each in any order of all
+    keys. First come parts with an n-gram that isn't frequent, large ones before small ones. Sets with too few parts
+    give the n-grams of their prefix as keys too, by which two such sets meet.
+    """
+
+    def __init__(self, order: Order, link: tuple[int, int] = LINK):
+        self.order, self.link, self.begins = order, link, [1]
+
+    def most_apart(self, n: int) -> int:
+        return n * (self.link[1] - self.link[0]) // self.link[0]
+
+    def size_class(self, n: int) -> int:
+        while len(self.begins) < 3 or self.begins[-3] <= n:
+            self.begins.append(self.begins[-1] * self.link[1] // self.link[0] + 1)
+        return bisect.bisect_right(self.begins, n) - 1
+
+    def parts(self, band: int) -> int:
+        """How many parts the sets of a band have; 0: each n-gram is one."""
+        top = self.begins[band + 2] - 1
+        return 0 if top < 60 else round(top / (1.5 if top < 200 else 2.2))
+
+    def keys(self, grams: np.ndarray) -> np.ndarray:
+        """grams: a set that is sorted by hash."""
+        n = len(grams)
+        own, mixed, ranks, out, few = self.size_class(n), _mixed(grams), self.order.ranks(grams), [], False
+        for band in range(max(0, own - 1), own + 1):
+            parts, sums, first, size = self.parts(band), mixed, ranks, np.ones(n, np.int64)
+            if parts:
+                part = grams % np.uint64(parts)
+                by = np.argsort(part, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(part[by]) != 0))
+                sums, first, size = np.add.reduceat(mixed[by], starts), np.minimum.reduceat(ranks[by], starts), np.diff(np.append(starts, n))
+                few |= len(starts) <= self.most_apart(n)
+            sums = _mixed(sums + np.uint64(band + 1))
+            out.append(sums[np.lexsort((sums, -size, first))[: self.most_apart(n) + 1]])
+        if few:
+            out.append(self.order.sorted(grams)[: n - least_common(n, self.link) + 1])
+        return np.unique(np.concatenate(out))
+
+
+class Sieve:
+    """64-bit numbers in 16 to 32 bits each: what was put in is found, other numbers about once in 400 times at most."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.digits = max(16, (16 * len(numbers)).bit_length())
+        bits = np.zeros(1 << (self.digits - 3), np.uint8)
+        h = numbers.astype(np.int64).view(np.uint64)
+        step = _mixed(h) | np.uint64(1)
+        for k in range(4):
+            at = _mixed(h + np.uint64(k) * step) >> np.uint64(64 - self.digits)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        self.bits = bits
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        h = numbers.astype(np.int64).view(np.uint64)
+        step, found = _mixed(h) | np.uint64(1), np.ones(len(h), bool)
+        for k in range(4):
+            at = _mixed(h + np.uint64(k) * step) >> np.uint64(64 - self.digits)
+            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
 def signature(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -368,7 +454,7 @@ def _grouped(rows: DataFrame, keys: list[str], link: tuple[int, int]) -> DataFra
 
 
 def _roots(sigs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures, for each the least one that shared n-grams connect it with, and where each of sigs is among them."""
+    """Distinct signatures, for each the least one that n-grams or keys connect it with, and where each of sigs is among them."""
     every, at = np.unique(sigs, return_inverse=True)
     order = np.lexsort((at, grams))
     grams, sorted_at = grams[order], at[order]
@@ -381,38 +467,41 @@ def _roots(sigs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return every, every[np.array([forest.root(i) for i in range(len(every))], np.int64)], at
 
 
-def _prefixes(whole: DataFrame, parts: int, order: Order, link: tuple[int, int], flush_at: int = 250_000) -> DataFrame:
-    """(bucket, sigs, grams, a, b): prefix n-grams dealt to buckets, and links a to b found on the way.
+def _dealt(whole: DataFrame, buckets: int, order: Order, link: tuple[int, int], flush_at: int = 250_000) -> DataFrame:
+    """(bucket, sigs, at, keys, a, b): keys of parts dealt to buckets, and links a to b found on the way.
 
-    What shared n-grams connect within a block of sets is linked on the spot and goes on as one, so that at most an
-    entry for each block meets for an n-gram, however many sets have it.
+    What keys connect within a block of sets is linked on the spot and goes on as one, so that at most an entry for each
+    block meets for a key, however many sets have it. Of a key 48 bits go on besides its bucket, and the place of its
+    set among the sigs of the row: keys that are alike by chance only make a group larger.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("grams", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("at", pa.binary()), ("keys", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sigs, held, size = [], [], 0
+        of, held_sigs, held, size = Parts(order, link), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams = np.concatenate(held)
-            every, roots, at = _roots(np.repeat(np.array(held_sigs, np.int64), [len(g) for g in held]), grams)
+            keys = np.concatenate(held)
+            every, roots, at = _roots(np.repeat(np.array(held_sigs, np.int64), [len(g) for g in held]), keys)
             none = lambda n, kind: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([none(len(every), pa.int32()), none(len(every), pa.binary()), none(len(every), pa.binary()), pa.array(every), pa.array(roots)], schema=schema)
-            by = np.lexsort((roots[at], grams))
-            grams, owners = grams[by], roots[at][by]
-            first = np.append(True, (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1]))
-            grams, owners = grams[first], owners[first]
-            bucket = (grams % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            grams, owners, bucket = grams[by], owners[by], bucket[by]
+            yield pa.RecordBatch.from_arrays([none(len(every), f.type) for f in list(schema)[:4]] + [pa.array(every), pa.array(roots)], schema=schema)
+            owners = roots[at]
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((owners, keys, bucket))
+            keys, owners, bucket = keys[by], owners[by], bucket[by]
+            first = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))
+            keys, owners, bucket = keys[first], owners[first], bucket[first]
             cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            rows = [(int(bucket[i]), owners[i:j].tobytes(), grams[i:j].tobytes(), None, None) for i, j in zip(cuts[:-1], cuts[1:])]
+            rows = []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                sigs, place = np.unique(owners[i:j], return_inverse=True)
+                low = (keys[i:j] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((int(bucket[i]), sigs.tobytes(), place.astype("<u2" if len(sigs) <= 1 << 16 else "<u4").tobytes(), low.tobytes(), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
             for sig, packed in rows_of(batch):
-                grams = order.sorted(np.frombuffer(packed, np.uint64))
                 held_sigs.append(sig)
-                held.append(grams[: len(grams) - least_common(len(grams), link) + 1])
+                held.append(of.keys(np.frombuffer(packed, np.uint64)))
                 size += len(held[-1])
                 if size > flush_at:
                     yield from flush()
@@ -420,13 +509,16 @@ def _prefixes(whole: DataFrame, parts: int, order: Order, link: tuple[int, int],
         if held:
             yield from flush()
 
-    return whole.select("sig", "grams").mapInArrow(run, "bucket int, sigs binary, grams binary, a long, b long")
+    return whole.select("sig", "grams").mapInArrow(run, "bucket int, sigs binary, at binary, keys binary, a long, b long")
 
 
 def _group_edges(table: pa.Table) -> pa.Table:
-    """For one bucket: each class with the least class that shared n-grams connect it with there."""
-    rows = table.to_pydict()
-    every, roots, _ = _roots(np.concatenate([np.frombuffer(x, np.int64) for x in rows["sigs"]]), np.concatenate([np.frombuffer(x, np.uint64) for x in rows["grams"]]))
+    """For one bucket: each class with the least class that keys connect it with there."""
+    rows, sigs = table.to_pydict(), []
+    keys = [_unpack(x, 6) for x in rows["keys"]]
+    for own, at, k in zip(rows["sigs"], rows["at"], keys):
+        sigs.append(np.frombuffer(own, np.int64)[np.frombuffer(at, "<u2" if len(at) == 2 * len(k) else "<u4")])
+    every, roots, _ = _roots(np.concatenate(sigs), np.concatenate(keys))
     return pa.table({"a": pa.array(every), "b": pa.array(roots)})
 
 
@@ -438,6 +530,27 @@ def _block_pairs(rows: DataFrame, keys: list[str], most_in_group: int) -> DataFr
     return pairs.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "grams")
 
 
+def _slices(rows: DataFrame, most_in_group: int) -> DataFrame:
+    """(root, slice, sig, grams): the n-grams of large groups dealt to slices, each of about the size of one tree.
+
+    Overlap and sizes of two sets add up over slices. If they link, then the overlap in some slice is as large a part
+    of their sizes there: in it they link too.
+    """
+
+    def cut():
+        def one(row):
+            root, total, sig, packed = row
+            grams = np.frombuffer(packed, np.uint64)
+            of = ((_mixed(grams) >> np.uint64(32)) % np.uint64(-(-total // most_in_group))).astype(np.int64)
+            grams, of = grams[(by := np.argsort(of, kind="stable"))], of[by]
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(of) != 0)), len(of)).tolist()
+            return [(root, int(of[i]), sig, grams[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
+
+        return one
+
+    return flat_map_rows(rows.select("root", "total", "sig", "grams"), cut, "root long, slice int, sig long, grams binary")
+
+
 def _by_prefix(rows: DataFrame, order: Order, link: tuple[int, int], most_in_group: int) -> DataFrame:
     """(a, b): links within groups too large for blocks of the whole group: sets meet by prefix n-gram instead.
 
@@ -459,6 +572,29 @@ def _by_prefix(rows: DataFrame, order: Order, link: tuple[int, int], most_in_gro
     return _grouped(_block_pairs(met, ["root", "gram"], most_in_group), ["root", "gram", "i", "j"], link)
 
 
+def _sieved(rows: DataFrame, left: DataFrame, ngram: int) -> DataFrame:
+    """(sig, n, grams) of the rows of the classes in left, and of a few others."""
+    spark = rows.sparkSession
+    wanted = left.select(F.xxhash64("least").alias("id"), "sig").toArrow()
+    sieves = spark.sparkContext.broadcast([Sieve(wanted[c].to_numpy()) for c in ("id", "sig")])
+    del wanted
+    schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (ids, sigs) = WordHashes(), sieves.value
+        for batch in batches:
+            out = []
+            for (text,) in rows_of(batch.filter(pa.array(ids.has(batch["id"].to_numpy()))).select(["text"])):
+                grams = shingle_set(text, hashes, ngram)
+                if len(grams):
+                    out.append((signature(grams), len(grams), grams.tobytes()))
+            if out:
+                found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield found.filter(pa.array(sigs.has(found["sig"].to_numpy())))
+
+    return rows.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(run, "sig long, n long, grams binary")
+
+
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK, ngram: int = N, most_in_group: int = 2_500_000, most_ids: int = 500_000, most_frequent: int = 300_000, most_blocks: int = 16) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) for each row; see components_of() for what the columns mean."""
     small_batches(docs.sparkSession)
@@ -487,45 +623,56 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_left = left.count()
     few = lambda df: F.broadcast(df) if n_left <= most_ids else df  # noqa: E731  for tables of at most a row for each class left
 
-    # Their whole sets. Rows are found by id; by broadcast only where the ids are few.
-    ids = left.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
-    picked = rows.join(few(ids), "doc_id", "left_semi")
-    if left.where("least is null").limit(1).count():  # classes that only rows with a null id have
-        picked = picked.unionAll(rows.where("doc_id is null"))
-
+    # Their whole sets. Where the ids are few they are found by a broadcast join, else by sieves: no text is shuffled,
+    # and a set that a sieve lets through by mistake is in no group.
     def sets():
         hashes = WordHashes()
 
         def one(row):
-            grams = shingle_set(row[1], hashes, ngram)
-            return signature(grams) if len(grams) else None, len(grams), grams.tobytes()
+            grams = shingle_set(row[0], hashes, ngram)
+            return [(signature(grams), len(grams), grams.tobytes())] if len(grams) else []
 
         return one
 
-    whole = map_rows(picked, sets, "sig long, n long, grams binary", 256)
-    whole = written(whole.join(few(left.select("sig")), "sig", "left_semi"), "join-sets")
-    parts = max(12, int(n_left * 150 / 1_500_000))
-
-    near = written(_prefixes(whole, parts, order, link), "join-prefixes")
+    if n_left <= most_ids:
+        ids = left.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
+        picked = rows.join(few(ids), "doc_id", "left_semi")
+        if left.where("least is null").limit(1).count():  # classes that only rows with a null id have
+            picked = picked.unionAll(rows.where("doc_id is null"))
+        whole = flat_map_rows(picked.select("text"), sets, "sig long, n long, grams binary", 256).join(few(left.select("sig")), "sig", "left_semi")
+    else:
+        whole = _sieved(rows, left, ngram)
+    whole = written(whole, "join-sets")
+    buckets = max(12, int(left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 0.7 / 1_500_000))
+
+    near = written(_dealt(whole, buckets, order, link, min(1_000_000, max(250_000, 2000 * buckets))), "join-keys")
     # Each block and bucket links a class to a root of its own. Most agree; only where they don't are there links
     # between roots left to follow.
-    met = near.where("bucket is not null").select("bucket", "sigs", "grams").groupBy("bucket").applyInArrow(_group_edges, "a long, b long")
+    met = near.where("bucket is not null").select("bucket", "sigs", "at", "keys").groupBy("bucket").applyInArrow(_group_edges, "a long, b long")
     stars = met.unionAll(near.where("a is not null").select("a", "b")).groupBy("a").agg(F.min("b").alias("r"), F.collect_set("b").alias("bs"))
     stars = written(stars, "join-stars")
+    dropped(near)
     between = components(stars.select(F.explode("bs").alias("a"), F.col("r").alias("b")).where("a <> b"))
     groups = stars.select("a", "r").join(few(between), F.col("r") == F.col("v"), "left").select(F.col("a").alias("v"), F.coalesce("root", "r").alias("root"))
     # Which group each class is in, and how large that is; the sets themselves move once, to their groups.
     of_group = groups.join(few(left.select("sig", "n")), F.col("sig") == F.col("v")).select("sig", "n", "root")
     sizes = of_group.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
     placed = written(of_group.join(few(sizes), "root").select("sig", "root", "total"), "join-groups")
+    largest, most_by_blocks = placed.agg(F.max("total")).first()[0] or 0, max(most_in_group, most_blocks * most_in_group // 2)
+    if largest > most_in_group:
+        sliced = whole.join(few(placed.where(F.col("total") > most_in_group)), "sig")
+        again = components(_grouped(_slices(sliced, most_in_group), ["root", "slice"], link)).join(few(left.select("sig", "n")), F.col("sig") == F.col("v")).select("sig", "n", "root")
+        again = written(again, "join-again")
+        sizes = again.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
+        placed = written(placed.where(F.col("total") <= most_in_group).unionAll(again.join(few(sizes), "root").select("sig", "root", "total")), "join-groups")
+        largest = placed.agg(F.max("total")).first()[0] or 0
     sized = whole.join(few(placed), "sig")
-    small = _grouped(sized.where(F.col("total") <= most_in_group), ["root"], link)
-    edges = small
-    if placed.where(F.col("total") > most_in_group).limit(1).count():
-        most_by_blocks = max(most_in_group, most_blocks * most_in_group // 2)
+    edges = _grouped(sized.where(F.col("total") <= most_in_group), ["root"], link)
+    if largest > most_in_group:
         large = _grouped(_block_pairs(sized.where((F.col("total") > most_in_group) & (F.col("total") <= most_by_blocks)), ["root"], most_in_group), ["root", "i", "j"], link)
-        huge = _by_prefix(sized.where(F.col("total") > most_by_blocks), order, link, most_in_group)
-        edges = small.unionAll(components(large.unionAll(huge)).select(F.col("v").alias("a"), F.col("root").alias("b")))
+        if largest > most_by_blocks:
+            large = large.unionAll(_by_prefix(sized.where(F.col("total") > most_by_blocks), order, link, most_in_group))
+        edges = edges.unionAll(components(large).select(F.col("v").alias("a"), F.col("root").alias("b")))
     roots = written(edges.where("a <> b"), "join-roots")
     named = classes.join(roots, F.col("sig") == F.col("a"), "left").select("sig", "least", F.coalesce("b", "sig").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
