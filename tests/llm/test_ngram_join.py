@@ -180,3 +180,22 @@ def test_shared_passages_join_no_groups(spark, monkeypatch):
     for most_ids in (0, 500_000):
         got = J.linked_classes(df, most_in_group=5000, most_blocks=1, most_ids=most_ids, most_frequent=0).collect()
         assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_copies_of_large_groups_move_in_rounds(spark, monkeypatch):
+    """Before, all copies of a group too large for one tree moved at once."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(80)]
+    df, grouped, moved = spark.createDataFrame(rows, "doc_id long, text string"), J._grouped, []
+
+    def counted(sets, keys, link):
+        if "i" in keys:
+            moved.append(sets.agg(F.coalesce(F.sum(F.length("grams") / 8), F.lit(0))).first()[0])
+        return grouped(sets, keys, link)
+
+    monkeypatch.setattr(J, "_grouped", counted)
+    for blocks in (16, 1):
+        moved.clear()
+        got = J.linked_classes(df, most_in_group=500, most_blocks=blocks).select("doc_id", "n_shingles", "component_id")
+        assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+        assert sum(moved) > 30_000 and max(moved) < 12_000, moved

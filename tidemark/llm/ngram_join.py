@@ -13,7 +13,8 @@
 4. Groups above a size are sliced first: n-grams are dealt to slices by hash, and sets that link do so in one slice at
    least, by the mean. Sets that link in no slice part; each n-gram moves once. What then still is above the size is
    cut into blocks, and each pair of blocks has a tree of its own; in groups that would need very
-   many blocks, sets meet by prefix n-gram instead. Exact for groups of any size.
+   many blocks, sets meet by prefix n-gram instead. Exact for groups of any size. Both copy sets; the copies move in
+   rounds, so that those on disk at once stay below a part of the input, however large the groups are.
 
 Links within a component aren't all checked: a pair that is connected already is left out, which alters no component.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -527,7 +529,21 @@ def _block_pairs(rows: DataFrame, keys: list[str], most_in_group: int) -> DataFr
     cuts = F.ceil(2.0 * F.col("total") / most_in_group).cast("int")
     cut = F.pmod(F.xxhash64("sig"), cuts).cast("int")
     pairs = rows.withColumn("block", cut).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    return pairs.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "grams")
+    return pairs.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", *[c for c in rows.columns if c == "grams"])
+
+
+def _in_rounds(pairs: DataFrame, keys: list[str], link: tuple[int, int], moved: int, most_moved: int, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b): links within the groups of pairs, as many groups at once as have about most_moved of the moved n-grams.
+
+    What a round has moved is gone when the next one begins. Where pairs has no n-grams, sets gives them.
+    """
+    rounds, found = max(1, -(-moved // most_moved)), []
+    for k in range(rounds):
+        now = pairs.where(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == k) if rounds > 1 else pairs
+        if sets is not None:
+            now = now.join(sets.select("sig", "grams"), "sig")
+        found.append(written(_grouped(now, keys, link).where("a <> b"), "join-round"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def _slices(rows: DataFrame, most_in_group: int) -> DataFrame:
@@ -551,7 +567,7 @@ def _slices(rows: DataFrame, most_in_group: int) -> DataFrame:
     return flat_map_rows(rows.select("root", "total", "sig", "grams"), cut, "root long, slice int, sig long, grams binary")
 
 
-def _by_prefix(rows: DataFrame, order: Order, link: tuple[int, int], most_in_group: int) -> DataFrame:
+def _by_prefix(rows: DataFrame, order: Order, link: tuple[int, int], most_in_group: int, most_moved: int) -> DataFrame:
     """(a, b): links within groups too large for blocks of the whole group: sets meet by prefix n-gram instead.
 
     Two sets that link share an n-gram of their prefixes. A set is copied as often as its prefix is long, not as often
@@ -567,9 +583,11 @@ def _by_prefix(rows: DataFrame, order: Order, link: tuple[int, int], most_in_gro
 
     narrow = flat_map_rows(rows.select("root", "sig", "grams"), keys, "root long, gram long, sig long, n long")
     sizes = narrow.groupBy("root", "gram").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1")
-    placed = narrow.join(sizes, ["root", "gram"]).select("root", "gram", "sig", "total")
-    met = placed.join(rows.select("sig", "grams"), "sig")
-    return _grouped(_block_pairs(met, ["root", "gram"], most_in_group), ["root", "gram", "i", "j"], link)
+    placed = written(narrow.join(sizes, ["root", "gram"]).select("root", "gram", "sig", "n", "total"), "join-prefixes")
+    moved = placed.agg(F.coalesce(F.sum(F.col("n") * F.ceil(2.0 * F.col("total") / most_in_group)), F.lit(0))).first()[0]
+    edges = _in_rounds(_block_pairs(placed, ["root", "gram"], most_in_group), ["root", "gram", "i", "j"], link, moved, most_moved, rows)
+    dropped(placed)
+    return edges
 
 
 def _sieved(rows: DataFrame, left: DataFrame, ngram: int) -> DataFrame:
@@ -669,9 +687,11 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sized = whole.join(few(placed), "sig")
     edges = _grouped(sized.where(F.col("total") <= most_in_group), ["root"], link)
     if largest > most_in_group:
-        large = _grouped(_block_pairs(sized.where((F.col("total") > most_in_group) & (F.col("total") <= most_by_blocks)), ["root"], most_in_group), ["root", "i", "j"], link)
+        most_moved, in_blocks = max(8 * most_in_group, n_grams // 2), (F.col("total") > most_in_group) & (F.col("total") <= most_by_blocks)
+        moved = placed.where(in_blocks).select("root", "total").distinct().agg(F.coalesce(F.sum(F.col("total") * F.ceil(2.0 * F.col("total") / most_in_group)), F.lit(0))).first()[0]
+        large = _in_rounds(_block_pairs(sized.where(in_blocks), ["root"], most_in_group), ["root", "i", "j"], link, moved, most_moved)
         if largest > most_by_blocks:
-            large = large.unionAll(_by_prefix(sized.where(F.col("total") > most_by_blocks), order, link, most_in_group))
+            large = large.unionAll(_by_prefix(sized.where(F.col("total") > most_by_blocks), order, link, most_in_group, most_moved))
         edges = edges.unionAll(components(large).select(F.col("v").alias("a"), F.col("root").alias("b")))
     roots = written(edges.where("a <> b"), "join-roots")
     named = classes.join(roots, F.col("sig") == F.col("a"), "left").select("sig", "least", F.coalesce("b", "sig").alias("root"))
