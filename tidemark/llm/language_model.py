@@ -12,54 +12,52 @@ the vocabulary. Held in memory are tables of classes by classes and the frequent
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_rows, rows_of, small_batches, written
+from .common import dropped, rows_of, small_batches, written
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a whole text, A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-class _Ids(dict):
-    """Words to ids; what isn't there has one id of its own."""
-
-    def __init__(self, ids: dict[bytes, int], rest: int):
-        super().__init__(ids)
-        self.rest = rest
-
-    def __missing__(self, word: bytes) -> int:
-        return self.rest
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of whole texts, A-Z lower-cased, one text's after the other, and how many each text has (null: none)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten().cast(pa.string())
+    ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    full = pc.not_equal(flat, "")  # white space at either end of a text leaves an empty word there
+    before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    return flat.filter(full), np.diff(before[ends])
 
 
 def count_words(rows: DataFrame, most: int = 300_000) -> DataFrame:
     """(word binary, c) over all rows: summed in each task first (in parts of ``most`` words), then by word."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            items = list(counts.items())
-            for i in range(0, len(items), 20_000):
-                w, n = zip(*items[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], schema=schema)
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.set_column(0, "word", table["word"].cast(pa.binary()))
+            yield from table.to_batches(max_chunksize=20_000)
 
         for batch in batches:
-            for (text,) in rows_of(batch):
-                counts.update(words_of(text))
-                if len(counts) > most:
-                    yield from out()
-                    counts.clear()
-        yield from out()
+            counts = words_of(batch.column(0))[0].value_counts()
+            held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+            if sum(map(len, held)) > 2 * most:
+                held = [summed()]
+                if len(held[0]) > most:
+                    yield from out(held[0])
+                    held = []
+        if held:
+            yield from out(summed())
 
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -237,51 +235,73 @@ def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
 
 def ending(word: Column) -> Column:
     """What a word seen once or never is classed by: its last three bytes and whether it has bytes beyond ASCII."""
-    return F.concat(F.substring(word, -3, 3), F.when(word.cast("string").rlike(r"[^\x00-\x7F]"), F.lit(b"\xff")).otherwise(F.lit(b"")))
+    return F.concat(F.substring(word, -3, 3), F.when(F.length(word) > F.length(word.cast("string")), F.lit(b"\xff")).otherwise(F.lit(b"")))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0.0)
 
 
-def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+#: Up to this count of one pair, gains are looked up in tables.
+_FEW = 8
+
+
+def few_steps(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What (x + n) log (x + n) is above x log x, for n up to _FEW and the pairs x of classes: of the transposed table, and of the table."""
+    n = np.arange(_FEW + 1.0)[:, None, None]
+    step = _xlogx(table + n) - _xlogx(table)
+    return np.ascontiguousarray(step.transpose(0, 2, 1)), step
+
+
+def better(table: np.ndarray, old: np.ndarray, right: np.ndarray, left: np.ndarray, steps: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The class that raises the likelihood most for each of some words, each moved alone; its own if none does better.
 
     The last class but one holds the words that have no class yet: these always move.
 
     right and left: words x classes, counts of the classes after and before each word. table: classes x classes, with
-    the words where they are. A word's pairs with itself are counted with its old class.
+    the words where they are. A word's pairs with itself are counted with its old class. steps: few_steps(table).
     """
     k, i = len(table), np.arange(len(old))
     row, col, known = table.sum(1), table.sum(0), _xlogx(table)
     gain = np.zeros((len(old), k))
-    for own, other, t, before in ((right, left, table.T, known.T), (left, right, table, known)):
+    for own, other, t, before, step in zip((right, left), (left, right), (table.T, table), (known.T, known), steps or few_steps(table)):
         w, d = np.nonzero(own)
         n = own[w, d]
-        cells, part = t[d], before[d]  # what each class has with d, the word's own pairs to be taken out
-        rows = np.arange(len(w))
-        cells[rows, old[w]] -= n
-        same = np.flatnonzero(d == old[w])
-        cells[same] -= other[w[same]]
-        np.maximum(cells, 0, out=cells)
-        part[rows, old[w]] = _xlogx(cells[rows, old[w]])
-        part[same] = _xlogx(cells[same])
-        cells += n[:, None]  # at least n, so that the logarithm is defined
-        part = cells * np.log(cells) - part
-        starts = np.flatnonzero(np.diff(w, prepend=-1))
-        if len(starts):
-            gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
+        # What a class has with d grows by n; looked up, or counted where n is large or the word's own pairs are d's too.
+        counted = (n > _FEW) | (d == old[w])
+        part = step[np.where(counted, 0, n).astype(np.int64), d]
+        rows = np.flatnonzero(~counted)
+        x = np.maximum(t[d[rows], old[w[rows]]] - n[rows], 0)
+        part[rows, old[w[rows]]] = _xlogx(x + n[rows]) - _xlogx(x)  # its own class has n less
+        rows = np.flatnonzero(counted)
+        if len(rows):
+            v, e, m = w[rows], d[rows], n[rows]
+            cells, less = t[e], before[e]
+            at = np.arange(len(rows))
+            cells[at, old[v]] -= m
+            same = np.flatnonzero(e == old[v])
+            cells[same] -= other[v[same]]
+            np.maximum(cells, 0, out=cells)
+            less[at, old[v]] = _xlogx(cells[at, old[v]])
+            less[same] = _xlogx(cells[same])
+            cells += m[:, None]  # at least n, so that the logarithm is defined
+            part[rows] = cells * np.log(cells) - less
+        # Sums by word: of all words the first pair's gains, then the second's, and so on.
+        size = np.bincount(w, minlength=len(old))
+        start, have = np.cumsum(size) - size, np.flatnonzero(size)
+        for j in range(size.max(initial=0)):
+            have = have[size[have] > j]
+            gain[have] += part[start[have] + j]
     for total, n in ((row, right.sum(1)), (col, left.sum(1))):
-        rest, part = np.repeat(total[None, :], len(old), 0), np.repeat(_xlogx(total)[None, :], len(old), 0)
-        rest[i, old] -= n
-        part[i, old] = _xlogx(rest[i, old])
-        gain -= _xlogx(rest + n[:, None]) - part
+        each, which = np.unique(n, return_inverse=True)
+        part = (_xlogx(total + each[:, None]) - _xlogx(total))[which]
+        x = total[old] - n
+        part[i, old] = _xlogx(x + n) - _xlogx(x)
+        gain -= part
     # A class's pairs with itself grow on both sides at once.
-    own = np.repeat(np.diag(table)[None, :], len(old), 0)
-    own[i, old] -= right[i, old] + left[i, old]
-    np.maximum(own, 0, out=own)
     both = np.nonzero((right > 0) & (left > 0))
-    r, l, own = right[both], left[both], own[both]
+    r, l, own = right[both], left[both], np.diag(table)[both[1]]
+    own = np.maximum(own - np.where(both[1] == old[both[0]], r + l, 0), 0)
     gain[both] += _xlogx(own + r + l) - _xlogx(own + r) - _xlogx(own + l) + _xlogx(own)
     gain = np.round(gain, 6)
     new = np.argmax(gain[:, : k - 2], 1)  # the last two classes are of the words that have none yet, and of the text's end
@@ -313,6 +333,7 @@ def exchange_all(pairs: DataFrame, of: np.ndarray, k: int, least: float = 0.01)
         last, kept = value, of
 
         def run(batches: Iterator[pa.RecordBatch], table=table, turn=turn, of=of) -> Iterator[pa.RecordBatch]:
+            steps = few_steps(table)
             for batch in batches:
                 for row in rows_of(batch, 1):
                     right, right_n, left, left_n = (np.frombuffer(x, kind) for x, kind in zip(row, (np.uint32, np.int64) * 2))
@@ -330,7 +351,7 @@ def exchange_all(pairs: DataFrame, of: np.ndarray, k: int, least: float = 0.01)
                             own = at_word >= 0
                             cell = at_word[own] * k + of[part[own] & np.uint32(0xFFFF)]
                             vectors.append(np.bincount(cell, n[own], len(some) * k).reshape(len(some), k))
-                        new = better(table, of[some].astype(np.int64), *vectors)
+                        new = better(table, of[some].astype(np.int64), *vectors, steps)
                         moved = new != of[some]
                         yield pa.RecordBatch.from_arrays([pa.array(some[moved], pa.int32()), pa.array(new[moved], pa.int32())], names=["id", "class"])
 
@@ -352,23 +373,30 @@ def inserted(texts: DataFrame, of: np.ndarray, table: np.ndarray, tokens: int, f
     and after a word is added up in each task, then by word: at most a number for each class and side.
     """
     k, n = len(table), int(min(65536, max(64, tokens // 1_000_000)))
+    bounds = np.array([(i << 48) // n << 16 for i in range(1, n)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from _dealt(keys, counts, ((keys >> np.uint64(16)) % np.uint64(n)).astype(np.int64), n)
+            # Buckets are ranges of hashes, so that what is sorted is dealt already.
+            ends = np.searchsorted(keys, bounds).tolist()
+            out = [(i, keys[a:b].tobytes(), counts[a:b].tobytes()) for i, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)])) if b > a]
+            for i in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i : i + 256]), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
 
         for batch in batches:
-            for s, words, at in rows_of(batch):
-                classes, at = of[np.frombuffer(s, np.uint16)].astype(np.uint64), np.array(at)
-                h = np.fromiter(map(_hash48, words), np.uint64, len(words)) << np.uint64(16)
-                held += [h | (classes[at - 1] + np.uint64(k)), h | classes[at + 1]]
-                size += 2 * len(words)
-                if size > flush_at:
-                    yield from flush()
-                    held, size = [], 0
+            ids, starts = _ids(batch.column(0))
+            words, at = (batch.column(i).flatten() for i in (1, 2))
+            at = np.repeat(starts, batch.column(1).value_lengths().to_numpy(zero_copy_only=False)) + at.to_numpy()
+            h = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist(), repeat(42)), np.uint64, len(words)) & ~np.uint64(0xFFFF)  # _hash48, shifted
+            classes = of[ids].astype(np.uint64)
+            held += [h | (classes[at - 1] + np.uint64(k)), h | classes[at + 1]]
+            size += 2 * len(words)
+            if size > flush_at:
+                yield from flush()
+                held, size = [], 0
         if held:
             yield from flush()
 
@@ -378,28 +406,37 @@ def inserted(texts: DataFrame, of: np.ndarray, table: np.ndarray, tokens: int, f
             sums.add(keys, counts)
         keys, counts = sums.result()
         words, first = np.unique(keys >> np.uint64(16), return_index=True)
-        first = np.append(first, len(keys))
-        for i in range(0, len(words), 100):
-            some = words[i : i + 100]
+        often = np.add.reduceat(np.where((keys & np.uint64(0xFFFF)) < k, counts, 0), first) > 1 if len(words) else np.zeros(0, bool)
+        kept = np.repeat(often, np.diff(np.append(first, len(keys))))
+        keys, counts, words = keys[kept], counts[kept], words[often]
+        first = np.append(np.searchsorted(keys, words << np.uint64(16)), len(keys))
+        steps = few_steps(table)
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
             low, high = first[i], first[i + len(some)]
             w = np.repeat(np.arange(len(some)), np.diff(first[i : i + len(some) + 1]))
             cell = w * (2 * k) + (keys[low:high] & np.uint64(0xFFFF)).astype(np.int64)
             vectors = np.bincount(cell, counts[low:high], len(some) * 2 * k).reshape(len(some), 2 * k)
-            often = np.flatnonzero(vectors[:, :k].sum(1) > 1)
-            new = better(table, np.full(len(often), k - 2), vectors[often, :k], vectors[often, k:])
-            yield pa.RecordBatch.from_arrays([pa.array(some[often].astype(np.int64)), pa.array(new, pa.int32())], names=["h", "class"])
+            new = better(table, np.full(len(some), k - 2), vectors[:, :k], vectors[:, k:], steps)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(new, pa.int32())], names=["h", "class"])
 
     sent = texts.select("s", "words", "at").mapInArrow(send, _PACKED)
     return sent.repartition("bucket").select("keys", "counts").mapInArrow(place, "h long, class int")
 
 
-def _lists(batch: pa.RecordBatch, *places: int) -> Iterator[list[np.ndarray]]:
-    """Of each row the lists in some columns, null ones as empty."""
-    lengths = batch.column(places[0]).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 16-bit ids of all rows of a binary column, and where each row's begin."""
+    ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False) // 2))
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16), ends[:-1]
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """Of each row the list in a column, null as empty."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
-    flat = [batch.column(p).flatten().to_numpy(zero_copy_only=False) for p in places]
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     for a, b in zip((ends - lengths).tolist(), ends.tolist()):
-        yield [x[a:b] for x in flat]
+        yield flat[a:b]
 
 
 def least_count(words: dict[int, int], most: int) -> int:
@@ -441,25 +478,42 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     top = sorted(((bytes(r[0]), r[1]) for r in vocabulary.where(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
     rest, end = len(top), len(top) + 1
 
-    def make():
-        ids, end_base = _Ids({w: i for i, (w, _) in enumerate(top)}, rest), math.log10(ends + 0.1) + unigram
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words, end_base = pa.array([w for w, _ in top], pa.binary()).cast(pa.string()), math.log10(ends + 0.1) + unigram
         counts = np.array([c for _, c in top], float)
         base_log, model_log = (np.append(np.log10(counts + x), 0.0) for x in (0.1, smooth))
-
-        def one(row):
-            key, doc_id, learns, text = row
-            words = words_of(text)
-            own = np.fromiter(map(ids.__getitem__, words), np.uint16, len(words))
+        for batch in batches:
+            words, n = words_of(batch.column(3))
+            own = pc.index_in(words, known_words).fill_null(rest).to_numpy()
             at = np.flatnonzero(own == rest)
-            rare = [words[i] for i in at.tolist()]
-            s = np.concatenate([[end], own, [end]]).astype(np.uint16)
+            last = np.cumsum(n)
+            first = last - n
+            low = np.searchsorted(at, np.append(first, len(own)))
+            # Each text's ids, with the text's end before and after them.
+            s = np.full(len(own) + 2 * len(n), end, np.uint16)
+            s[np.arange(len(own)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = own
+            places = at - np.repeat(first, np.diff(low)) + 1
+            base, model = base_log[own], model_log[own]
+            offsets = pa.array(low, pa.int32())
             # The counts and classes of the rare words are still to come.
-            return key, doc_id, learns, s.tobytes(), int(ends > 0) + len(words) - len(rare), end_base + len(words) * unigram + float(base_log[own].sum()), float(model_log[own].sum()), rare, at + 1
-
-        return one
+            out = pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i) for i in range(3)),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, 2 * (last + 2 * np.arange(1, len(n) + 1))).astype(np.int32)), pa.py_buffer(s)]),
+                    pa.array(int(ends > 0) + n - np.diff(low), pa.int64()),
+                    pa.array([end_base + (b - a) * unigram + float(base[a:b].sum()) for a, b in zip(first.tolist(), last.tolist())], pa.float64()),
+                    pa.array([float(model[a:b].sum()) for a, b in zip(first.tolist(), last.tolist())], pa.float64()),
+                    pa.ListArray.from_arrays(offsets, words.take(pa.array(at)).cast(pa.binary())),
+                    pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32())),
+                ],
+                names=["key", "doc_id", "learns", "s", "known", "base", "model", "words", "at"],
+            )
+            for i in range(0, len(n), 128):
+                yield out.slice(i, 128)
 
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", chosen.alias("learns"), "text")
-    parts = written(map_rows(keyed, make, f"key long, doc_id {kind}, learns boolean, s binary, known long, base double, model double, words array<binary>, at array<int>", 128), "lm-parts", "zstd")
+    parts = keyed.mapInArrow(parted, f"key long, doc_id {kind}, learns boolean, s binary, known long, base double, model double, words array<binary>, at array<int>")
+    parts = written(parts, "lm-parts", "zstd")
 
     # Classes of the frequent words: the most frequent start them, then all are exchanged.
     n_exchanged = sum(c > 1 for _, c in top)
@@ -484,14 +538,19 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     exchanged = spark.createDataFrame([(_hash48(w), int(of[i])) for i, (w, _) in enumerate(top[:n_exchanged])], "h long, class int")
     found = exchanged.unionAll(joined).groupBy("h").agg(F.min("class").alias("class"))
     # The classes of all words: their own, or for words seen once that of their ending.
-    own_class = vocabulary.withColumn("h", F.shiftrightunsigned(F.xxhash64("word"), 16)).join(found, "h", "left").select("word", "c", F.when(F.col("c") > 1, F.col("class")).alias("class"))
-    own_class = written(own_class.withColumn("ending", ending(F.col("word"))), "lm-own", "zstd")
-    dropped(vocabulary)
-    by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n")).groupBy("ending").agg(F.min_by("class", F.struct((-F.col("n")).alias("n"), "class")).alias("e_class"))
+    often = vocabulary.where(F.col("c") > 1).withColumn("h", F.shiftrightunsigned(F.xxhash64("word"), 16))
+    own_class = written(often.join(found, "h", "left").select("word", "c", "class", ending(F.col("word")).alias("ending")), "lm-own", "zstd")
+    by_ending = own_class.where("class is not null").groupBy("ending", "class").agg(F.sum("c").alias("n"))
+    # The most frequent class, of equal ones the least: the greatest of one number, so that the sums need no sort.
+    by_ending = by_ending.groupBy("ending").agg(F.max(F.col("n") * 65536 + (65535 - F.col("class"))).alias("n")).select("ending", (65535 - F.pmod("n", F.lit(65536))).cast("int").alias("e_class"))
     by_ending = written(by_ending, "lm-endings")
-    by_ending = F.broadcast(by_ending) if by_ending.count() <= most_broadcast else by_ending
+    few_endings = by_ending.count() <= most_broadcast
+    by_ending = F.broadcast(by_ending) if few_endings else by_ending
     other = int(np.argmax(np.bincount(of[:n_exchanged], minlength=k)[: k - 2])) if n_exchanged else 0
-    lexicon = written(own_class.join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class")), "lm-lexicon", "zstd")
+    once = vocabulary.where(F.col("c") == 1).select("word", "c", F.lit(None).cast("int").alias("class"), ending(F.col("word")).alias("ending"))
+    lexicon = own_class.unionByName(once).join(by_ending, "ending", "left").select("word", "c", F.coalesce("class", "e_class", F.lit(other)).alias("class"))
+    lexicon = written(lexicon, "lm-lexicon", "zstd")
+    dropped(vocabulary)
     dropped(own_class)
 
     types = np.ones(k)  # distinct words of each class; one more for those not met
@@ -504,32 +563,36 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     own = parts.select("key", "doc_id", "learns", "s", "known", "base", "model")
     rare_words = lexicon.where(F.col("c") < least)
     rare = parts.select("key", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("at").alias("at"))))
-    rare = rare.join(rare_words.hint("shuffle_hash"), "word", "left").withColumn("ending", ending(F.col("word"))).join(by_ending, "ending", "left")
+    rare = rare.join(rare_words.hint("shuffle_hash"), "word", "left")
+    # Only words never met need their ending; where endings are shuffled, all keep it, so that one null key doesn't gather the rest.
+    sought = F.when(F.col("class").isNull(), ending(F.col("word"))) if few_endings else ending(F.col("word"))
+    rare = rare.withColumn("ending", sought).join(by_ending, "ending", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = rare.groupBy("key").agg(
         F.count_if(c > 0).alias("r_known"), F.sum(F.log10(c + 0.1)).alias("r_base"), F.sum(F.log10(c + smooth)).alias("r_model"),
-        F.collect_list(F.struct("at", F.coalesce("class", "e_class", F.lit(other)).alias("class"))).alias("r_classes"),
+        F.collect_list(F.col("at").cast("long") * 65536 + F.coalesce("class", "e_class", F.lit(other))).alias("r_classes"),
     )
     sums = [(F.col(x) + F.coalesce(f"r_{x}", F.lit(0))).alias(x) for x in ("known", "base", "model")]
-    both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, F.col("r_classes.at").alias("at"), F.col("r_classes.class").alias("to")), "lm-classed", "zstd")
+    both = written(own.join(rare, "key", "left").select("doc_id", "learns", "s", *sums, "r_classes"), "lm-classed", "zstd")
     dropped(parts)
 
-    def classed(batch: pa.RecordBatch, s: int, at: int, to: int) -> Iterator[np.ndarray]:
-        """The classes of each text of a batch, from columns with its ids, and the places and classes of its rare words."""
-        for ids, (where, classes) in zip(batch.column(s), _lists(batch, at, to)):
+    def classed(batch: pa.RecordBatch, s: int, to: int) -> Iterator[np.ndarray]:
+        """The classes of each text of a batch, from columns with its ids, and 65,536 times the places plus the classes of its rare words."""
+        for ids, rare in zip(batch.column(s), _lists(batch.column(to))):
             out = class_of[np.frombuffer(ids.as_py(), np.uint16)].astype(np.int64)
-            out[where] = classes
+            out[rare >> 16] = rare & 0xFFFF
             yield out
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(k * k, np.int64)
         for batch in batches:
-            for x in classed(batch, 0, 1, 2):
-                np.add.at(n, x[:-1] * k + x[1:], 1)
+            steps = [x[:-1] * k + x[1:] for x in classed(batch, 0, 1)]
+            if steps:
+                n += np.bincount(np.concatenate(steps), minlength=k * k)
         f = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(f // k, pa.int32()), pa.array(f % k, pa.int32()), pa.array(n[f], pa.int64())], names=["a", "b", "n"])
 
-    got = both.where("learns").select("s", "at", "to").mapInArrow(counting, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    got = both.where("learns").select("s", "r_classes").mapInArrow(counting, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     steps = np.zeros((k, k))
     if got.num_rows:
         steps[got["a"].to_numpy(), got["b"].to_numpy()] = got["n"].to_numpy()
@@ -539,14 +602,14 @@ def score(docs: DataFrame, trains: Column, clustered: int = 600, classes: int =
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, extra = [], []
-            for x in classed(batch, 1, 2, 3):
+            for x in classed(batch, 1, 2):
                 n.append(len(x) - 1)
                 extra.append(float(log_step[x[:-1], x[1:]].sum()) + float(log_class[x[1:-1]].sum()))
-            n, model = np.array(n, np.int64), batch.column(6).to_numpy(zero_copy_only=False) + np.array(extra)
+            n, model = np.array(n, np.int64), batch.column(5).to_numpy(zero_copy_only=False) + np.array(extra)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), batch.column(4), pa.array(np.full(len(n), n_all)), batch.column(5), pa.array(model), pa.array(10 ** (-model / n))],
+                [batch.column(0), pa.array(n), batch.column(3), pa.array(np.full(len(n), n_all)), batch.column(4), pa.array(model), pa.array(10 ** (-model / n))],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
     out = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return both.select("doc_id", "s", "at", "to", "known", "base", "model").mapInArrow(scored, out)
+    return both.select("doc_id", "s", "r_classes", "known", "base", "model").mapInArrow(scored, out)
