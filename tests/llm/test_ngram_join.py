@@ -199,3 +199,47 @@ def test_copies_of_large_groups_move_in_rounds(spark, monkeypatch):
         got = J.linked_classes(df, most_in_group=500, most_blocks=blocks).select("doc_id", "n_shingles", "component_id")
         assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
         assert sum(moved) > 30_000 and max(moved) < 12_000, moved
+
+
+def test_large_groups_walk_few_nodes(monkeypatch):
+    rng, hashes = random.Random(4), WordHashes()
+    base = [f"b{i}" for i in range(200)]
+
+    def repeated():
+        """A word eight times, then the next: most of its n-grams are in many others, all of them in few."""
+        return " ".join(" ".join([f"r{int(60 * rng.random() ** 2)}"] * 8) for _ in range(8))
+
+    def near():
+        words = list(base)
+        for _ in range(rng.randint(2, 10)):
+            words[rng.randrange(200)] = f"x{rng.random()}"
+        return " ".join(words)
+
+    for make in (repeated, near):
+        sets = list({J.signature(g): g for g in (shingle_set(make(), hashes) for _ in range(700))}.values())
+        plain = [set(g.tolist()) for g in sets]
+        up = list(range(len(sets)))
+
+        def root(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * (o := len(plain[i] & plain[j])) >= 75 * (len(plain[i]) + len(plain[j]) - o):
+                    a, b = root(i), root(j)
+                    up[max(a, b)] = min(a, b)
+        visits, counted = [0], np.count_nonzero
+
+        def count(x):
+            visits[0] += 1
+            return counted(x)
+
+        monkeypatch.setattr(np, "count_nonzero", count)
+        assert J.join_group(sets) == [root(i) for i in range(len(sets))]
+        after, visits[0] = visits[0], 0
+        J.join_group(sets, few=len(sets))
+        monkeypatch.undo()
+        print(make.__name__, len(sets), after, visits[0])
+        assert after * 4 < visits[0]

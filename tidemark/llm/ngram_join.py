@@ -310,6 +310,8 @@ class PrefixTree:
         self.sets: list[list[int]] = []
         self.longest: list[int] = []
         self.smallest: list[int] = []
+        self.above: list[int] = []
+        self.place = [0] * len(paths)  # the node at which each set ends
         self.paths, self.sizes = paths, sizes
         order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
         self._build(order)
@@ -320,6 +322,7 @@ class PrefixTree:
         self.sets.append([])
         self.longest.append(0)
         self.smallest.append(1 << 60)
+        self.above.append(-1)
         return len(self.grams) - 1
 
     def _build(self, order: list[int]) -> None:
@@ -355,11 +358,33 @@ class PrefixTree:
                 stack.append((node, True))
                 stack += [(c, False) for c in self.children[node]]
                 continue
+            for c in self.children[node]:
+                self.above[c] = node
+            for i in self.sets[node]:
+                self.place[i] = node
             self.smallest[node] = min([self.sizes[i] for i in self.sets[node]] + [self.smallest[c] for c in self.children[node]], default=1 << 60)
             self.longest[node] = max([len(self.grams[c]) + self.longest[c] for c in self.children[node]], default=0)
 
-    def linked(self, path: np.ndarray, size: int, vocabulary: int, link: tuple[int, int]) -> Iterator[int]:
-        """The sets that link with a query set of the given size, whose n-grams that others share are in path."""
+    def towards(self, sets: list[int]) -> dict[int, list[int]]:
+        """The children, by node, that lie on the ways from the root to the given sets."""
+        ways: dict[int, list[int]] = {}
+        for i in sets:
+            node = self.place[i]
+            new = node not in ways
+            ways.setdefault(node, [])
+            while new and node:
+                up = self.above[node]
+                new = up not in ways
+                ways.setdefault(up, []).append(node)
+                node = up
+        return ways
+
+    def linked(self, path: np.ndarray, size: int, vocabulary: int, link: tuple[int, int], among: list[int] | None = None) -> Iterator[int]:
+        """The sets that link with a query set of the given size, whose n-grams that others share are in path.
+
+        among: sets of which no other one can link; only the ways to them are walked.
+        """
+        children = self.children if among is None else self.towards(among)
         inside = np.zeros(vocabulary + 1, bool)
         inside[path] = True
         left = len(path) - np.cumsum(inside)  # the query's n-grams after each rank
@@ -377,13 +402,50 @@ class PrefixTree:
             for i in self.sets[node]:
                 if (a + b) * overlap >= a * (size + self.sizes[i]):
                     yield i
-            stack += [(c, overlap, rest) for c in self.children[node]]
+            stack += [(c, overlap, rest) for c in children[node]]
+
 
+class Candidates:
+    """For each set of a group those that it can link with, by two bounds that hold for all links.
+
+    Rarest first, two sets that link share one of the first n - least_common(n) + 1 n-grams of each. How many sets have
+    an n-gram is known exactly within a group, so few sets share one of these even where most of their n-grams are common.
+    And the n-grams that most sets have, about twice as many as a set's, are held as bits: what two sets share of them is
+    counted at once for all sets, and of the others they share no more than either has. This parts near copies of one text.
+    """
 
-def join_group(sets: list[np.ndarray], link: tuple[int, int] = LINK) -> list[int]:
+    def __init__(self, paths: list[np.ndarray], sizes: list[int], vocabulary: int, link: tuple[int, int]):
+        # Of a set's n-grams those that no other set has come first, then its path from the end.
+        self.rare = [p[min(len(p), least_common(n, link) - 1) :] for p, n in zip(paths, sizes)]
+        ranks, self.owners = np.concatenate(self.rare), np.repeat(np.arange(len(paths)), [len(x) for x in self.rare])
+        self.owners, self.starts = self.owners[np.argsort(ranks, kind="stable")], np.append(0, np.cumsum(np.bincount(ranks, minlength=vocabulary)))
+        self.sizes, self.link = np.array(sizes), link
+        held = -(-2 * sum(sizes) // (64 * len(sizes))) * 64
+        bits = np.zeros((len(paths), held), bool)
+        common = [p[: np.searchsorted(p, held)] for p in paths]
+        bits[np.repeat(np.arange(len(paths)), [len(x) for x in common]), np.concatenate(common)] = True
+        self.bits = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)  # a row for 64 n-grams
+        self.others = np.array([len(p) - len(x) for p, x in zip(paths, common)])
+
+    def of(self, i: int) -> list[int]:
+        first = self.starts[self.rare[i]]
+        counts = self.starts[self.rare[i] + 1] - first
+        total, (a, b) = int(counts.sum()), self.link
+        if total < len(self.sizes):
+            at: np.ndarray | slice = np.unique(self.owners[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(total)])
+        else:
+            at = slice(None)
+        most = np.bitwise_count(self.bits[:, at] & self.bits[:, i : i + 1]).sum(0, dtype=np.int32) + np.minimum(self.others[at], self.others[i])
+        hit = np.flatnonzero((a + b) * most >= a * (self.sizes[at] + self.sizes[i]))
+        found = hit if isinstance(at, slice) else at[hit]
+        return found[found != i].tolist()
+
+
+def join_group(sets: list[np.ndarray], link: tuple[int, int] = LINK, few: int = 64) -> list[int]:
     """For each set the least index of a set that links reach from it, itself included.
 
-    A set is looked up in the tree unless all sets not yet looked up are connected with it.
+    A set is looked up in the tree unless all sets not yet looked up are connected with it. In groups of more than a few
+    sets only the ways to its candidates are walked.
     """
     n = len(sets)
     forest = Forest(n)
@@ -397,12 +459,14 @@ def join_group(sets: list[np.ndarray], link: tuple[int, int] = LINK) -> list[int
     paths = [np.sort(ranks[e - len(s) : e][shared[e - len(s) : e]]) for s, e in zip(sets, ends)]
     sizes = [len(s) for s in sets]
     tree, vocabulary = PrefixTree(paths, sizes), int((df > 1).sum())
+    candidates = Candidates(paths, sizes, vocabulary, link) if n > few else None
     asked = [False] * n
 
     def ask(i: int) -> None:
         asked[i] = True
         if (link[0] + link[1]) * len(paths[i]) >= 2 * link[0] * least_common(sizes[i], link):
-            for j in tree.linked(paths[i], sizes[i], vocabulary, link):
+            among = candidates.of(i) if candidates else None
+            for j in tree.linked(paths[i], sizes[i], vocabulary, link, among) if among != [] else ():
                 forest.join(i, j)
 
     begun: set[int] = set()
