@@ -9,7 +9,8 @@
    sets that link are the same in more of them than they can differ in others. So a shared n-gram alone seldom joins
    two groups. A group's sets are stored in a prefix tree (most frequent n-gram first, so that similar sets share paths), and each
    query set walks it once: overlaps are counted once for each shared path, and subtrees whose remaining lengths can't
-   bring the overlap needed are pruned.
+   bring the overlap needed are pruned. In groups of more than a few sets only the ways to those sets are walked that
+   share a rare n-gram and enough of the common ones with the query set.
 4. Groups above a size are sliced first: n-grams are dealt to slices by hash, and sets that link do so in one slice at
    least, by the mean. Sets that link in no slice part; each n-gram moves once. What then still is above the size is
    cut into blocks, and each pair of blocks has a tree of its own; in groups that would need very
